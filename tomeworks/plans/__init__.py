@@ -1,6 +1,8 @@
 """Registered queries over the test tables, each with its SQL statement of the same result."""
 
-from tomeworks.plans import chunk_queries, trace_queries  # noqa: F401
+from tomeworks.plans import (  # noqa: F401
+    builder_queries, chunk_queries, document_queries, retrieval_queries, trace_queries,
+)
 from tomeworks.plans.base import HEADLINE, QUERIES, STATEMENTS
 
 __all__ = ["HEADLINE", "QUERIES", "STATEMENTS"]

@@ -175,3 +175,76 @@ PAIRS = """pairs AS (
          list_filter(string_split(u.text, chr(10)), lambda x: length(x) > 40) AS lines
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as stage-1 samples, with the faults real sets have: types outside the
+    list, missing citations, citations out of range, answers that refuse or fail to."""
+    p = turn_pairs(spark, sf_dir)
+    turn = F.col("turn")
+    kind = (
+        F.when(turn == 0, "answerable").when(turn == 1, "multi_chunk").when(turn == 2, "unanswerable")
+        .when(turn == 3, "conflicting").when(turn == 4, "answerable").otherwise("other")
+    )
+    marks = F.when(F.length("reply") % 3 == 0, " [C1]").when(F.length("reply") % 3 == 1, " [C1] [C3]").otherwise(" 1999")
+    return p.select(
+        F.concat_ws("-", F.lit("s"), F.col("conv_id").cast("string"), turn.cast("string")).alias("id"),
+        kind.alias("type"),
+        "question",
+        F.concat("reply", marks).alias("answer"),
+        F.transform("lines", lambda line, i: F.struct(
+            F.concat(F.lit("C"), (i + 1).cast("string")).alias("cid"),
+            F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("source"), line.alias("text"))).alias("contexts"),
+        F.struct(F.lit("").alias("item_name"), F.array("conv_id").alias("source_chunk_ids"), F.lit(True).alias("synthetic")).alias("meta"),
+        F.when(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 1) < "4", "holdout").otherwise("train").alias("split"),
+        (F.col("conv_id") * 100 + turn).alias("pos"),
+    )
+
+
+SAMPLES = f"""{PAIRS},
+samples AS (
+  SELECT 's-' || conv_id || '-' || turn AS id, conv_id,
+         CASE turn WHEN 0 THEN 'answerable' WHEN 1 THEN 'multi_chunk' WHEN 2 THEN 'unanswerable'
+                   WHEN 3 THEN 'conflicting' WHEN 4 THEN 'answerable' ELSE 'other' END AS type,
+         question,
+         reply || CASE WHEN length(reply) % 3 = 0 THEN ' [C1]' WHEN length(reply) % 3 = 1 THEN ' [C1] [C3]' ELSE ' 1999' END AS answer,
+         lines AS texts, 'conv ' || conv_id AS source,
+         CASE WHEN substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) < '4' THEN 'holdout' ELSE 'train' END AS split,
+         conv_id * 100 + turn AS pos
+  FROM pairs)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same turns in messages form."""
+    from tomeworks.functions import rendering as R
+
+    s = samples(spark, sf_dir)
+    turn = F.col("pos") % 100
+    kind = (
+        F.when(turn == 0, "faithful").when(turn == 1, "multi_hop").when(turn == 2, "cite").when(turn == 3, "refuse")
+        .when(turn == 4, "format").otherwise("refuse")
+    )
+    subtype = F.when(turn == 3, "no_recall").when(turn == 5, "weak_recall")
+    user = R.user_message(R.render_contexts_n(F.col("contexts")), F.col("question"))
+    answer = F.regexp_replace("answer", r"\[C", "[")
+    return s.select(
+        F.when(turn == 4, F.slice(R.messages("S", user, answer), 2, 2)).otherwise(R.messages("S", user, answer)).alias("messages"),
+        F.struct(
+            kind.alias("type"), subtype.alias("subtype"), F.col("id").alias("id"),
+            F.when(turn == 2, F.array().cast("array<string>")).otherwise(F.array(kind)).alias("battle_capabilities"),
+        ).alias("meta"),
+        "split", "pos",
+    )
+
+
+MESSAGES = f"""{SAMPLES},
+messages AS (
+  SELECT id, split, pos, pos % 100 AS turn,
+         CASE pos % 100 WHEN 0 THEN 'faithful' WHEN 1 THEN 'multi_hop' WHEN 2 THEN 'cite' WHEN 3 THEN 'refuse'
+                        WHEN 4 THEN 'format' ELSE 'refuse' END AS type,
+         CASE pos % 100 WHEN 3 THEN 'no_recall' WHEN 5 THEN 'weak_recall' END AS subtype,
+         '{K.CONTEXT_SECTION}' || chr(10) ||
+         coalesce(array_to_string(list_transform(texts, lambda x, i: '[' || i || '] {K.SOURCE_LABEL}' || source || chr(10) || x), chr(10) || chr(10)), '')
+         || chr(10) || chr(10) || '{K.QUESTION_SECTION}' || chr(10) || question AS usr,
+         replace(answer, '[C', '[') AS answer, question
+  FROM samples)"""
