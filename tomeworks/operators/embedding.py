@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tomeworks.functions.text import text_or_empty
 
-# An encoder takes texts and returns one dense vector and one ``{token id: weight}`` per text.
-Encoder = Callable[[Sequence[str]], tuple[Sequence[Sequence[float]], Sequence[dict[int, float]]]]
-VECTORS = "struct<dense_vector:array<float>,sparse_vector:map<int,float>>"
+# An encoder takes texts and returns one dense vector and one CSR row (token ids, weights) each.
+CsrRow = tuple[Sequence[int], Sequence[float]]
+Encoder = Callable[[Sequence[str]], tuple[Sequence[Sequence[float]], Sequence[CsrRow]]]
+VECTORS = "struct<dense:array<float>,tokens:array<int>,weights:array<float>>"
 
 
 def embedding_text() -> Column:
@@ -39,39 +39,40 @@ def embed(chunks: DataFrame, make_encoder: Callable[[], Encoder], batch_size: in
         encode = make_encoder()
         for texts in batches:
             dense: list = []
-            sparse: list = []
+            rows: list = []
             for start in range(0, len(texts), batch_size):
-                d, s = encode(texts.iloc[start:start + batch_size].tolist())
+                d, r = encode(texts.iloc[start:start + batch_size].tolist())
                 dense.extend(d)
-                sparse.extend(s)
-            yield pd.DataFrame({"dense_vector": dense, "sparse_vector": sparse})
+                rows.extend(r)
+            yield pd.DataFrame({
+                "dense": dense, "tokens": [r[0] for r in rows], "weights": [r[1] for r in rows],
+            })
 
     done = chunks.withColumn("_v", vectors(embedding_text() if text is None else text))
-    return done.select(*chunks.columns, "_v.dense_vector", "_v.sparse_vector")
-
-
-@lru_cache(maxsize=200_000)
-def _word(word: str) -> tuple[int, tuple[float, ...]]:
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:7], 16), tuple(int(h, 16) - 7.5 for h in digest)
+    return done.select(
+        *chunks.columns, F.col("_v.dense").alias("dense_vector"),
+        csr_row(F.col("_v.tokens"), F.col("_v.weights")).alias("sparse_vector"),
+    )
 
 
 def hashed_terms() -> Encoder:
-    """Term counts under a 28-bit hash, and their fixed projection to 32 dimensions."""
+    """Term counts under a 28-bit hash, and their fixed projection to 32 dimensions (one per
+    hex digit of the hash)."""
     token = re.compile(r"[a-z]+")
 
+    def one(text: str) -> tuple[np.ndarray, CsrRow]:
+        counts = Counter(token.findall(text))
+        digests = b"".join(hashlib.md5(w.encode()).digest() for w in counts)
+        octets = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16).astype(np.int64)
+        n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        digits = np.stack([octets >> 4, octets & 15], axis=2).reshape(-1, 32)
+        ids = (octets[:, 0] << 20) | (octets[:, 1] << 12) | (octets[:, 2] << 4) | (octets[:, 3] >> 4)
+        tokens, place = np.unique(ids, return_inverse=True)
+        weights = np.bincount(place, weights=n, minlength=len(tokens))
+        return (n @ (digits - 7.5)).astype(np.float32), (tokens.astype(np.int32), weights.astype(np.float32))
+
     def encode(texts: Sequence[str]):
-        dense, sparse = [], []
-        for text in texts:
-            counts = Counter(token.findall(text))
-            total = np.zeros(32)
-            weights: dict[int, float] = {}
-            for word, n in counts.items():
-                token_id, direction = _word(word)
-                weights[token_id] = weights.get(token_id, 0.0) + n
-                total += n * np.asarray(direction)
-            dense.append(total.astype(np.float32))
-            sparse.append(weights)
-        return dense, sparse
+        done = [one(t) for t in texts]
+        return [d for d, _ in done], [r for _, r in done]
 
     return encode

@@ -1,7 +1,7 @@
 """Registered queries over the test tables, each with its SQL statement of the same result."""
 
 from tomeworks.plans import (  # noqa: F401
-    builder_queries, chunk_queries, document_queries, retrieval_queries, trace_queries,
+    builder_queries, chunk_queries, document_queries, log_queries, quality_queries, retrieval_queries, trace_queries,
 )
 from tomeworks.plans.base import HEADLINE, QUERIES, STATEMENTS
 

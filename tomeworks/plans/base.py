@@ -37,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by hash when a table comes in fewer splits than there are cores, as a small
+    single file does. A large table has splits enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- SQL text helpers -------------------------------------------------------------------
 
 def quote(text: str) -> str:
@@ -105,7 +116,7 @@ DATA_INTENTS: IntentWords = (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a chunk table; Spanish ones carry no item name."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(
         F.col("doc_id").alias("chunk_id"),
         F.col("text").alias("content"),

@@ -29,7 +29,7 @@ def md_pages(spark, sf_dir):
     text = F.col("html")
     for pattern, out in _STEPS:
         text = F.regexp_replace(text, pattern, out.replace("{1}", "$1").replace("{2}", "$2"))
-    return b.table(spark, sf_dir, "pages").select(
+    return b.dealt(b.table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").alias("doc_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("file_title"),
         text.alias("md_content"))
 
@@ -95,7 +95,7 @@ def merged_sections(spark, sf_dir):
 @query("document_chunks")
 def document_chunks(spark, sf_dir):
     """The whole import path over pages and documents: sections, tables, splitting, merging."""
-    docs = b.table(spark, sf_dir, "documents").select(
+    docs = b.documents(spark, sf_dir).select(
         (F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("source").alias("file_title"), F.col("text").alias("md_content"))
     chunks = D.import_chunks(md_pages(spark, sf_dir).unionByName(docs))
     return chunks.drop("chunk_id")

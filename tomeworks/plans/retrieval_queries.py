@@ -25,7 +25,7 @@ scored AS (SELECT query_id, chunk_id, CAST(len(list_intersect(q.chars, c.chars))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
 WHERE rank <= 4""")
 def overlap_topk(spark, sf_dir):
-    chunks = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    chunks = b.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return R.search_overlap(questions(spark, sf_dir), chunks, K)
 
 
@@ -63,7 +63,7 @@ dense AS (
 
 def embedded(spark, sf_dir):
     """Questions and documents with the hashed test vectors; texts without words have none."""
-    docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text"))
+    docs = b.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text"))
     asked = questions(spark, sf_dir).withColumnRenamed("query", "text")
     return tuple(
         E.embed(df, E.hashed_terms, text=F.col("text")).withColumn(
@@ -79,7 +79,7 @@ def embedded(spark, sf_dir):
 SELECT doc_id, count(DISTINCT token) AS tokens, CAST(count(*) AS DOUBLE) AS weight, CAST(sum(x) AS DOUBLE) AS first
 FROM t GROUP BY doc_id""")
 def embed_chunks(spark, sf_dir):
-    d = b.table(spark, sf_dir, "documents").select(
+    d = b.documents(spark, sf_dir).select(
         "doc_id", F.concat_ws("-", "source", "lang").alias("item_name"), F.col("text").alias("content"))
     v = E.embed(d, E.hashed_terms)
     total = F.aggregate(F.map_values("sparse_vector"), F.lit(0.0), lambda a, w: a + w)
