@@ -24,7 +24,7 @@ from tomeworks.functions.text import (
 )
 from tomeworks.operators.retrieval import recalled
 from tomeworks.operators.sampling import (
-    attach_ids, dedupe, first_per_key, rank_in_hash_order, stratified_split, take_in_hash_order,
+    attach_ids, dedupe, first_per_key, rank_in_hash_order, stratified_split,
 )
 from tomeworks.operators.settle import settle
 
@@ -148,16 +148,14 @@ def pick_conflicting(pool: DataFrame, seed: int = SEED) -> DataFrame:
     return _picks(pool.where("changes"), "conflicting", seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
 
 
-def _choose(picks: DataFrame, n: int, generations: DataFrame | None = None, accept: Column | None = None) -> DataFrame:
-    """The first ``n`` picks; with generated wording, the first ``n`` whose wording is usable."""
-    if generations is not None:
-        texts = generations.select("request_id", "question", "answer")
-        usable = (text_or_empty(F.col("question")) != "") & (text_or_empty(F.col("answer")) != "") & accept
-        picks = picks.join(texts.where(usable), "request_id")
-    else:
-        none = F.lit(None).cast("string")
-        picks = picks.withColumns({"question": none, "answer": none})
-    return take_in_hash_order(picks, n, "ord").drop("rank")
+def _limits(needs: Mapping[str, int]) -> Column:
+    """The row limit of each ``kind`` as a column."""
+    return F.create_map(*[F.lit(v) for pair in needs.items() for v in pair])[F.col("kind")]
+
+
+def first_of_kinds(df: DataFrame, needs: Mapping[str, int]) -> DataFrame:
+    """The first rows of each kind in hash order, all kinds in one pass."""
+    return rank_in_hash_order(df, "ord", ["kind"], limit=_limits(needs)).drop("rank", "stratum_rows")
 
 
 def gather(picks: DataFrame, chunks: DataFrame, **columns: Column) -> DataFrame:
@@ -229,25 +227,44 @@ def render_stage1(rows: DataFrame) -> DataFrame:
 
 
 _STAGE1 = {
-    "answerable": (pick_answerable, lambda: F.array_contains(citations_c(F.col("answer")), "C1")),
-    "multi_chunk": (pick_multi, lambda: F.size(citations_c(F.col("answer"))) > 0),
-    "unanswerable": (pick_unanswerable, lambda: is_refusal(F.col("answer"))),
-    "conflicting": (pick_conflicting, None),
+    "answerable": pick_answerable,
+    "multi_chunk": pick_multi,
+    "unanswerable": pick_unanswerable,
+    "conflicting": pick_conflicting,
 }
 
 
-def _stage1_choice(kind: str, pool: DataFrame, target: int, seed: int, generations: DataFrame | None) -> DataFrame:
-    pick, accept = _STAGE1[kind]
-    if accept is None or generations is None:
-        return _choose(pick(pool, seed), target)
-    return _choose(pick(pool, seed), target, generations, accept())
+def _wording_accepted() -> Column:
+    """What a generated answer must show; conflicts always use the template."""
+    kind, cited = F.col("kind"), citations_c(F.col("answer"))
+    rule = (
+        F.when(kind == "answerable", F.array_contains(cited, "C1"))
+        .when(kind == "multi_chunk", F.size(cited) > 0)
+        .otherwise(is_refusal(F.col("answer")))
+    )
+    worded = (text_or_empty(F.col("question")) != "") & (text_or_empty(F.col("answer")) != "")
+    return (kind == "conflicting") | (worded & F.coalesce(rule, F.lit(False)))
+
+
+def choose_stage1(pool: DataFrame, needs: Mapping[str, int], seed: int = SEED,
+                  generations: DataFrame | None = None) -> DataFrame:
+    """The first picks of each kind; with generated wording, the first whose wording is usable."""
+    picks = reduce(DataFrame.unionByName, [_STAGE1[kind](pool, seed) for kind in needs])
+    if generations is None:
+        none = F.lit(None).cast("string")
+        picks = picks.withColumns({"question": none, "answer": none})
+    else:
+        texts = generations.select("request_id", "question", "answer").where(
+            ~F.col("request_id").startswith("conflicting:"))
+        picks = picks.join(texts, "request_id", "left").where(_wording_accepted())
+    return first_of_kinds(picks, needs)
 
 
 def build_kind(chunks: DataFrame, kind: str, target: int, seed: int = SEED,
                generations: DataFrame | None = None) -> DataFrame:
     """Stage-1 samples of one kind: ``answerable``, ``multi_chunk``, ``unanswerable`` or
     ``conflicting``. Generated wording is optional for the first three."""
-    chosen = _stage1_choice(kind, stage1_pool(chunks, seed), target, seed, generations)
+    chosen = choose_stage1(stage1_pool(chunks, seed), {kind: target}, seed, generations)
     return render_stage1(_stage1_rows(chosen, chunks, seed))
 
 
@@ -263,9 +280,8 @@ def build_stage1(
 ) -> SampleSet:
     """All four kinds, de-duplicated, numbered and split."""
     pool = settle(stage1_pool(chunks, seed))
-    chosen = settle(reduce(DataFrame.unionByName, [
-        _stage1_choice(kind, pool, rows, seed, generations) for kind, _, rows in plan_targets(total, ratios)
-    ]))
+    needs = {kind: rows for kind, _, rows in plan_targets(total, ratios)}
+    chosen = settle(choose_stage1(pool, needs, seed, generations))
     drawn = settle(render_stage1(_stage1_rows(chosen, chunks, seed)).withColumns({
         "ord": rnd(seed, "shuffle", F.col("request_id")),
         "fp": fingerprint(F.col("question"), F.transform("contexts", lambda c: c["text"])),
@@ -330,15 +346,19 @@ def _tries(need: int, factor: int) -> int:
 
 
 def pick_stage2(pool: DataFrame, kind: str, subtype: str, tries: int, seed: int = SEED) -> DataFrame:
-    """The first ``tries`` picks of a type. Any usable chunk serves the single-chunk types and
-    both recall refusals; ``conflict`` wants a number in it; ``multi_hop`` takes groups."""
-    name = subtype or kind
+    """All picks of a type. Any usable chunk serves the single-chunk types and both recall
+    refusals; ``conflict`` wants a number in it; ``multi_hop`` takes groups, enough for
+    ``tries`` of them."""
     if kind == "multi_hop":
-        found = _groups_of_item(pool, seed, kind, tries)
-    else:
-        usable = pool.where("fits and numeric" if subtype == "conflict" else "fits")
-        found = _picks(usable, name, seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
-    return take_in_hash_order(found, tries, "ord").drop("rank")
+        return _groups_of_item(pool, seed, kind, tries)
+    usable = pool.where("fits and numeric" if subtype == "conflict" else "fits")
+    return _picks(usable, subtype or kind, seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
+
+
+def choose_stage2(pool: DataFrame, plan: Sequence[tuple[str, str, int]], seed: int = SEED) -> DataFrame:
+    """For each ``(type, subtype, tries)`` of ``plan`` the first ``tries`` picks."""
+    picks = reduce(DataFrame.unionByName, [pick_stage2(pool, k, s, tries, seed) for k, s, tries in plan])
+    return first_of_kinds(picks, {s or k: tries for k, s, tries in plan})
 
 
 def stage2_rows(picks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -386,28 +406,38 @@ def render_stage2(rows: DataFrame, kind: str, subtype: str = "", seed: int = SEE
 def build_type(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED,
                system: str = K.SYSTEM_PROMPT) -> DataFrame:
     """Candidates of one type, before gate and de-duplication."""
-    picks = pick_stage2(stage2_pool(chunks), kind, subtype, tries, seed)
+    picks = choose_stage2(stage2_pool(chunks), [(kind, subtype, tries)], seed)
     return render_stage2(stage2_rows(picks, chunks), kind, subtype, seed, system)
 
 
-def _accept(candidates: DataFrame, need: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Walk candidates in order until ``need`` are accepted: the accepted ones, and what was
-    dropped on the way."""
-    checked = candidates.withColumns({
+def _rounds(plan: Sequence[tuple[str, str, int]]) -> list[list[tuple[str, str, int]]]:
+    """Types that cannot collide are handled together. Two samples are copies only if their
+    questions agree, and only the two recall refusals share one; the later waits for the earlier."""
+    late = [p for p in plan if p[1] == "weak_recall"]
+    return [r for r in ([p for p in plan if p not in late], late) if r]
+
+
+def _accept(candidates: DataFrame, needs: Mapping[str, int], seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Walk the candidates of each ``kind`` in order until its need is met: the accepted ones,
+    and the reasons of those dropped on the way."""
+    checked = settle(candidates.withColumns({
         "reason": gate_reason(), "fp": message_fingerprint(R.turn(F.col("messages"), 1)),
-    })
+    }))
     usable = checked.where(F.col("reason").isNull())
     if seen is not None:
         usable = usable.join(seen, "fp", "left_anti")
-    accepted = settle(take_in_hash_order(dedupe(usable, "fp", "ord"), need, "ord"))
-    stop = accepted.agg(
-        F.when(F.count("*") >= need, F.max("ord")).otherwise("~").alias("stop")
-    ).scalar()
-    dropped = (
-        checked.where(F.col("ord") <= stop).join(accepted.select("request_id"), "request_id", "left_anti")
-        .select(F.coalesce("reason", F.lit("duplicate")).alias("reason"))
+    firsts = first_per_key(usable, ["kind", "fp"], [F.col("ord")]).drop("_rank")
+    accepted = settle(first_of_kinds(firsts, needs))
+    stops = accepted.groupBy("kind").agg(F.max("ord").alias("last"), F.count("*").alias("n")).select(
+        "kind", F.when(F.col("n") >= _limits(needs), F.col("last")).alias("stop")
+    )
+    passed = checked.select("kind", "request_id", "ord", "reason").join(stops, "kind", "left").where(
+        F.col("stop").isNull() | (F.col("ord") <= F.col("stop"))
+    )
+    dropped = passed.join(accepted.select("request_id"), "request_id", "left_anti").select(
+        F.coalesce("reason", F.lit("duplicate")).alias("reason")
     )
-    return accepted.drop("rank"), dropped
+    return accepted, dropped
 
 
 def expand(
@@ -416,20 +446,21 @@ def expand(
     system: str = K.SYSTEM_PROMPT,
 ) -> SampleSet:
     """Messages samples of all types: draw, gate, de-duplicate, cap, split and number."""
-    order = [*K.GROUNDED_TYPES, "refuse"]
-    plan = sorted((p for p in plan_targets(total, ratios, subtypes) if p[2]), key=lambda p: order.index(p[0]))
+    plan = [p for p in plan_targets(total, ratios, subtypes) if p[2]]
     pool = settle(stage2_pool(chunks))
-    picks = settle(reduce(DataFrame.unionByName, [
-        pick_stage2(pool, kind, subtype, _tries(need, 10 if kind == "refuse" else 8), seed)
-        for kind, subtype, need in plan
-    ]))
+    drawn = [(kind, subtype, _tries(need, 10 if kind == "refuse" else 8)) for kind, subtype, need in plan]
+    picks = settle(choose_stage2(pool, drawn, seed))
     rows = settle(stage2_rows(picks, chunks))
     parts: list[DataFrame] = []
     drops: list[DataFrame] = []
-    for kind, subtype, need in plan:
-        found = render_stage2(rows.where(F.col("kind") == (subtype or kind)), kind, subtype, seed, system)
+    for together in _rounds(plan):
+        found = reduce(DataFrame.unionByName, [
+            render_stage2(rows.where(F.col("kind") == (subtype or kind)), kind, subtype, seed, system)
+            .withColumn("kind", F.lit(subtype or kind))
+            for kind, subtype, _ in together
+        ])
         seen = reduce(DataFrame.unionByName, [p.select("fp") for p in parts]) if parts else None
-        accepted, dropped = _accept(found, need, seen)
+        accepted, dropped = _accept(found, {s or k: need for k, s, need in together}, seen)
         parts.append(accepted)
         drops.append(dropped)
     samples = finish(reduce(DataFrame.unionByName, parts), holdout, seed)
@@ -465,7 +496,7 @@ def build_stats(samples: DataFrame) -> DataFrame:
 
 def requests(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED) -> DataFrame:
     """``request_id, ord, item, seeds``: material for a question model, seeds as contexts."""
-    picks = pick_stage2(stage2_pool(chunks), kind, subtype, tries, seed)
+    picks = choose_stage2(stage2_pool(chunks), [(kind, subtype, tries)], seed)
     return stage2_rows(picks, chunks).select("request_id", "ord", "item", "seeds")
 
 

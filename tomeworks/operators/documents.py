@@ -167,6 +167,11 @@ def _pieces(work: pd.Series) -> pd.Series:
     return work.map(one)
 
 
+# Non-deterministic, so that no filter on a section evaluates them a second time.
+_linearized = _linearized.asNondeterministic()
+_pieces = _pieces.asNondeterministic()
+
+
 def split_long(docs: DataFrame, max_len: int = K.MAX_SECTION) -> DataFrame:
     """Cut sections that exceed ``max_len`` with their title into numbered sub-sections."""
     if max_len <= 0:

@@ -48,7 +48,9 @@ def embed(chunks: DataFrame, make_encoder: Callable[[], Encoder], batch_size: in
                 "dense": dense, "tokens": [r[0] for r in rows], "weights": [r[1] for r in rows],
             })
 
-    done = chunks.withColumn("_v", vectors(embedding_text() if text is None else text))
+    # Declared non-deterministic so that no filter on a vector evaluates the encoder again below.
+    once = vectors.asNondeterministic()
+    done = chunks.withColumn("_v", once(embedding_text() if text is None else text))
     return done.select(
         *chunks.columns, F.col("_v.dense").alias("dense_vector"),
         csr_row(F.col("_v.tokens"), F.col("_v.weights")).alias("sparse_vector"),

@@ -50,7 +50,10 @@ class OverlapScorer:
 
 
 class SparseScorer:
-    """Inner product of sparse rows; pairs without a common token score minus infinity."""
+    """Inner product of sparse rows; pairs without a common token score minus infinity.
+
+    Queries are taken 64 at a time, so the columns of a product are the tokens of 64 queries.
+    """
 
     BLOCK = 64
     CELLS = 4_000_000
@@ -62,11 +65,11 @@ class SparseScorer:
         for start in range(0, self.width, self.BLOCK):
             part = rows[start:start + self.BLOCK]
             ids = [np.asarray(i, dtype=np.int64) for i, _ in part]
-            tokens = np.unique(np.concatenate(ids)) if ids else np.zeros(0, dtype=np.int64)
+            tokens = np.unique(np.concatenate(ids))
             weights = np.zeros((len(tokens), len(part)))
             for q, (_, w) in enumerate(part):
                 weights[np.searchsorted(tokens, ids[q]), q] = w
-            self.blocks.append((start, tokens, weights))
+            self.blocks.append((start, tokens, weights, bool((weights >= 0).all())))
 
     def score(self, frame: pd.DataFrame) -> np.ndarray:
         sizes = frame["tokens"].map(len).to_numpy()
@@ -75,23 +78,22 @@ class SparseScorer:
             return out
         tokens = np.concatenate([np.asarray(t, dtype=np.int64) for t in frame["tokens"]])
         weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in frame["weights"]])
-        owner = np.repeat(np.arange(len(frame)), sizes)
-        for start, known, matrix in self.blocks:
-            if not len(known):
-                continue
+        edges = np.r_[0, np.cumsum(sizes)]
+        positive = bool((weights > 0).all())
+        for start, known, matrix, plain in self.blocks:
             at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-            hit = np.flatnonzero(known[at] == tokens)
-            step = max(1, self.CELLS // matrix.shape[1])
-            total = np.zeros((len(frame), matrix.shape[1]))
-            shared = np.zeros((len(frame), matrix.shape[1]), dtype=bool)
-            for lo in range(0, len(hit), step):
-                h = hit[lo:lo + step]
-                edges = np.flatnonzero(np.r_[True, owner[h][1:] != owner[h][:-1]])
-                rows = owner[h][edges]
-                cells = matrix[at[h]]
-                total[rows] += np.add.reduceat(weights[h][:, None] * cells, edges)
-                shared[rows] |= np.logical_or.reduceat(cells != 0, edges)
-            out[:, start:start + matrix.shape[1]] = np.where(shared, np.round(total, self.digits), -np.inf)
+            hit = known[at] == tokens
+            step = max(1, self.CELLS // len(known))
+            for lo in range(0, len(frame), step):
+                hi = min(lo + step, len(frame))
+                cut = slice(edges[lo], edges[hi])
+                owner = np.repeat(np.arange(hi - lo), sizes[lo:hi])[hit[cut]]
+                rows = np.zeros((hi - lo, len(known)))
+                rows[owner, at[cut][hit[cut]]] = weights[cut][hit[cut]]
+                total = rows @ matrix
+                # With positive weights a shared token shows in the product itself.
+                shared = total > 0 if positive and plain else ((rows != 0) * 1.0) @ ((matrix != 0) * 1.0) > 0
+                out[lo:hi, start:start + matrix.shape[1]] = np.where(shared, np.round(total, self.digits), -np.inf)
         return out
 
 

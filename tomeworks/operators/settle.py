@@ -1,17 +1,29 @@
-"""Cutting lineage so that a small intermediate result is computed once."""
+"""Cutting lineage so that an intermediate result is computed once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a session without that
+    setting (a test) gets a folder of its own, for as long as the session lasts."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's ``spark.checkpoint.dir``; it survives lost
-    executors. Only a session without that setting (a test) gets a directory of its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint()
+    """The rows of ``df`` as a written table in the shared folder.
+
+    It survives lost executors, later steps read only the columns they need, and its known size
+    lets Spark choose a broadcast join where the table is small.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -136,7 +136,7 @@ CHUNKS = """chunks AS (
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as answer traces."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    e = dealt(table(spark, sf_dir, "events"), "event_id").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
     kind = F.col("event_type")
     return e.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),

@@ -103,7 +103,7 @@ def document_chunks(spark, sf_dir):
 
 def spec_sheets(spark, sf_dir):
     """Parts as documents: a key-value table, a spanned HTML table, a Markdown table."""
-    p = b.table(spark, sf_dir, "part")
+    p = b.dealt(b.table(spark, sf_dir, "part"), "p_partkey")
     size, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     rows = F.concat(
         F.lit("Intro\n<table><tr><td>brand</td><td>"), "p_brand", F.lit("</td></tr><tr><td></td><td>"), "p_type",
