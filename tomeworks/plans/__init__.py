@@ -2,6 +2,7 @@
 
 from tomeworks.plans import (  # noqa: F401
     builder_queries, chunk_queries, document_queries, log_queries, quality_queries, retrieval_queries, trace_queries,
+    understanding_queries,
 )
 from tomeworks.plans.base import HEADLINE, QUERIES, STATEMENTS
 
