@@ -33,8 +33,9 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
-def file_name() -> Column:
-    return F.col("_metadata.file_name")
+def _decoded(name: Column) -> Column:
+    """A file name as it is on disk; Spark reports it percent-encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def _suffix(name: Column) -> Column:
@@ -45,7 +46,7 @@ def _suffix(name: Column) -> Column:
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, file_title, suffix, accepted, reason`` of every file, without reading contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select("path", F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name"))
+    named = files.select("path", _decoded(F.col("_metadata.file_name")).alias("name"))
     suffix = _suffix(F.col("name"))
     return named.select(
         "path",
@@ -63,10 +64,9 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files as one row each: ``doc_id, path, file_title, md_content``."""
     texts = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md").text(path)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     )
-    name = file_name()
+    name = _decoded(F.col("_metadata.file_name"))
     return texts.select(
         F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"),
         F.col("_metadata.file_path").alias("path"),
