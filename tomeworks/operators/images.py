@@ -153,7 +153,10 @@ def rewrite_images(docs: DataFrame, images: DataFrame) -> DataFrame:
         ),
         woven,
     )
-    joined = docs.join(known, "doc_id", "left")
-    return joined.withColumn(
+    # Documents without an image reference skip the join, and with it the shuffle of their text.
+    refers = F.coalesce(F.col("md_content").contains("!["), F.lit(False))
+    joined = docs.where(refers).join(known, "doc_id", "left")
+    changed = joined.withColumn(
         "md_content", F.when(F.col("_known").isNull(), F.col("md_content")).otherwise(rewritten)
     ).drop("_known")
+    return changed.unionByName(docs.where(~refers))

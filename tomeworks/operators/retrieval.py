@@ -147,6 +147,9 @@ def pack_contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:
     lines = ranked.where(text_or_empty(F.col("content")) != "").select(
         "query_id", "rank", F.concat(F.concat_ws(" ", *parts), F.lit("\n"), F.col("content")).alias("line")
     )
+    # A line has at least eight characters and two to separate it, so only so many can fit; the
+    # rest of a long ranking is pruned before the shuffle.
+    lines = first_per_key(lines, ["query_id"], [F.col("rank")], (budget + 2) // 10 + 1)
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.length("line")).over(running) + 2 * (F.count("*").over(running) - 1)
     fitting = lines.withColumn("used", used).where(F.col("used") <= budget)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 
 SLICE = 2048
+CELLS = 4_000_000
 
 
 class DenseScorer:
@@ -38,6 +39,7 @@ class OverlapScorer:
     def __init__(self, texts: Sequence[str]) -> None:
         self.at = {c: i for i, c in enumerate(sorted(set().union(*map(set, texts))))}
         self.wanted = frozenset(self.at)
+        self.rows = max(1, CELLS // max(1, len(self.at)))
         self.queries = np.zeros((len(self.at), len(texts)), dtype=np.float32)
         for q, text in enumerate(texts):
             self.queries[[self.at[c] for c in set(text)], q] = 1.0
@@ -56,7 +58,6 @@ class SparseScorer:
     """
 
     BLOCK = 64
-    CELLS = 4_000_000
 
     def __init__(self, rows: Sequence[tuple[Sequence[int], Sequence[float]]], digits: int = 6) -> None:
         self.width = len(rows)
@@ -83,7 +84,7 @@ class SparseScorer:
         for start, known, matrix, plain in self.blocks:
             at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             hit = known[at] == tokens
-            step = max(1, self.CELLS // len(known))
+            step = max(1, CELLS // len(known))
             for lo in range(0, len(frame), step):
                 hi = min(lo + step, len(frame))
                 cut = slice(edges[lo], edges[hi])
@@ -130,7 +131,8 @@ def best_of(frames: Iterator[pd.DataFrame], scorer, query_ids: np.ndarray, k: in
     """Scores of all frames of one task, reduced to ``k`` rows per query."""
     top = TopK(len(query_ids), k)
     for frame in frames:
-        for lo in range(0, len(frame), SLICE):
-            part = frame.iloc[lo:lo + SLICE]
+        step = min(SLICE, getattr(scorer, "rows", SLICE))
+        for lo in range(0, len(frame), step):
+            part = frame.iloc[lo:lo + step]
             top.offer(scorer.score(part), part["chunk_id"].to_numpy())
     return pd.DataFrame({"query_id": query_ids[top.q], "chunk_id": top.i, "score": top.s})
