@@ -64,9 +64,8 @@ def targets_table(spark, plan: Sequence[tuple[str, str, int]]) -> DataFrame:
 # A pick is ``request_id, kind, ord, item, other, ids``: no text. Picks of all kinds are settled
 # first, then one join reads the chunks they name.
 
-def _picks(df: DataFrame, kind: str, seed: int, key: Column, ids: Column, item: Column,
-           other: Column | None = None) -> DataFrame:
-    return df.select(
+def _pick(kind: str, seed: int, key: Column, ids: Column, item: Column, other: Column | None = None) -> Column:
+    return F.struct(
         F.concat(F.lit(f"{kind}:"), key.cast("string")).alias("request_id"),
         F.lit(kind).alias("kind"),
         rnd(seed, kind, key).alias("ord"),
@@ -76,6 +75,15 @@ def _picks(df: DataFrame, kind: str, seed: int, key: Column, ids: Column, item:
     )
 
 
+def _single_picks(pool: DataFrame, rules: Mapping[str, Column], seed: int) -> DataFrame:
+    """Picks of one chunk each for several kinds, in one pass over the pool."""
+    found = [
+        F.when(rule, _pick(kind, seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item")))
+        for kind, rule in rules.items()
+    ]
+    return pool.select(F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.*")
+
+
 def stage1_pool(chunks: DataFrame, seed: int = SEED) -> DataFrame:
     """``chunk_id, item, fits, changes``: what the stage-1 kinds need to know about each chunk."""
     content = text_or_empty(F.col("content"))
@@ -111,7 +119,8 @@ def _groups_of_item(pool: DataFrame, seed: int, kind: str, groups: int) -> DataF
     )
     size = unit_fraction(rnd(seed, f"{kind}-size", F.col("key")), F.lit(2)) + 2
     ids = F.slice(F.transform("rows", lambda r: r["chunk_id"]), F.lit(1), size.cast("int"))
-    return _picks(grouped.where(F.size("rows") >= 2), kind, seed, F.col("key"), ids, F.col("item"))
+    found = grouped.where(F.size("rows") >= 2)
+    return found.select(_pick(kind, seed, F.col("key"), ids, F.col("item")).alias("p")).select("p.*")
 
 
 def item_ring(pool: DataFrame, seed: int = SEED, purpose: str = "items") -> DataFrame:
@@ -128,10 +137,6 @@ def item_ring(pool: DataFrame, seed: int = SEED, purpose: str = "items") -> Data
     return asked.join(others, "_at").where(F.col("item") != F.col("other")).select("item", "other")
 
 
-def pick_answerable(pool: DataFrame, seed: int = SEED) -> DataFrame:
-    return _picks(pool.where("fits"), "answerable", seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
-
-
 def pick_multi(pool: DataFrame, seed: int = SEED) -> DataFrame:
     return _groups_of_item(pool.where("fits"), seed, "multi_chunk", 1)
 
@@ -141,11 +146,8 @@ def pick_unanswerable(pool: DataFrame, seed: int = SEED) -> DataFrame:
                          rnd(seed, "unanswerable-chunk", F.col("chunk_id")).alias("_h"))
     shown = first_per_key(narrow, ["other"], [F.desc("fits"), F.asc("_h")])
     rows = item_ring(pool, seed).join(shown, "other")
-    return _picks(rows, "unanswerable", seed, F.col("item"), F.array("chunk_id"), F.col("item"), F.col("other"))
-
-
-def pick_conflicting(pool: DataFrame, seed: int = SEED) -> DataFrame:
-    return _picks(pool.where("changes"), "conflicting", seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
+    pick = _pick("unanswerable", seed, F.col("item"), F.array("chunk_id"), F.col("item"), F.col("other"))
+    return rows.select(pick.alias("p")).select("p.*")
 
 
 def _limits(needs: Mapping[str, int]) -> Column:
@@ -226,12 +228,16 @@ def render_stage1(rows: DataFrame) -> DataFrame:
     )
 
 
-_STAGE1 = {
-    "answerable": pick_answerable,
-    "multi_chunk": pick_multi,
-    "unanswerable": pick_unanswerable,
-    "conflicting": pick_conflicting,
-}
+_STAGE1_RULES = {"answerable": "fits", "conflicting": "changes"}
+_STAGE1_GROUPS = {"multi_chunk": pick_multi, "unanswerable": pick_unanswerable}
+
+
+def pick_stage1(pool: DataFrame, kinds: Sequence[str], seed: int = SEED) -> DataFrame:
+    parts = [_STAGE1_GROUPS[k](pool, seed) for k in kinds if k in _STAGE1_GROUPS]
+    rules = {k: F.col(_STAGE1_RULES[k]) for k in kinds if k in _STAGE1_RULES}
+    if rules:
+        parts.append(_single_picks(pool, rules, seed))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _wording_accepted() -> Column:
@@ -249,7 +255,7 @@ def _wording_accepted() -> Column:
 def choose_stage1(pool: DataFrame, needs: Mapping[str, int], seed: int = SEED,
                   generations: DataFrame | None = None) -> DataFrame:
     """The first picks of each kind; with generated wording, the first whose wording is usable."""
-    picks = reduce(DataFrame.unionByName, [_STAGE1[kind](pool, seed) for kind in needs])
+    picks = pick_stage1(pool, list(needs), seed)
     if generations is None:
         none = F.lit(None).cast("string")
         picks = picks.withColumns({"question": none, "answer": none})
@@ -298,23 +304,23 @@ def build_stage1(
 # --- Stage 2 -------------------------------------------------------------------------------
 
 def make_messages_sample(
-    df: DataFrame, kind: str, subtype: Column, contexts: Column, question: Column, answer: Column,
+    df: DataFrame, kind: Column, subtype: Column, contexts: Column, question: Column, answer: Column,
     synthetic: Column, system: str,
 ) -> DataFrame:
     """``messages`` and ``meta`` next to the columns of ``df``."""
-    built = df.withColumns({"_ctx": contexts, "_subtype": subtype})
+    built = df.withColumns({"_type": kind, "_ctx": contexts, "_subtype": subtype})
     return built.withColumns({
         "messages": R.messages(system, R.user_message(R.render_contexts_n(F.col("_ctx")), question), answer),
         "meta": F.struct(
-            F.lit(kind).alias("type"),
+            F.col("_type").alias("type"),
             F.col("_subtype").cast("string").alias("subtype"),
             synthetic.alias("synthetic"),
             F.transform("_ctx", lambda c: F.coalesce(nz(c["source"]), F.lit(K.UNKNOWN_SOURCE))).alias("sources"),
             F.filter(F.transform("_ctx", lambda c: c["chunk_id"]), lambda i: i.isNotNull()).alias("source_chunk_ids"),
-            F.array(*[F.lit(c) for c in K.STAGE2_CAPABILITIES[kind]]).alias("battle_capabilities"),
+            R.capabilities(F.col("_type"), K.STAGE2_CAPABILITIES).alias("battle_capabilities"),
             F.lit(K.STAGE2_SCHEMA).alias("source_schema"),
         ),
-    }).drop("_ctx", "_subtype")
+    }).drop("_type", "_ctx", "_subtype")
 
 
 def gate_reason(cues: Sequence[str] = K.REFUSAL_CUES) -> Column:
@@ -345,20 +351,23 @@ def _tries(need: int, factor: int) -> int:
     return max(50, need * factor)
 
 
-def pick_stage2(pool: DataFrame, kind: str, subtype: str, tries: int, seed: int = SEED) -> DataFrame:
-    """All picks of a type. Any usable chunk serves the single-chunk types and both recall
-    refusals; ``conflict`` wants a number in it; ``multi_hop`` takes groups, enough for
-    ``tries`` of them."""
-    if kind == "multi_hop":
-        return _groups_of_item(pool, seed, kind, tries)
-    usable = pool.where("fits and numeric" if subtype == "conflict" else "fits")
-    return _picks(usable, subtype or kind, seed, F.col("chunk_id"), F.array("chunk_id"), F.col("item"))
-
-
 def choose_stage2(pool: DataFrame, plan: Sequence[tuple[str, str, int]], seed: int = SEED) -> DataFrame:
-    """For each ``(type, subtype, tries)`` of ``plan`` the first ``tries`` picks."""
-    picks = reduce(DataFrame.unionByName, [pick_stage2(pool, k, s, tries, seed) for k, s, tries in plan])
-    return first_of_kinds(picks, {s or k: tries for k, s, tries in plan})
+    """For each ``(type, subtype, tries)`` of ``plan`` the first ``tries`` picks.
+
+    Any usable chunk serves the single-chunk types and both recall refusals; ``conflict`` wants a
+    number in it; ``multi_hop`` takes groups, enough for ``tries`` of them.
+    """
+    tries = {subtype or kind: n for kind, subtype, n in plan}
+    parts = []
+    if "multi_hop" in tries:
+        parts.append(_groups_of_item(pool, seed, "multi_hop", tries["multi_hop"]))
+    rules = {
+        name: F.col("fits") & F.col("numeric") if name == "conflict" else F.col("fits")
+        for name in tries if name != "multi_hop"
+    }
+    if rules:
+        parts.append(_single_picks(pool, rules, seed))
+    return first_of_kinds(reduce(DataFrame.unionByName, parts), tries)
 
 
 def stage2_rows(picks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -374,40 +383,42 @@ _SINGLE = {
 }
 
 
-def render_stage2(rows: DataFrame, kind: str, subtype: str = "", seed: int = SEED,
-                  system: str = K.SYSTEM_PROMPT) -> DataFrame:
-    """Template samples of one type from gathered picks."""
-    seeds, text = F.col("seeds"), F.get("seeds", F.lit(0))["text"]
-    contexts, label = seeds, F.lit(None).cast("string")
-    if kind in _SINGLE:
-        question, template = _SINGLE[kind]
-        answer = fill(template, text=first_sentences(text, 1))
-        if kind == "format":
-            label = format_subtype(text)
-    elif kind == "multi_hop":
-        question = K.S2_MULTI_Q
-        told = F.transform(seeds, lambda c, i: F.when(c["text"] != "", F.concat(
-            first_sentences(c["text"], 1), F.lit(" ["), (i + 1).cast("string"), F.lit("]。"))))
-        answer = F.array_join(F.array_compact(told), " ")
-    elif subtype == "conflict":
-        question, label = K.S2_CONFLICT_Q, F.lit(subtype)
-        rows = rows.withColumn("p", perturb_number(text, rnd(seed, "conflict-number", F.col("request_id")))).where(
-            F.col("p.old") != F.col("p.new"))
-        contexts = F.concat(seeds, F.transform(seeds, lambda c: F.struct(
-            F.col("p.text").alias("text"), F.concat(c["source"], F.lit(K.CONFLICT_SOURCE_SUFFIX)).alias("source"),
-            c["chunk_id"].alias("chunk_id"), c["item_name"].alias("item_name"))))
-        answer = fill(K.S2_CONFLICT_A, old=F.col("p.old"), new=F.col("p.new"))
-    else:
-        question, label, answer = K.S2_REFUSE_Q, F.lit(subtype), F.lit(K.S2_REFUSE_A)
-    built = make_messages_sample(rows, kind, label, contexts, F.lit(question), answer, F.lit(True), system)
-    return built.select("request_id", "ord", "messages", "meta")
+def render_stage2(rows: DataFrame, seed: int = SEED, system: str = K.SYSTEM_PROMPT) -> DataFrame:
+    """Template samples from gathered picks of any ``kind`` (a refusal's kind is its subtype)."""
+    kind, seeds, text = F.col("kind"), F.col("seeds"), F.get("seeds", F.lit(0))["text"]
+    changed = F.when(kind == "conflict", perturb_number(text, rnd(seed, "conflict-number", F.col("request_id"))))
+    rows = rows.withColumn("p", changed).where((kind != "conflict") | (F.col("p.old") != F.col("p.new")))
+    told = F.transform(seeds, lambda c, i: F.when(c["text"] != "", F.concat(
+        first_sentences(c["text"], 1), F.lit(" ["), (i + 1).cast("string"), F.lit("]。"))))
+    question = (
+        F.when(kind == "multi_hop", K.S2_MULTI_Q).when(kind == "conflict", K.S2_CONFLICT_Q)
+    )
+    answer = (
+        F.when(kind == "multi_hop", F.array_join(F.array_compact(told), " "))
+        .when(kind == "conflict", fill(K.S2_CONFLICT_A, old=F.col("p.old"), new=F.col("p.new")))
+    )
+    for name, (asked, template) in _SINGLE.items():
+        question = question.when(kind == name, asked)
+        answer = answer.when(kind == name, fill(template, text=first_sentences(text, 1)))
+    altered = F.transform(seeds, lambda c: F.struct(
+        F.col("p.text").alias("text"), F.concat(c["source"], F.lit(K.CONFLICT_SOURCE_SUFFIX)).alias("source"),
+        c["chunk_id"].alias("chunk_id"), c["item_name"].alias("item_name")))
+    refused = kind.isin(*K.REFUSE_SUBTYPES)
+    built = make_messages_sample(
+        rows,
+        F.when(refused, "refuse").otherwise(kind),
+        F.when(refused, kind).when(kind == "format", format_subtype(text)),
+        F.when(kind == "conflict", F.concat(seeds, altered)).otherwise(seeds),
+        question.otherwise(K.S2_REFUSE_Q), answer.otherwise(K.S2_REFUSE_A), F.lit(True), system,
+    )
+    return built.select("request_id", "kind", "ord", "messages", "meta")
 
 
 def build_type(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED,
                system: str = K.SYSTEM_PROMPT) -> DataFrame:
     """Candidates of one type, before gate and de-duplication."""
     picks = choose_stage2(stage2_pool(chunks), [(kind, subtype, tries)], seed)
-    return render_stage2(stage2_rows(picks, chunks), kind, subtype, seed, system)
+    return render_stage2(stage2_rows(picks, chunks), seed, system)
 
 
 def _rounds(plan: Sequence[tuple[str, str, int]]) -> list[list[tuple[str, str, int]]]:
@@ -454,11 +465,7 @@ def expand(
     parts: list[DataFrame] = []
     drops: list[DataFrame] = []
     for together in _rounds(plan):
-        found = reduce(DataFrame.unionByName, [
-            render_stage2(rows.where(F.col("kind") == (subtype or kind)), kind, subtype, seed, system)
-            .withColumn("kind", F.lit(subtype or kind))
-            for kind, subtype, _ in together
-        ])
+        found = render_stage2(rows.where(F.col("kind").isin([s or k for k, s, _ in together])), seed, system)
         seen = reduce(DataFrame.unionByName, [p.select("fp") for p in parts]) if parts else None
         accepted, dropped = _accept(found, {s or k: need for k, s, need in together}, seen)
         parts.append(accepted)
@@ -522,7 +529,7 @@ def accept_grounded(asked: DataFrame, generations: DataFrame, retrieved: DataFra
     subtype = format_subtype(F.col("seeds")[0]["text"]) if kind == "format" else F.lit(None)
     answered = found.where(F.col("hit") & (text_or_empty(F.col("answer")) != ""))
     samples = make_messages_sample(
-        answered, kind, subtype, F.col("contexts"), F.col("question"), F.col("answer"), F.lit(False), system
+        answered, F.lit(kind), subtype, F.col("contexts"), F.col("question"), F.col("answer"), F.lit(False), system
     )
     missed = found.where(~F.col("hit")).select("request_id", "ord", "item", "seeds", "question")
     return samples.select("request_id", "ord", "messages", "meta"), missed
@@ -538,7 +545,7 @@ def accept_refusals(asked: DataFrame, generations: DataFrame, subtype: str,
         "answer": F.when(is_refusal(F.col("_a")), F.col("_a")).otherwise(K.S2_REFUSE_FALLBACK_A),
     })
     return make_messages_sample(
-        told, "refuse", F.lit(subtype), F.col("seeds"), F.col("question"), F.col("answer"), F.lit(False), system
+        told, F.lit("refuse"), F.lit(subtype), F.col("seeds"), F.col("question"), F.col("answer"), F.lit(False), system
     ).select("request_id", "ord", "messages", "meta")
 
 
