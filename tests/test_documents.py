@@ -52,7 +52,7 @@ def plain_merge(sections, limit):
 def random_docs(n, seed=1):
     r = random.Random(seed)
     pieces = ["# a", "## b b", "### c", "###### f", "####### g", "#h", "  ## i", "\t# j", "```", "~~~ x", "text", "", "　", "x\r", "# ", "#  ",
-              "para " * 30, "|a|b|", "   ```py"]
+              "para " * 30, "|a|b|", "   ```py", "　# k", "\x1c## l\x1d m", "　~~~", "\x0b```"]
     return [(i, f"f{i % 3}", "\n".join(r.choice(pieces) for _ in range(r.randint(0, 25)))) for i in range(n)]
 
 
@@ -186,3 +186,22 @@ def test_chunk_ids_do_not_depend_on_partitioning(spark, docs):
     df = spark.createDataFrame(docs, DOC)
     ids = [sorted(r[0] for r in D.import_chunks(d).select("chunk_id").collect()) for d in (df, df.repartition(5, F.col("file_title")))]
     assert ids[0] == ids[1] and len(set(ids[0])) == len(ids[0])
+
+
+def test_very_long_documents(spark):
+    """Long runs of blanks do not exhaust the regex stack, many sections stay quick."""
+    blanks = " " * 200_000
+    many = "\n".join(f"{'#' * (i % 6 + 1)} h{i}\nbody {i}\n```\n# no\n```" for i in range(4000))
+    rows = spark.createDataFrame([(1, "f", f"{blanks}# a\n{blanks}x\n```\n" + "y\n" * 100_000), (2, "g", many)], DOC)
+    got = {r["doc_id"]: r["n"] for r in D.explode_sections(D.split_sections(rows)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 1, 2: 4000}
+    assert D.import_chunks(rows).where("doc_id = 2").count() > 100
+
+
+def test_chunk_backup(spark, docs, tmp_path):
+    from tomeworks.sources.files import write_chunks
+
+    chunks = D.import_chunks(spark.createDataFrame(docs[:50], DOC))
+    write_chunks(chunks, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).count() == chunks.count()
+    assert {p.name for p in (tmp_path / "c").iterdir() if p.is_dir()} <= {"file_title=f0", "file_title=f1", "file_title=f2"}

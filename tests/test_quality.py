@@ -110,3 +110,16 @@ def test_validation_reports(spark):
     assert "- errors: 1" in reports.render_quality_report(s, V.validate_samples(s))
     m = table(spark, message(kind="refuse", subtype="conflict", answer="资料不足"))
     assert "conflict=1" in reports.render_messages_report(m, V.validate_messages(m))
+
+
+def test_prompt_part(spark):
+    from tomeworks.functions.rendering import prompt_messages
+
+    row = table(spark, message()).select(prompt_messages(F.col("messages")).alias("p")).first()
+    assert [m["role"] for m in row["p"]] == ["system", "user"]
+
+
+def test_pretrain_check(spark):
+    bad = table(spark, message(roles=("user", "assistant")), message(roles=("user", "system", "assistant")), message(answer=""), message())
+    assert sorted(r["problem"] for r in V.pretrain_check(bad).collect()) == [
+        "empty assistant content", "invalid roles user,system,assistant", "messages must have 3 turns"]

@@ -17,12 +17,12 @@ from tomeworks.functions.text import let, nz, strip, strip_left, strip_right, te
 from tomeworks.operators.splitter import split_to_size
 from tomeworks.operators.tables import linearize_text
 
-# Whitespace inside a line, as Python sees it.
-_BLANK = r"[^\S\n]|[\x1c-\x1f]"
-_FENCE_LINE = rf"^(?:{_BLANK})*+(?:```|~~~)[^\n]*+"
+# Whitespace inside a line, as Python sees it. A plain class: no group to recurse into.
+_BLANK = r"[\s\x1c-\x1f&&[^\n]]"
+_FENCE_LINE = rf"^{_BLANK}*+(?:```|~~~)[^\n]*+"
 # A fenced stretch: from its opening line to the next fence line, or to the end.
 FENCED = rf"(?mdU){_FENCE_LINE}(?s:.*?{_FENCE_LINE}|.*)"
-HEADING = rf"(?mdU)^(?:{_BLANK})*#{{1,6}}(?:{_BLANK})+[^\n]+$"
+HEADING = rf"(?mdU)^{_BLANK}*+#{{1,6}}{_BLANK}+[^\n]+$"
 # Marks where a section starts; a pair of control characters that text files do not contain.
 _MARK = "\x01\x02"
 
