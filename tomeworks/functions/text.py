@@ -163,6 +163,26 @@ def unit_fraction(hex_hash: Column, size: Column) -> Column:
     return F.pmod(F.conv(F.substring(hex_hash, 1, 8), 16, 10).cast("bigint"), size)
 
 
+def one_place(x: Column) -> Column:
+    """A non-negative double with one decimal place, rounded by its exact binary value.
+
+    ``20 x`` tells on which side of a half the value lies. It is kept as a double and its
+    rounding error, so that 23.05 (a little above) and 18.15 (a little below) go different ways.
+    """
+    def tenths(b: Column) -> Column:
+        side = (b["s"] - b["m"]) + (b["x"] * 4 - (b["s"] - b["x"] * 16))
+        low = ((b["m"] - 1) / 2).cast("bigint")
+        half = (F.abs(b["s"] - b["m"]) < 1e-6) & (F.pmod(b["m"].cast("bigint"), F.lit(2)) == 1)
+        at_half = F.when(side > 0, low + 1).when(side < 0, low).otherwise(low + F.pmod(low, F.lit(2)))
+        return F.when(half, at_half).otherwise(F.rint(b["x"] * 10).cast("bigint"))
+
+    s = x * 16 + x * 4
+    return let(
+        let(F.struct(x.alias("x"), s.alias("s"), F.rint(s).alias("m")), tenths),
+        lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string")),
+    )
+
+
 def perturb_number(value: Column, pick: Column) -> Column:
     """Change one number of a text: ``struct(text, old, new)``, NULL when there is none to change.
 
@@ -174,7 +194,7 @@ def perturb_number(value: Column, pick: Column) -> Column:
     def changed(old: Column) -> Column:
         v = F.translate(old, "０１２３４５６７８９", "0123456789").try_cast("double")
         new = F.when(v < 10, v * 2).otherwise(v + F.greatest(F.lit(1.0), F.bround(v * 0.5)))
-        return F.when(old.contains("."), F.bround(new, 1).cast("string")).otherwise(
+        return F.when(old.contains("."), one_place(new)).otherwise(
             new.cast("bigint").cast("string")
         )
 
