@@ -255,6 +255,20 @@ def sft_stats(spark, sf_dir):
     return B.build_stats(B.expand(b.chunks(spark, sf_dir), TOTAL2).samples)
 
 
+def _dropped_sql() -> str:
+    parts = []
+    for kind, subtype, need in _PLAN2:
+        name = subtype or kind
+        parts.append(f"""SELECT count(*) AS n FROM {name}_found WHERE request_id NOT IN (SELECT request_id FROM {name}_kept)
+  AND ord <= CASE WHEN (SELECT count(*) FROM {name}_kept) >= {need} THEN (SELECT max(ord) FROM {name}_kept) ELSE '~' END""")
+    return f"WITH {STAGE2} SELECT 'duplicate' AS reason, CAST(sum(n) AS BIGINT) AS rows FROM ({' UNION ALL '.join(parts)}) HAVING sum(n) > 0"
+
+
+@query("sft_dropped", _dropped_sql(), headline=False)
+def sft_dropped(spark, sf_dir):
+    return B.expand(b.chunks(spark, sf_dir), TOTAL2).dropped
+
+
 @query("item_ring", f"WITH {S2}, {ring('items', 'pool')} SELECT * FROM ring", headline=False)
 def item_ring(spark, sf_dir):
     return B.item_ring(B.stage2_pool(b.chunks(spark, sf_dir)))

@@ -101,6 +101,17 @@ def document_chunks(spark, sf_dir):
     return chunks.drop("chunk_id")
 
 
+@query("chunk_coverage", """
+SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS kept_chars FROM documents
+WHERE regexp_matches(text, '\\S')""")
+def chunk_coverage(spark, sf_dir):
+    """Non-blank characters of each document that its chunks hold: splitting loses none."""
+    docs = b.documents(spark, sf_dir).select("doc_id", F.lit("f").alias("file_title"), F.col("text").alias("md_content"))
+    body = F.substring("content", F.length("title") + 3, F.length("content"))
+    return D.import_chunks(docs).groupBy("doc_id").agg(
+        F.sum(F.length(F.regexp_replace(body, r"\s", ""))).alias("kept_chars"))
+
+
 def spec_sheets(spark, sf_dir):
     """Parts as documents: a key-value table, a spanned HTML table, a Markdown table."""
     p = b.dealt(b.table(spark, sf_dir, "part"), "p_partkey")
