@@ -40,9 +40,10 @@ def main() -> None:
         if only:
             print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
+    scale = Path(sf_dir).name.removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": Path(sf_dir).name.removeprefix("sf"),
+        "queries": times, "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
     }))
 
 

@@ -123,3 +123,10 @@ def test_pretrain_check(spark):
     bad = table(spark, message(roles=("user", "assistant")), message(roles=("user", "system", "assistant")), message(answer=""), message())
     assert sorted(r["problem"] for r in V.pretrain_check(bad).collect()) == [
         "empty assistant content", "invalid roles user,system,assistant", "messages must have 3 turns"]
+
+
+def test_samples_without_id_are_scored(spark):
+    rows = [{**message(id_=None), "pos": 1}, {**message(id_="own"), "pos": 2}]
+    holdout = E.identified(spark.createDataFrame(rows, schemas.MESSAGES_SAMPLE + ", pos int"))
+    scored = E.score_rows(holdout, E.echo_predictor(holdout))
+    assert sorted(r["id"] for r in scored.collect()) == ["own", "sample-000001"]

@@ -25,7 +25,12 @@ def cosine(a, b):
     return round(dot / (sum(x * x for x in a) ** .5 * sum(y * y for y in b) ** .5), 6)
 
 
+def by_inner_product(queries, chunks, k, **limits):
+    return R.search_dense(queries, chunks, k, metric="IP", **limits)
+
+
 SCORES = {
+    "inner": (by_inner_product, lambda q, c: round(sum(x * y for x, y in zip(q[2], c[2])), 6)),
     "overlap": (R.search_overlap, lambda q, c: float(len(set(q[1]) & set(c[1])))),
     "dense": (R.search_dense, lambda q, c: cosine(q[2], c[2])),
     "sparse": (R.search_sparse, lambda q, c: round(sum(w * c[3][t] for t, w in q[3].items() if t in c[3]), 6) if set(q[3]) & set(c[3]) else None),

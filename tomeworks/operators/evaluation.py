@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from tomeworks import constants as K
 from tomeworks.functions import rendering as R
 from tomeworks.functions.text import (
-    available_citations, citations_n, fill, is_refusal, is_subset, parse_model_json, question_of, text_or_empty,
+    available_citations, citations_n, fill, is_refusal, is_subset, nz, parse_model_json, question_of,
+    text_or_empty,
 )
 
 JUDGE = "faithful int, complete int"
 
 
-def holdout_id(pos: str = "pos") -> Column:
+def identified(holdout: DataFrame, pos: str = "pos") -> DataFrame:
+    """Samples without an id get ``sample-000001`` by their one-based position ``pos``."""
     number = F.col(pos).cast("string")
     wide = F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0"))
-    return F.coalesce("meta.id", F.concat(F.lit("sample-"), wide))
+    name = F.coalesce(nz(F.col("meta.id")), F.concat(F.lit("sample-"), wide))
+    return holdout.withColumn("meta", F.col("meta").withField("id", name))
 
 
 def constant_predictor(holdout: DataFrame, model: str = "base", text: str = K.CONSTANT_PREDICTION) -> DataFrame:

@@ -81,13 +81,14 @@ def search_overlap(queries: DataFrame, chunks: DataFrame, k: int = 4, max_querie
 
 
 def search_dense(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str = "dense_vector",
-                 max_queries: int = MAX_QUERIES, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
-    """Cosine top ``k``; scores count to six digits, ties go to the lower chunk id."""
+                 metric: str = "COSINE", max_queries: int = MAX_QUERIES, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+    """Top ``k`` by cosine, or by inner product with ``metric='IP'``. Scores count to six digits,
+    ties go to the lower chunk id."""
     q = queries.select(F.col("query_id").cast("bigint"), F.col(vector).alias("vector"))
     c = chunks.select(F.col("chunk_id").cast("bigint"), F.col(vector).alias("vector"))
     held = F.col("vector").isNotNull()
-    return _search(q.where(held), c.where(held), lambda f: DenseScorer(f["vector"].tolist()), k, max_queries,
-                   chunk_block)
+    return _search(q.where(held), c.where(held), lambda f: DenseScorer(f["vector"].tolist(), metric), k,
+                   max_queries, chunk_block)
 
 
 def search_sparse(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str = "sparse_vector",

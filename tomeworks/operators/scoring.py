@@ -17,14 +17,18 @@ CELLS = 4_000_000
 
 
 class DenseScorer:
-    """Cosine similarity."""
+    """Cosine similarity, or the plain inner product."""
 
-    def __init__(self, vectors: Sequence[Sequence[float]], digits: int = 6) -> None:
+    def __init__(self, vectors: Sequence[Sequence[float]], metric: str = "COSINE", digits: int = 6) -> None:
+        if metric not in ("COSINE", "IP"):
+            raise ValueError(f"unknown metric {metric}")
+        self.cosine = metric == "COSINE"
         self.queries = self._unit(np.stack([np.asarray(v, dtype=np.float64) for v in vectors])).T
         self.digits = digits
 
-    @staticmethod
-    def _unit(rows: np.ndarray) -> np.ndarray:
+    def _unit(self, rows: np.ndarray) -> np.ndarray:
+        if not self.cosine:
+            return rows
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
