@@ -177,6 +177,15 @@ def _search(items: Items, array: pa.Array, span: int, k: int) -> pa.Array:
     return pa.array(out, type=_RESULT)
 
 
+def _searcher(sent, span: int, k: int):
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in batches:
+            yield _search(sent.value, array, span, k)
+
+    search.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(search, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+
+
 def contamination(
     df: DataFrame, benchmark: DataFrame, text: str = "text", *, item: str = "item_id", item_text: str = "text", span: int = 13, k: int = 5,
     block_words: int = 2_000_000,
@@ -196,13 +205,7 @@ def contamination(
         mine = mine.take(order)
         sent = spark.sparkContext.broadcast(index_items(mine.column("item").to_pylist(), mine.column("text").combine_chunks(), span, k))
 
-        def search(batches: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
-            for array in batches:
-                yield _search(sent.value, array, span, k)
-
-        search.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        udf = F.arrow_udf(search, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
-        found = udf(text)
+        found = _searcher(sent, span, k)(text)
         if block:
             out = out.withColumn("_new", found).select(
                 *kept, F.struct(F.col("_found.n_words"), F.concat("_found.spans", "_new.spans").alias("spans"),

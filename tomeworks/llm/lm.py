@@ -35,8 +35,8 @@ U = np.uint64
 START, END = W.mix(np.array([1, 2], dtype=U))
 
 #: Tokens that a shard holds at most, about; and n-grams a task sums up before it sends them.
-SHARD_TOKENS = 4_000_000
-SUM_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
+SUM_TOKENS = 1_200_000
 PROBES = 4
 
 
@@ -109,7 +109,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> I
                     out["shard"].append(s)
                     out["n_keys"].append(cuts[s + 1] - cuts[s])
                     out["keys"].append(keys[part].tobytes())
-                    out["counts"].append(counts[part].tobytes())
+                    out["counts"].append(counts[part].astype(np.int32).tobytes())
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
             ("kind", pa.int32()), ("shard", pa.int32()), ("n_keys", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
@@ -133,11 +133,10 @@ class LevelFilter:
     """Bloom filter of (key, level) in segments of 64-bit words. An entry sets ``PROBES`` bits of one
     word, so a probe reads memory once."""
 
-    def __init__(self, segments: list[np.ndarray], base: float) -> None:
-        self.sizes = np.array([len(s) for s in segments], dtype=U)
-        self.starts = np.concatenate([[0], np.cumsum([len(s) for s in segments])])[:-1].astype(np.int64)
-        self.words = np.concatenate(segments) if segments else np.zeros(0, dtype=U)
-        self.base = base
+    def __init__(self, sizes: list[int]) -> None:
+        self.sizes = np.array(sizes, dtype=U)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        self.words = np.zeros(sum(sizes), dtype=U)
 
     @staticmethod
     def places(keys: np.ndarray, level: int, sizes: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +220,8 @@ def train(
         for kind in range(order):
             part = table.filter(pa.compute.equal(table.column("kind"), kind))
             keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype=U)
-            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), dtype=np.int64)
-            keys, counts = _sums(keys, counts)
+            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), dtype=np.int32)
+            keys, counts = _sums(keys, counts.astype(np.int64))
             entries.append((keys, level_of(counts, base)))
             if kind == 0:
                 first, first_counts = keys, counts
@@ -244,13 +243,15 @@ def train(
 
     made = settle(counted.groupBy("shard").applyInArrow(
         shard, "shard int, tokens bigint, distinct bigint, by_level array<bigint>, bits binary, keys binary, counts binary"))
-    rows = {r.shard: r for r in made.select("shard", "tokens", "distinct", "by_level", "bits").collect()}
+    rows = {r.shard: r for r in made.select("shard", "tokens", "distinct", "by_level", (F.octet_length("bits") / 8).cast("int").alias("n")).collect()}
     tokens, distinct = sum(r.tokens for r in rows.values()), sum(r.distinct for r in rows.values())
     levels = np.sum([r.by_level for r in rows.values()], axis=0) if rows else np.zeros(1, dtype=np.int64)
     above = np.cumsum(levels[::-1])[::-1]  # words at a level or above
     fits = np.flatnonzero(above <= head_words)
     least = int(bottoms[max(int(fits[0]) - 1, 0)]) if len(fits) and fits[0] <= len(bottoms) else int(bottoms[-1])
-    segments = [np.frombuffer(rows[s].bits, dtype=U) if s in rows else np.zeros(1, dtype=U) for s in range(shards)]
+    held = LevelFilter([rows[s].n if s in rows else 1 for s in range(shards)])
+    for r in made.select("shard", "bits").toLocalIterator():  # never more than one partition on the way
+        held.words[held.starts[r.shard] :][: rows[r.shard].n] = np.frombuffer(r.bits, dtype=U)
 
     def head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +262,7 @@ def train(
     heads = made.select("keys", "counts").mapInArrow(head_rows, "keys binary, counts binary").collect()
     head = np.frombuffer(b"".join(r.keys for r in heads), dtype=U)
     head_counts = np.frombuffer(b"".join(r.counts for r in heads), dtype=np.int64)
-    model = Model(order, base, mu, tokens, distinct, LevelFilter(segments, base), head, head_counts)
+    model = Model(order, base, mu, tokens, distinct, held, head, head_counts)
     return Trained(model, made.select("shard", "keys", "counts"), shards)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
