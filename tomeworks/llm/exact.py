@@ -53,8 +53,9 @@ def _bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
     return ((first[:, None] + turns * step[:, None]) % U(n_bits)).astype(np.int64)
 
 
-def repeated_bits(hashes: DataFrame, rows: int, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20) -> tuple[list[np.ndarray], int]:
-    """Segments of the filter of repeated hashes, and the bits of each; ``hashes`` has one 64-bit hash per row."""
+def counted_bits(hashes: DataFrame, rows: int, times: int, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20) -> tuple[list[np.ndarray], int]:
+    """The bits set at least ``times`` (1 or 2) times, in segments, and the bits of each segment;
+    ``hashes`` has one 64-bit hash per row."""
     segments = max(1, -(-rows // SEGMENT_ROWS))
     n_bits = int(max(64, min(-(-rows * bits_per_row // segments), max_filter_bytes * 8 // segments)))
 
@@ -73,10 +74,10 @@ def repeated_bits(hashes: DataFrame, rows: int, bits_per_row: int = 12, max_filt
         seen = np.zeros(n_bits, dtype=np.uint8)
         for keys, again in zip(table.column("keys").to_pylist(), table.column("again").to_pylist()):
             keys, again = np.frombuffer(keys, dtype=U), np.frombuffer(again, dtype=np.uint8)
-            for times in (1, 2):
-                at, n = np.unique(_bits(keys[again == times], n_bits), return_counts=True)
-                seen[at] = np.minimum(2, seen[at] + np.minimum(n * times, 2))
-        return pa.table({"segment": table.column("segment")[:1], "bits": [np.packbits(seen == 2).tobytes()]})
+            for each in (1, 2):
+                at, n = np.unique(_bits(keys[again == each], n_bits), return_counts=True)
+                seen[at] = np.minimum(2, seen[at] + np.minimum(n * each, 2))
+        return pa.table({"segment": table.column("segment").combine_chunks()[:1], "bits": [np.packbits(seen >= times).tobytes()]})
 
     made = hashes.mapInArrow(send, "segment int, keys binary, again binary")
     made = {r.segment: r.bits for r in made.groupBy("segment").applyInArrow(count, "segment int, bits binary").collect()}
@@ -90,7 +91,16 @@ def possibly_repeated(df: DataFrame, hashed: Column, bits_per_row: int = 12, max
     Runs pass one over ``df`` at once.
     """
     hash64 = F.xxhash64(hashed)
-    segments, n_bits = repeated_bits(df.select(hash64.alias("h")), df.count(), bits_per_row, max_filter_bytes)
+    return _tester(df, counted_bits(df.select(hash64.alias("h")), df.count(), 2, bits_per_row, max_filter_bytes))(hash64)
+
+
+def member_filter(hashes: DataFrame, rows: int, hash64: Column, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20) -> Column:
+    """Boolean column: true wherever ``hash64`` is among the ``rows`` hashes, and seldom elsewhere."""
+    return _tester(hashes, counted_bits(hashes, rows, 1, bits_per_row, max_filter_bytes))(hash64)
+
+
+def _tester(df: DataFrame, counted: tuple[list[np.ndarray], int]):
+    segments, n_bits = counted
     sent = df.sparkSession.sparkContext.broadcast(segments)
 
     def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -102,7 +112,7 @@ def possibly_repeated(df: DataFrame, hashed: Column, bits_per_row: int = 12, max
             yield pa.array(((held[at, bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=1))
 
     test.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(test, "boolean")(hash64)
+    return F.arrow_udf(test, "boolean")
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: Column, per_task: int = GROUP_ROWS) -> DataFrame:
