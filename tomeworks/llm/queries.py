@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.llm import decontam, exact, langid, lm, neardup
+from tomeworks.llm import archive, decontam, exact, langid, lm, neardup
+from tomeworks.operators.settle import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -81,3 +83,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_neardup")
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _sql_base32(digest: str) -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    number = [f"CAST('0x' || substr({digest}, {5 * i + 1}, 5) AS BIGINT)" for i in range(8)]
+    return " || ".join(f"substr({letters}, 1 + (({n} >> {s}) & 31)::INT, 1)" for n in number for s in (15, 10, 5, 0))
+
+
+@query("op5_warc_archive", f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, {_sql_base32("h")} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM q""")
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    archive.write(table(spark, sf_dir, "pages"), path)
+    return archive.read_back(spark, path).select(
+        F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
