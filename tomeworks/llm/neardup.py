@@ -12,8 +12,9 @@ Banded joining: texts that agree in all ``per_band`` coordinates of a band share
 equal words are folded into one before that, so copies are never paired. In a bucket every text is
 compared with a pivot only, exactly, on the shingles themselves. Jaccard distance is a metric, so with
 the distances to the pivot known, only texts whose distances differ by at most 1 - similarity can still
-be similar; the others leave the bucket, and the next pivot goes on with the rest until no bucket has
-texts of two components. So no link inside a bucket is lost, whatever the bucket's size. A pair of
+be similar; the others leave the bucket, and further pivots, four times as many each round, go on with
+the rest until no bucket has texts of two components. No link between components inside a bucket is
+lost, whatever the bucket's size. A pair of
 similarity s shares a bucket with probability 1 - (1 - s^per_band)^bands, 0.99995 at 0.8.
 
 Words are lower-cased runs of letters and digits. Texts of one to four words are one shingle; null
@@ -33,6 +34,7 @@ from tomeworks.llm import words as W
 from tomeworks.llm.decontam import gram_hashes, whole
 from tomeworks.llm.exact import join_counted, member_filter
 from tomeworks.llm.graph import components
+from tomeworks.operators.sampling import first_per_key
 from tomeworks.operators.settle import settle
 
 U = np.uint64
@@ -180,11 +182,16 @@ def _jaccard():
     return F.arrow_udf(run, "double")
 
 
-def _pivots(buckets: DataFrame, turn: int) -> DataFrame:
-    """``(bucket, node, pivot)`` for the nodes that are not their bucket's pivot."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-    first = buckets.groupBy("bucket").agg(F.min(order)["node"].alias("pivot"), F.count("*").alias("_n"))
-    return join_counted(buckets, first, "bucket", "_n", F.col("node")).where("node <> pivot").select("bucket", "node", "pivot")
+def _pivots(buckets: DataFrame, many: int) -> DataFrame:
+    """``(bucket, node, pivot)`` for the nodes of each bucket and its ``many`` pivots. Pivots are the
+    nodes that meet most others in their buckets: those in the middle of a group link most of it."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("_n"))
+    met = join_counted(buckets, sizes, "bucket", "_n", F.col("node")).groupBy("node").agg(F.sum("_n").alias("_met"))
+    order = [F.col("_met").desc(), F.xxhash64("node"), F.col("node")]
+    first = first_per_key(buckets.join(met, "node"), ["bucket"], order, many)
+    listed = first.groupBy("bucket").agg(F.collect_list("node").alias("_pivots")).join(sizes, "bucket")
+    pairs = join_counted(buckets, listed, "bucket", "_n", F.col("node")).select("bucket", "node", F.explode("_pivots").alias("pivot"))
+    return pairs.where("node <> pivot")
 
 
 def classes(
@@ -212,27 +219,28 @@ def classes(
     sets = settle(_fetch(df, text, key, wanted))
 
     # most texts are settled by the pivot they share most buckets with
-    pairs = settle(_pivots(buckets, 0).groupBy("node", "pivot").agg(F.count("*").alias("_n")))
+    pairs = settle(_pivots(buckets, 1).groupBy("node", "pivot").agg(F.count("*").alias("_n")))
     best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("_n", "pivot")).alias("pivot"))
     known = settle(_compare(best, sets))
-    turn = 0
+    many = 1
     while True:
         links = known.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         labels = settle(components(links))
         buckets = settle(_open(buckets, labels))
         if not buckets.limit(1).count():
             break
-        turn += 1
-        against = settle(_pivots(buckets, turn))
-        asked = against.select("node", "pivot").distinct()
-        new = settle(asked.join(known, ["node", "pivot"], "left_anti"))
+        against = settle(_pivots(buckets, many))
+        new = settle(against.select("node", "pivot").distinct().join(known, ["node", "pivot"], "left_anti"))
         known = settle(known.unionByName(_compare(new, sets)))
-        told = against.join(known, ["node", "pivot"])
-        # the pivot leaves its bucket, and with it the texts that cannot be similar to any other left there
-        far = told.where(F.col("similarity") < similarity).groupBy("bucket").agg(F.max("similarity").alias("_next"), F.count("*").alias("_n"))
-        sizes = told.groupBy("bucket").agg(F.count("*").alias("_n")).join(far.drop("_n"), "bucket")
-        buckets = settle(join_counted(told, sizes, "bucket", "_n", F.col("node")).where(
-            (F.col("similarity") < similarity) | (F.col("similarity") - (1 - similarity) <= F.col("_next") + 1e-9)).select("bucket", "node"))
+        told = settle(against.join(known, ["node", "pivot"]))
+        # the pivots leave their bucket, and so does what is near to one of them and cannot be similar to
+        # any that is not
+        far = told.where(F.col("similarity") < similarity).groupBy("bucket", "pivot").agg(F.max("similarity").alias("_next"))
+        stays = (F.col("similarity") < similarity) | (F.col("similarity") - (1 - similarity) <= F.col("_next") + 1e-9)
+        judged = told.join(far, ["bucket", "pivot"], "left").groupBy("bucket", "node").agg(F.bool_and(F.coalesce(stays, F.lit(False))).alias("_stays"))
+        used = against.select("bucket", F.col("pivot").alias("node")).distinct()
+        buckets = settle(judged.where("_stays").select("bucket", "node").join(used, ["bucket", "node"], "left_anti"))
+        many *= 4
 
     member = _members(worded, nodes)
     member = member.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
