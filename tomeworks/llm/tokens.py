@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 8 << 20
 #: Pieces whose ids a task keeps in each of two generations, and pieces in one call of the library.
 KEPT_PIECES = 400_000
 CALL_PIECES = 1024
@@ -43,13 +43,19 @@ def _uneven(text: str) -> bool:
     return (text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or any(c in text for c in _OTHER_SPACE))
 
 
+def _shown_bytes() -> dict[int, str]:
+    """The characters byte-level tokenizers show bytes as: visible Latin-1 ones stay, others follow from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit numbers, by a tokenizer file."""
 
     def __init__(self, path: str) -> None:
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
         self.special: list[str] = []
         self.splits = False
@@ -69,8 +75,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         cut = made.get("pre_tokenizer") or {}
+        self.bpe, self.shown = model.model, _shown_bytes()
+        self.space = self.shown[0x20]
         self.special = [t["content"] for t in made.get("added_tokens", [])]
-        self.splits = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not made.get("normalizer")
+        self.splits = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not made.get("normalizer") and (made.get("model") or {}).get("type") == "BPE"
 
     def call(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -92,18 +100,22 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         return out
 
-    def _learn(self, wanted: set[str], held: dict[str, bytes], old: dict[str, bytes], before: str) -> None:
-        new = wanted.difference(held)
-        held.update([(p, old[p]) for p in new if p in old])
-        new.difference_update(held)
-        # a letter and a mark at the end of a piece are never in one token
-        marked = [p for p in new if p and p[-1] in _ENDS and p[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(w for p in marked if (w := p[:-1]) not in held)
-        learned = list(new)
-        held.update(zip(learned, self._lines([before + p for p in learned])))
-        for p in marked:
-            held[p] = held[p[:-1]] + self.ends[p[-1]]
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a piece that is one word, with a mark after it or not; None for other pieces."""
+        end = b""
+        if piece[-1:] in self.ends:  # a letter and a mark are never in one token
+            end, piece = self.ends[piece[-1]], piece[:-1]
+            known = self.held.get(piece) or self.older.get(piece)
+            if known is not None and piece[-1:].isalpha():
+                return known + end
+        lead, word, shown = (self.line, piece[1:], "") if piece[:1] == "\n" else (b"", piece, self.space)
+        if not word.isalpha():
+            return None
+        shown += word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        ids = lead + array("I", [t.id for t in self.bpe.tokenize(shown)]).tobytes()
+        if end:
+            self.held[piece] = ids
+        return ids + end
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces: a line break and a word, or a word that follows a space."""
@@ -111,11 +123,22 @@ class Encoder:
             self.ends = dict(zip(_ENDS, self.call(list(_ENDS))))
             self.line = self.call(["\n"])[0]
             self.newline = np.frombuffer(self.line, dtype="<u4")[0]
-        if len(self.pieces) + len(self.spaced) > KEPT_PIECES:
-            self.older, self.pieces, self.spaced = (self.pieces, self.spaced), {}, {}
-        self._learn({p[1:] for p in pieces if p[:1] == "\n"}, self.pieces, self.older[0], "")
-        self._learn({p for p in pieces if p[:1] != "\n"}, self.spaced, self.older[1], " ")
-        return [self.line + self.pieces[p[1:]] if p[:1] == "\n" else self.spaced[p] for p in pieces]
+        if len(self.held) > KEPT_PIECES:
+            self.older, self.held = self.held, {}
+        known = list(map(self.held.get, pieces))
+        hard = []
+        for i, ids in enumerate(known):
+            if ids is None:
+                piece = pieces[i]
+                ids = self.older.get(piece) or self._word(piece)
+                if ids is None:
+                    hard.append(i)
+                else:
+                    self.held[piece] = known[i] = ids
+        for lead, before, own in ((self.line, "", [i for i in hard if pieces[i][:1] == "\n"]), (b"", " ", [i for i in hard if pieces[i][:1] != "\n"])):
+            for i, ids in zip(own, self._lines([before + pieces[i].removeprefix("\n") for i in own])):
+                self.held[pieces[i]] = known[i] = lead + ids
+        return known
 
     def encode(self, texts: list[str], with_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """The number of tokens of each text, and if asked for the ids of all texts one after another."""
