@@ -6,8 +6,9 @@ distinct followers is -log2(n / (T + q)) if it was seen n times there; else the
 plus the code length after the next shorter context; below the empty context all 256 bytes are equal.
 Statistics are frozen after training. A text gets the language with the shortest code.
 
-Training takes a bounded sample: the ``sample_rows`` rows of each language with the smallest hash, cut
-to whole rows of ``sample_bytes`` in all (the first row always). Every language is trained in one task
+Training takes a bounded sample: of each language at most ``sample_rows`` rows, those with the smallest
+hashes among a hashed share of twice as many, cut to whole rows of ``sample_bytes`` in all (the first
+row always). Every language is trained in one task
 of that bound, and the merged trees, bounded by languages x sample bytes, are broadcast.
 
 Scoring is done on whole Arrow batches: the code lengths of all languages for a window (context and
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
 from tomeworks.operators.sampling import first_per_key
+from tomeworks.operators.settle import settle
 
 U = np.uint64
 UNKNOWN = "und"
@@ -137,15 +139,12 @@ def train(
     sample_bytes: int = 1_500_000,
 ) -> Model:
     """Learn from the labelled rows of ``df``; ``key`` only seeds the choice of the sample."""
-    narrow = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(key), F.lit(1)).alias("h2"))
-    wanted = first_per_key(narrow, ["lang"], [F.col("h"), F.col("h2")], sample_rows).groupBy("lang").agg(F.max("h").alias("upto"))
-    # one bound per language: at most sample_rows rows have a smaller hash, but for rows with equal keys
-    sample = (
-        df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"))
-        .join(F.broadcast(wanted), "lang").where("h <= upto").drop("upto")
-    )
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    # a language's share of the hash range holds twice the sample on average, so that few rows are ranked
+    shares = settle(labelled.groupBy(F.col(lang).alias("lang")).agg((F.lit(2.0 * sample_rows) / F.count("*")).alias("share")))
+    near = (F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
+    sample = labelled.select(F.col(lang).alias("lang"), F.col(key), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).join(
+        shares, "lang").where(near).drop(key, "share")
     sample = first_per_key(sample, ["lang"], [F.col("h"), F.col("text")], sample_rows).drop("_rank")
 
     def count(table: pa.Table) -> pa.Table:

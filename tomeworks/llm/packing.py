@@ -72,7 +72,8 @@ def pieces(df: DataFrame, path: str, text: str = "text", *, end_id: int = 2, cap
     udf = F.arrow_udf(cut, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>")
     added = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
     kept = [c for c in df.columns if c not in {text, *added}]
-    found = df.select(*kept, udf(text).alias("_pieces")).select(*kept, F.explode("_pieces").alias("_piece"))
+    # explode would add a filter on the array's size and run the function a second time for it
+    found = df.select(*kept, udf(text).alias("_pieces")).select(*kept, F.explode_outer("_pieces").alias("_piece"))
     return found.select(*kept, *[F.col(f"_piece.{c}").alias(c) for c in added[: 5 if with_ids else 4]])
 
 
