@@ -20,7 +20,7 @@ stray and cut-off tags are closed where HTML would close them or at the end.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -53,6 +53,8 @@ NOISE = frozenset(
 HEADER = frozenset("header head masthead".split())
 #: Elements that hold menu entries when their text is all links.
 LISTED = frozenset("li ul ol div td section".split())
+#: Containers nested deeper share their parent's path.
+MAX_DEPTH = 100
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -73,11 +75,11 @@ def _attributes(text: str) -> tuple[str, frozenset[str], bool]:
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "outside", "container", "score", "block")
+    __slots__ = ("tag", "path", "depth", "parent", "outside", "container", "score", "block")
 
     def __init__(self, tag: str, path: str, parent: Element | None, outside: bool, container: Element | None) -> None:
         self.tag, self.path, self.parent, self.outside, self.container = tag, path, parent, outside, container
-        self.score, self.block = 0.0, False
+        self.score, self.block, self.depth = 0.0, False, 0
 
 
 def _is_outside(tag: str, words: frozenset[str], hidden: bool, parent: Element) -> bool:
@@ -99,6 +101,7 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     root.container, root.block = root, True
     stack, containers = [root], [root]
     blocks: list[tuple[Element, str, bool]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     links = 0  # open ones
@@ -124,7 +127,7 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
                 end_block()
             if stack[-1].tag == "a":
                 links -= 1
-            stack.pop()
+            opened[stack.pop().tag] -= 1
 
     at, n = 0, len(html)
     while at < n:
@@ -142,6 +145,8 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     close(i)
@@ -170,12 +175,12 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
         if block and not parent.outside:
             end_block()
         path = parent.path
-        if tag in CONTAINERS and not outside:
+        if tag in CONTAINERS and not outside and parent.container.depth < MAX_DEPTH:
             path = f"{parent.path}>{tag}.{classes}" if classes else f"{parent.path}>{tag}"
         element = Element(tag, path, parent, outside, parent.container)
         element.block = block and not parent.outside
         if tag in CONTAINERS and not outside:
-            element.container = element
+            element.container, element.depth = element, parent.container.depth + 1
             containers.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
@@ -186,6 +191,7 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
         if tag == "a":
             links += 1
         stack.append(element)
+        opened[tag] += 1
     close(1)
     end_block()
     return blocks, containers

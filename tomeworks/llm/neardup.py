@@ -39,6 +39,8 @@ from tomeworks.operators.settle import settle
 
 U = np.uint64
 SHINGLE = 5
+#: Texts handled at once: each throws about k * (ln k + 2) darts, however short it is.
+RUN_TEXTS = 400
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def _features(bands: int, per_band: int):
         k = bands * per_band
         for array in batches:
             parts = [pa.array([], type=_FEATURES)]
-            for _, offsets, data in W.runs(array):
+            for _, offsets, data in W.runs(array, run_rows=RUN_TEXTS):
                 n = len(offsets) - 1
                 words, rows = W.word_hashes(offsets, data, W.ALNUM)
                 h1, h2 = text_hashes(words, rows, n)
@@ -170,9 +172,9 @@ def _cell_sets():
 def _jaccard():
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.empty(len(left))
-        for i, (a, b) in enumerate(zip(left.to_pylist(), right.to_pylist())):
-            a, b = np.frombuffer(a, dtype=U), np.frombuffer(b, dtype=U)
-            both = np.concatenate([a, b])
+        (at, data), (with_at, with_data) = W.texts(left), W.texts(right)
+        for i in range(len(out)):
+            both = np.concatenate([data[at[i] : at[i + 1]], with_data[with_at[i] : with_at[i + 1]]]).view(U)
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             out[i] = shared / (len(both) - shared)

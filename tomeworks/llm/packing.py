@@ -101,7 +101,9 @@ def knapsack(prices: np.ndarray, capacity: int) -> list[int]:
 
 
 def solve(histogram: np.ndarray, capacity: int, step: float = 0.5, rate: float = 1.0, rounds: int = 5) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often each is used; every piece of ``histogram`` (by length) is in one."""
+    """Configurations and how often each is used; every piece of ``histogram`` (by length) is in one.
+
+    Where plain best fit needs fewer sequences, as it may for few pieces, its configurations are taken."""
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
     for _ in range(rounds):
@@ -115,14 +117,16 @@ def solve(histogram: np.ndarray, capacity: int, step: float = 0.5, rate: float =
             if times > 0:
                 left[used] -= times * copies
                 plan.append((lengths_used, times))
-    return plan + _best_fit(left, capacity)
+    plan += _best_fit(left, capacity)
+    plain = _best_fit(histogram, capacity)
+    return min(plan, plain, key=lambda p: sum(times for _, times in p))
 
 
 def _fractional(left: np.ndarray, capacity: int, step: float, rate: float) -> dict[tuple[int, ...], float]:
     """Multiplicative weights on the covering program of one histogram."""
     present = np.flatnonzero(left)
     prices = np.zeros(capacity + 1)
-    prices[present] = present / capacity  # what a length costs at least
+    prices[present] = (present / capacity) ** 1.2  # a little more than the share of a sequence: long pieces are harder to place
     covered = np.zeros(capacity + 1)
     amounts: dict[tuple[int, ...], float] = {}
     for _ in range(max(8, int(len(present) / step))):
@@ -142,20 +146,34 @@ def _fractional(left: np.ndarray, capacity: int, step: float, rate: float) -> di
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Pack what is left, longest first, each into the open sequence with the least room that fits."""
-    open_: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # by room
-    room_left = np.zeros(capacity + 1, dtype=np.int64)
+    """Pack pieces longest first, each into the open sequence with the least room that fits. Sequences of
+    equal content are handled together, so the work depends on the lengths, not on the pieces."""
+    open_: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]  # by room
     for length in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[length])):
-            fits = np.flatnonzero(room_left[length:])
-            room = int(fits[0]) + length if len(fits) else capacity
-            made = open_[room].pop() if len(fits) else []
-            if len(fits):
-                room_left[room] -= 1
-            made.append(length)
-            open_[room - length].append(made)
-            room_left[room - length] += 1
-    return [(tuple(m), 1) for by_room in open_ for m in by_room]
+        n = int(left[length])
+        for room in range(length, capacity):
+            each = room // length  # a sequence takes copies as long as they fit: nothing fits better
+            for content in list(open_[room]):
+                if not n:
+                    break
+                bins = min(open_[room][content], n // each)
+                for times, copies in ((bins, each), (1 if n > bins * each and bins < open_[room][content] else 0, n - bins * each)):
+                    if times:
+                        open_[room][content] -= times
+                        rest = room - copies * length
+                        made = content + (length,) * copies
+                        open_[rest][made] = open_[rest].get(made, 0) + times
+                        n -= times * copies
+                if not open_[room][content]:
+                    del open_[room][content]
+            if not n:
+                break
+        each = capacity // length
+        for times, copies in ((n // each, each), (1 if n % each else 0, n % each)):
+            if times:
+                made = (length,) * copies
+                open_[capacity - copies * length][made] = open_[capacity - copies * length].get(made, 0) + times
+    return [(made, times) for by_room in open_ for made, times in by_room.items()]
 
 
 def assignment(plan: list[tuple[tuple[int, ...], int]], histogram: np.ndarray) -> dict[str, np.ndarray]:

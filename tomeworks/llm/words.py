@@ -88,13 +88,13 @@ def texts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data if data is not None else b"", dtype=np.uint8)
 
 
-def runs(array: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs(array: pa.Array, run_bytes: int = RUN_BYTES, run_rows: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, offsets from 0, bytes)`` of consecutive rows."""
     offsets, data = texts(array)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + run_bytes, side="right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), n, row + run_rows)
         yield row, offsets[row : end + 1] - offsets[row], data[offsets[row] : offsets[end]]
         row = end
 
