@@ -286,8 +286,8 @@ def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", **o
     """The rows that stay, with their columns. Only rows that may have to go are shuffled."""
     made = df.withColumn("_same", F.xxhash64(*df.columns))
     decided = classes(made.select(key, text, "_same"), text, key, **options).groupBy(F.col(key).alias("_id"), "_same").agg(
-        F.bool_or("kept").alias("_stays"), F.count("*").alias("_rows"))
-    listed = settle(decided.where("NOT _stays OR _rows > 1").select("_id", "_same", "_stays"))
+        F.bool_or("kept").alias("_stays"), F.bool_and("kept").alias("_all"))
+    listed = settle(decided.where("NOT _all").select("_id", "_same", "_stays"))
     maybe = member_filter(listed.select(F.xxhash64("_id").alias("h")), listed.count(), F.xxhash64(key))
     marked = made.withColumn("_maybe", maybe)
     rest = marked.where("_maybe").drop("_maybe")
