@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
 
+from tomeworks.operators.settle import release  # noqa: E402
 from tomeworks.plans import HEADLINE, QUERIES  # noqa: E402
 
 
@@ -39,6 +40,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
         if only:
             print(name, times[name], file=sys.stderr, flush=True)
+    release(spark)
     spark.stop()
     scale = Path(sf_dir).name.removeprefix("sf")
     print(json.dumps({

@@ -50,6 +50,7 @@ def difference(df, con, sql: str) -> str | None:
 
 def main() -> None:
     from tests.conftest import make_session
+    from tomeworks.operators.settle import release
     import __spark_entry__ as e
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
@@ -71,6 +72,7 @@ def main() -> None:
         bad += found is not None
         print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - start:.1f}s {note}", flush=True)
     print(f"{bad} failed")
+    release(spark)
     spark.stop()
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from tomeworks.operators.settle import release  # noqa: E402
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -30,4 +32,5 @@ def make_session() -> SparkSession:
 def spark():
     session = make_session()
     yield session
+    release(session)
     session.stop()

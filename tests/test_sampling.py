@@ -41,7 +41,8 @@ def test_small_stratum_keeps_one_holdout_row(spark):
     assert S.stratified_split(one, 0.12, "ord").first()["split"] == "holdout"
 
 
-def test_hot_key_join_keeps_every_row(rows, spark):
-    names = spark.createDataFrame([("hot", 1), ("cold", 2)], "type string, v int")
-    joined = S.hot_key_join(rows, names, "type", F.col("id"), salts=8)
-    assert joined.count() == 3000 and joined.agg(F.sum("v")).first()[0] == 2400 + 1200
+def test_join_counted_keeps_every_row(rows, spark):
+    names = spark.createDataFrame([("hot", 1, 2400), ("cold", 2, 600)], "type string, v int, n long")
+    for per_task in (100, 1000, 10_000):
+        joined = S.join_counted(rows, names, "type", "n", F.col("id"), per_task)
+        assert joined.count() == 3000 and joined.agg(F.sum("v")).first()[0] == 2400 + 1200

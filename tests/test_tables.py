@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tomeworks.operators import history as H
 from tomeworks.operators import progress as P
@@ -54,6 +55,14 @@ def test_chunk_load(spark, tmp_path):
     assert spark.read.parquet(path).select("chunk_id").distinct().count() == 1
 
 
+def test_chunk_ids_differ_between_documents_of_one_title(spark):
+    rows = [(1, "manual", 0, None), (2, "manual", 0, None), (3, "manual", 1, 77)]
+    df = spark.createDataFrame(rows, "doc_id long, file_title string, pos int, chunk_id long").withColumns(
+        {"dense_vector": F.array(F.lit(1.0)), "sparse_vector": F.create_map(F.lit(1), F.lit(1.0))})
+    ids = [{r["doc_id"]: r["chunk_id"] for r in tables.load_chunk_table(df, 1)[0].collect()} for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 3 and ids[0][3] == 77
+
+
 def test_item_names_fold_on_read(spark, tmp_path):
     path = str(tmp_path / "n")
     df = spark.createDataFrame([("f", "i")], "file_title string, item_name string")
@@ -80,6 +89,21 @@ def test_upsert_and_delete(spark, chat):
     assert kept.count() == 1 and deleted.first()["deleted"] == 15
 
 
+def test_upsert_ties_have_one_winner(spark, chat):
+    new = spark.createDataFrame([("m1", "s", "user", t, "", [], 1.0) for t in ("a", "b", "c")], CHAT_MESSAGE)
+    found = {H.upsert_messages(chat, new.repartition(n)).where("message_id = 'm1'").first()["text"] for n in (1, 2, 3)}
+    assert len(found) == 1
+
+
+def test_a_restarted_node_keeps_its_place(spark):
+    rows = [("t", n, "start", None, i) for i, n in enumerate(["a", "b", "a"])] + [
+        ("t", "c", "start", None, 5), ("t", "c", "end", 2.0, 6), ("t", None, "status", None, 7), ("t", None, "status", None, 7)]
+    df = spark.createDataFrame(rows, "task_id string, node string, phase string, seconds double, ts long").withColumn(
+        "status", F.when(F.col("phase") == "status", F.when(F.rand(1) > 2, "x").otherwise("processing")))
+    got = P.task_progress(df).first()
+    assert (got["running"], got["done"], got["node_seconds"], got["status"]) == (["a", "b"], ["c"], {"c": 2.0}, "processing")
+
+
 def test_progress(spark):
     events = [("t", n, p, s, d, f"2026-01-01 00:00:{i:02d}") for i, (n, p, s, d) in enumerate([
         ("a", "start", None, None), (None, "status", "processing", None), ("a", "end", None, 1.234), ("b", "start", None, None)])]

@@ -17,9 +17,13 @@ def recent_messages(messages: DataFrame, limit: int = 10, order: str = "oldest")
 
 
 def upsert_messages(base: DataFrame, new: DataFrame) -> DataFrame:
-    """``base`` with rows of the same ``message_id`` replaced and others added."""
-    both = base.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    return first_per_key(both, ["message_id"], [F.desc("_batch"), F.desc("ts")]).drop("_batch", "_rank")
+    """``base`` with rows of the same ``message_id`` replaced and others added.
+
+    Of new rows with one id the latest counts, of equally late ones that with the largest hash of all
+    its columns. The base is only filtered; Spark broadcasts the new ids where the batch is small.
+    """
+    last = first_per_key(new, ["message_id"], [F.desc("ts"), F.xxhash64(*new.columns).desc()]).drop("_rank")
+    return base.join(new.select("message_id").distinct(), "message_id", "left_anti").select(base.columns).unionByName(last)
 
 
 def delete_session(base: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:

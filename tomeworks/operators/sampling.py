@@ -68,15 +68,19 @@ def dedupe(df: DataFrame, fingerprint: str, order: str) -> DataFrame:
     return first_per_key(df, [fingerprint], [F.col(order)]).drop("_rank")
 
 
-def hot_key_join(left: DataFrame, lookup: DataFrame, key: str, spread: Column, salts: int = 32,
-                 how: str = "inner") -> DataFrame:
-    """Join to a table with one row per key when a few keys hold much of ``left``.
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: Column, per_task: int = 200_000) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row per key and in ``count`` how many ``rows`` it meets.
 
-    ``lookup`` is repeated once per salt, so a hot key of ``left`` runs in ``salts`` tasks.
+    Keys of more than ``per_task`` rows are dealt over as many tasks as that takes; all others are
+    looked up once. There are at most rows / per_task such keys, so their list may be broadcast.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    parts = F.ceil(F.col(count) / per_task).cast("int")
+    hot = groups.where(F.col(count) > per_task).select(key, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # one row per key has no bound, and a small file may hold many rows: no broadcast by file size
+    return dealt.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def stratified_split(df: DataFrame, ratio: float, order: str, stratum: str = "type") -> DataFrame:

@@ -13,7 +13,8 @@ from tomeworks.functions.text import (
     available_citations, citations_c, citations_n, contains_any, fingerprint, is_refusal, is_subset,
     message_fingerprint, numbers_in, strip, text_or_empty,
 )
-from tomeworks.operators.sampling import hot_key_join
+from tomeworks.operators.sampling import join_counted
+from tomeworks.operators.settle import settle
 
 MAX_CHARS = 3000
 ISSUE = "struct<level:string,code:string,detail:string>"
@@ -109,16 +110,16 @@ def messages_fingerprint() -> Column:
 def duplicate_issues(samples: DataFrame, fp: Column, pos: str, id_: str = "id") -> DataFrame:
     """Second and later copies within and across splits, naming the first; train comes first.
 
-    The first of each fingerprint is found by a partially aggregated minimum. Copies join it
-    back salted, so one text copied over a third of the table does not end in one task.
+    Texts are hashed in one pass over them. The first of each fingerprint is found by a partially
+    aggregated minimum; copies join it back, those of a very frequent text in several tasks.
     """
     place = F.struct(
         F.when(F.col("split") == "train", 0).otherwise(1).alias("s"), F.col(pos).alias("p"), F.col(id_).alias("i"),
         F.col("split").alias("split"),
     )
-    keyed = samples.select(F.col(id_).alias("id"), "split", fp.alias("_fp"), place.alias("_at"))
+    keyed = settle(samples.select(F.col(id_).alias("id"), "split", fp.alias("_fp"), place.alias("_at")))
     firsts = keyed.groupBy("_fp").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1)
-    copies = hot_key_join(keyed, firsts, "_fp", F.struct("id", "_at")).where(F.col("_at") != F.col("_first"))
+    copies = join_counted(keyed, firsts, "_fp", "_n", F.struct("id", "_at")).where(F.col("_at") != F.col("_first"))
     return copies.select(
         "id", "split", F.lit("error").alias("level"), F.lit("duplicate").alias("code"),
         F.concat_ws(":", "_first.split", F.col("_first.i").cast("string")).alias("detail"),

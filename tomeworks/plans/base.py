@@ -37,15 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by hash when a table comes in fewer splits than there are cores, as a small
-    single file does. A large table has splits enough and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dealt(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 # --- SQL text helpers -------------------------------------------------------------------
@@ -136,7 +129,7 @@ CHUNKS = """chunks AS (
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as answer traces."""
-    e = dealt(table(spark, sf_dir, "events"), "event_id").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
     kind = F.col("event_type")
     return e.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),

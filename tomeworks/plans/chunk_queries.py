@@ -179,20 +179,24 @@ def item_names(spark, sf_dir):
 
 
 @query("chunk_load", """
-SELECT d.doc_id, CASE WHEN e.embedding IS NULL THEN 'no dense vector' WHEN terms = 0 THEN 'no sparse vector' END AS reason
+SELECT d.doc_id, CASE WHEN e.embedding IS NULL THEN 'no dense vector' WHEN terms = 0 THEN 'no sparse vector' END AS reason,
+       CASE WHEN e.embedding IS NOT NULL AND terms > 0 THEN 1 END AS sharing_id
 FROM (SELECT *, len(regexp_extract_all(text, '[a-z]+')) AS terms FROM documents) d
 LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def chunk_load(spark, sf_dir):
-    """Both outcomes of a load: rows with an id, rejects with their reason."""
+    """Both outcomes of a load: rows with an id, and how many rows share it, rejects with their reason.
+    Title and position recur in many documents."""
     d = b.table(spark, sf_dir, "documents")
     e = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense_vector"))
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))
     sparse = F.map_from_arrays(F.sequence(F.lit(1), F.size(words)), F.transform(words, lambda w: F.lit(1.0)))
     rows = d.join(e, "doc_id", "left").select(
-        "doc_id", F.col("source").alias("file_title"), F.col("doc_id").alias("pos"), "dense_vector",
+        "doc_id", F.col("source").alias("file_title"), (F.col("doc_id") % 3).alias("pos"), "dense_vector",
         F.when(F.size(words) > 0, sparse).alias("sparse_vector"))
     kept, rejects = S.load_chunk_table(rows, 64)
-    return kept.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("doc_id", "reason"))
+    shared = kept.groupBy("chunk_id").agg(F.count("*").alias("sharing_id"), F.min("doc_id").alias("doc_id"))
+    return shared.select("doc_id", F.lit(None).cast("string").alias("reason"), "sharing_id").unionByName(
+        rejects.select("doc_id", "reason", F.lit(None).cast("bigint").alias("sharing_id")))
 
 
 @query("item_name_table", "SELECT DISTINCT source AS file_title, lang AS item_name FROM documents", headline=False)

@@ -71,22 +71,25 @@ def task_events(spark, sf_dir):
   SELECT user_id || '/' || strftime(ts, '%d') AS task_id, 'node' || (CAST(regexp_extract(props, '[0-9]+') AS INT) % 4) AS node,
          CASE WHEN event_type = 'purchase' THEN 'status' WHEN event_type IN ('view', 'click') THEN 'start' ELSE 'end' END AS phase,
          CASE WHEN value > 5 THEN 'processing' ELSE 'completed' END AS status, value AS seconds, ts FROM events),
-n AS (SELECT task_id, node, max(ts) FILTER (WHERE phase = 'start') AS ls, max(ts) FILTER (WHERE phase = 'end') AS le,
-             min(ts) FILTER (WHERE phase = 'end') AS fe, round(arg_max(seconds, ts) FILTER (WHERE phase = 'end'), 2) AS s
-      FROM ev WHERE phase <> 'status' GROUP BY task_id, node),
-t AS (SELECT task_id, string_agg(node, ',' ORDER BY ls, node) FILTER (WHERE ls IS NOT NULL AND (le IS NULL OR ls > le)) AS running,
+le AS (SELECT task_id, node, max(ts) AS le FROM ev WHERE phase = 'end' GROUP BY task_id, node),
+n AS (SELECT task_id, node, min(ts) FILTER (WHERE phase = 'start' AND (le IS NULL OR ts > le)) AS since,
+             min(ts) FILTER (WHERE phase = 'end') AS fe, round(arg_max(seconds, (ts, seconds)) FILTER (WHERE phase = 'end'), 2) AS s
+      FROM ev LEFT JOIN le USING (task_id, node) WHERE phase <> 'status' GROUP BY task_id, node),
+t AS (SELECT task_id, string_agg(node, ',' ORDER BY since, node) FILTER (WHERE since IS NOT NULL) AS running,
+             string_agg(node || '=' || CAST(round(s * 100) AS BIGINT), ',' ORDER BY node) FILTER (WHERE s IS NOT NULL) AS node_cents,
              string_agg(node, ',' ORDER BY fe, node) FILTER (WHERE fe IS NOT NULL) AS done, count(fe) AS d, round(sum(s), 2) AS seconds
       FROM n GROUP BY task_id),
-st AS (SELECT task_id, arg_max(status, ts) AS status FROM ev WHERE phase = 'status' GROUP BY task_id),
+st AS (SELECT task_id, arg_max(status, (ts, status)) AS status FROM ev WHERE phase = 'status' GROUP BY task_id),
 j AS (SELECT coalesce(t.task_id, st.task_id) AS task_id, coalesce(status, '') AS status, coalesce(running, '') AS running,
-             coalesce(done, '') AS done, seconds,
+             coalesce(done, '') AS done, seconds, coalesce(node_cents, '') AS node_cents,
              100.0::DOUBLE * (coalesce(d, 0) + CASE WHEN running IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / 7 AS percent
       FROM t FULL JOIN st ON t.task_id = st.task_id)
-SELECT task_id, status, running, done, seconds,
+SELECT task_id, status, running, done, seconds, node_cents,
        round(CASE WHEN status = 'completed' THEN 100 WHEN percent >= 100 THEN 95 ELSE percent END, 6) AS percent FROM j""")
 def task_progress(spark, sf_dir):
     done = P.task_progress(task_events(spark, sf_dir))
-    return done.withColumns({
+    cents = F.transform(F.map_entries("node_seconds"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string")))
+    return done.withColumn("node_cents", F.coalesce(F.array_join(cents, ","), F.lit(""))).drop("node_seconds").withColumns({
         "running": F.array_join("running", ","), "done": F.array_join("done", ","), "percent": F.round("percent", 6)})
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeworks import schemas
@@ -29,8 +29,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls: b
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
-    """A one-row table of counters as a single JSON object."""
-    stats.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A one-row table of counters as a single JSON object; a table of more rows is an error."""
+    whole = stats.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    checked = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("statistics must have one row")))
+    whole.where(checked).drop("_n").coalesce(1).write.mode("overwrite").json(path)
 
 
 def _decoded(name: Column) -> Column:
@@ -76,8 +78,9 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Backup of the chunks, one directory per document title."""
-    chunks.write.mode("overwrite").partitionBy("file_title").json(path)
+    """Backup of the chunks. The chunks of a title stay together inside a file; there is no directory
+    per title, of which a large import has too many."""
+    chunks.repartition("file_title").sortWithinPartitions("file_title").write.mode("overwrite").json(path)
 
 
 def append_traces(traces: DataFrame, path: str, enabled: bool = True) -> None:

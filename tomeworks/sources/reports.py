@@ -26,7 +26,7 @@ def _issue_lines(issues: DataFrame, level: str) -> list[str]:
 
 def _validation(title: str, samples: DataFrame, issues: DataFrame, kind: str, extra: list[str]) -> str:
     splits = {r["split"]: r["n"] for r in samples.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    types = samples.groupBy(F.col(kind).alias("t")).agg(F.count("*").alias("n")).orderBy("t").limit(MAX_LINES).collect()
+    types = samples.groupBy(F.col(kind).alias("t")).agg(F.count("*").alias("n")).orderBy("t").collect()
     total = sum(splits.values())
     end = verdict(issues).first()
     lines = [
@@ -49,7 +49,7 @@ def render_quality_report(samples: DataFrame, issues: DataFrame) -> str:
 
 def render_messages_report(samples: DataFrame, issues: DataFrame) -> str:
     refused = samples.where(F.col("meta.type") == "refuse").groupBy(F.col("meta.subtype").alias("s"))
-    counts = {r["s"]: r["n"] for r in refused.agg(F.count("*").alias("n")).limit(MAX_LINES).collect()}
+    counts = {r["s"]: r["n"] for r in refused.agg(F.count("*").alias("n")).where(F.col("s").isin(*K.REFUSE_SUBTYPES)).collect()}
     line = "- refuse subtypes: " + ", ".join(f"{s}={counts.get(s, 0)}" for s in sorted(K.REFUSE_SUBTYPES))
     return _validation("Messages validation", samples, issues, "meta.type", [line])
 
@@ -70,7 +70,7 @@ def render_evaluation_report(rows: DataFrame, before: str = "base", after: str =
 
 
 def render_bad_case_report(all_traces: DataFrame, bad: DataFrame, candidates: DataFrame) -> str:
-    counts = traces.bad_case_counts(bad).orderBy(F.desc("cases"), "name").limit(MAX_LINES).collect()
+    counts = traces.bad_case_counts(bad).orderBy(F.desc("cases"), "name").collect()
     lines = [
         "# Bad cases", "", f"- traces: {all_traces.count()}", f"- bad cases: {bad.count()}",
         f"- golden candidates: {candidates.count()}",

@@ -48,10 +48,11 @@ def export_chunks(df: DataFrame, fields: Mapping[str, str] = FIELDS) -> tuple[Da
     return rows.where(kept), stats
 
 
-def load_chunk_table(df: DataFrame, dim: int, order: Sequence[str] = ("file_title", "pos")) -> tuple[DataFrame, DataFrame]:
+def load_chunk_table(df: DataFrame, dim: int, order: Sequence[str] = ("doc_id", "file_title", "pos")) -> tuple[DataFrame, DataFrame]:
     """Rows with both vectors and the right dimension, and the rejects with a reason.
 
-    Ids are a pure function of the row, so a retried or repeated load writes the same ids.
+    A chunk keeps the id it has. Others get a hash of document, title and position, so a repeated load
+    writes the same ids, and documents of one title do not share them.
     """
     checked = df.withColumn(
         "reason",
@@ -60,7 +61,9 @@ def load_chunk_table(df: DataFrame, dim: int, order: Sequence[str] = ("file_titl
         .when(F.size("dense_vector") != dim, "wrong dimension"),
     )
     rows = checked.where(F.col("reason").isNull()).drop("reason")
-    return rows.withColumn("chunk_id", F.xxhash64(*order)), checked.where(F.col("reason").isNotNull())
+    made = F.xxhash64(*[c for c in order if c in df.columns])
+    own = F.coalesce(F.col("chunk_id").cast("bigint"), made) if "chunk_id" in df.columns else made
+    return rows.withColumn("chunk_id", own), checked.where(F.col("reason").isNotNull())
 
 
 def append_chunks(rows: DataFrame, path: str) -> None:
