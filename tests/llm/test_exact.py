@@ -37,13 +37,6 @@ def test_a_full_filter_only_costs_shuffling(spark):
     assert marked.where("cast(text as int) < 1000").count() == 2000 and marked.count() < 2100
 
 
-def test_hot_groups_are_dealt_out(spark):
-    rows = spark.range(1000).select(F.lit("k").alias("k"), "id")
-    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
-    out = exact.join_counted(rows, groups, "k", "n", F.col("id"), per_task=100)
-    assert out.count() == 1000 and out.columns == ["k", "id", "n"]
-
-
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exact.copy_groups(empty).count() == 0 and exact.drop_copies(empty).count() == 0

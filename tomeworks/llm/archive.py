@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.llm.exact import join_counted, possibly_repeated
+from tomeworks.llm.exact import possibly_repeated
+from tomeworks.operators.sampling import join_counted
 from tomeworks.operators.settle import settle
 
 CRLF = "\r\n"

@@ -32,15 +32,17 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
 from tomeworks.llm.decontam import gram_hashes, whole
-from tomeworks.llm.exact import join_counted, member_filter
+from tomeworks.llm.exact import member_filter
 from tomeworks.llm.graph import components
-from tomeworks.operators.sampling import first_per_key
+from tomeworks.operators.sampling import first_per_key, join_counted
 from tomeworks.operators.settle import settle
 
 U = np.uint64
 SHINGLE = 5
 #: Texts handled at once: each throws about k * (ln k + 2) darts, however short it is.
 RUN_TEXTS = 400
+#: Texts, or pairs of their shingle sets, in one Arrow batch.
+TEXT_BATCH = 1000
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def classes(
     others = [c for c in df.columns if c not in {text, key, *added}]
     rows = settle(df.select(key, *others, _features(bands, per_band)(text).alias("_f")).select(
         key, *others, F.col("_f.h1").alias("_h1"), F.col("_f.h2").alias("_h2"), F.col("_f.bands").alias("_bands"),
-        F.monotonically_increasing_id().alias("_row")))
+        F.monotonically_increasing_id().alias("_row")), TEXT_BATCH)
     worded = rows.where(F.size("_bands") > 0)
     # one node per distinct text
     least = F.struct(F.col(key).isNull(), F.col(key).alias("id"), F.col("_row").alias("row"))
@@ -218,12 +220,12 @@ def classes(
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     buckets = settle(join_counted(buckets, shared, "bucket", "_n", F.col("node")).select("bucket", "node"))
     wanted = settle(buckets.select("node").distinct().join(nodes, "node").select("node", "_id", "_h1", "_h2"))
-    sets = settle(_fetch(df, text, key, wanted))
+    sets = settle(_fetch(df, text, key, wanted), TEXT_BATCH)
 
     # most texts are settled by the pivot they share most buckets with
     pairs = settle(_pivots(buckets, 1).groupBy("node", "pivot").agg(F.count("*").alias("_n")))
     best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("_n", "pivot")).alias("pivot"))
-    known = settle(_compare(best, sets))
+    known = settle(_compare(best, sets), TEXT_BATCH)
     many = 1
     while True:
         links = known.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
@@ -232,9 +234,9 @@ def classes(
         if not buckets.limit(1).count():
             break
         against = settle(_pivots(buckets, many))
-        new = settle(against.select("node", "pivot").distinct().join(known, ["node", "pivot"], "left_anti"))
-        known = settle(known.unionByName(_compare(new, sets)))
-        told = settle(against.join(known, ["node", "pivot"]))
+        new = against.select("node", "pivot").distinct().join(known.hint("merge"), ["node", "pivot"], "left_anti")
+        known = settle(known.unionByName(_compare(new, sets)), TEXT_BATCH)
+        told = settle(against.join(known.hint("merge"), ["node", "pivot"]))
         # the pivots leave their bucket, and so does what is near to one of them and cannot be similar to
         # any that is not
         far = told.where(F.col("similarity") < similarity).groupBy("bucket", "pivot").agg(F.max("similarity").alias("_next"))
@@ -270,9 +272,9 @@ def _fetch(df: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, pivot, similarity)``, exact."""
-    left = pairs.join(sets, "node")
+    left = pairs.join(sets.hint("merge"), "node")
     right = sets.select(F.col("node").alias("pivot"), F.col("cells").alias("_with"))
-    return left.join(right, "pivot").select("node", "pivot", _jaccard()("cells", "_with").alias("similarity"))
+    return left.join(right.hint("merge"), "pivot").select("node", "pivot", _jaccard()("cells", "_with").alias("similarity"))
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
