@@ -38,9 +38,9 @@ SCORES = {
 
 
 @pytest.mark.parametrize("kind", SCORES)
-@pytest.mark.parametrize("limits", [{}, {"max_queries": 5, "chunk_block": 40}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 300}])
 def test_search_equals_brute_force(tables, kind, limits):
-    """Both ways: the broadcast block of queries, and the grid beyond its bound."""
+    """With one block of queries, and with several."""
     search, score = SCORES[kind]
     q, c, queries, chunks = tables
     got = {}
@@ -54,11 +54,19 @@ def test_search_equals_brute_force(tables, kind, limits):
 
 def test_no_cross_join(tables):
     _, _, queries, chunks = tables
-    for limits in ({}, {"max_queries": 5}):
+    for limits in ({}, {"block_bytes": 300}):
         plan = R.search_dense(queries, chunks, 3, **limits)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_one_pass_for_both_scores(tables):
+    _, _, queries, chunks = tables
+    both = R.search_both(queries, chunks, 3, block_bytes=500)
+    for kind, alone in (("dense", R.search_dense(queries, chunks, 3)), ("sparse", R.search_sparse(queries, chunks, 3))):
+        columns = ["query_id", "chunk_id", "score", "rank"]
+        assert set(both.where(F.col("kind") == kind).select(columns).collect()) == set(alone.select(columns).collect())
+
+
 def test_no_queries(tables):
     _, _, queries, chunks = tables
     assert R.search_overlap(queries.where("false"), chunks, 3).count() == 0

@@ -11,98 +11,108 @@ from pyspark.sql import functions as F
 from tomeworks.functions.text import strip, text_or_empty
 from tomeworks.operators.sampling import first_per_key
 from tomeworks.operators.scoring import DenseScorer, OverlapScorer, SparseScorer, best_of
+from tomeworks.operators.settle import settle
 
-HITS = "query_id bigint, chunk_id bigint, score double"
-MAX_QUERIES = 2000
-CHUNK_BLOCK = 20_000
+HITS = "kind string, query_id bigint, chunk_id bigint, score double"
+BLOCK_BYTES = 8 << 20
 
 ScorerOf = Callable[[pd.DataFrame], object]
 
 
-def _search(queries: DataFrame, chunks: DataFrame, scorer_of: ScorerOf, k: int, max_queries: int,
-            chunk_block: int) -> DataFrame:
-    """Exact top ``k`` chunks of every query.
+def _search(queries: DataFrame, chunks: DataFrame, scorers: Mapping[str, ScorerOf], size: Column, k: int,
+            block_bytes: int) -> DataFrame:
+    """Exact top ``k`` chunks of every query for each kind of score: ``kind, query_id, chunk_id, score, rank``.
 
-    Up to ``max_queries`` queries (counted, not assumed) go to the tasks, every task reduces its
-    part of the chunks to ``k`` rows per query, and only those are shuffled. More queries than
-    that meet the chunks in a grid of hash blocks, each of bounded size on both sides.
+    The queries are settled once and cut into blocks of about ``block_bytes`` by hash, ``size`` being
+    the bytes of one. Each block is shipped to the tasks and meets every chunk where it lies: a task
+    reduces its part of the chunks to ``k`` rows per query, and only those are shuffled, merged first by
+    groups of tasks and then by query. The number of tasks follows the cores, so the rows that are
+    merged do not grow with the chunks. All against all is possible and costs one scan for each block.
     """
-    head = queries.limit(max_queries + 1).toPandas()
-    if head.empty:
-        return queries.sparkSession.createDataFrame([], HITS + ", rank int")
-    if len(head) <= max_queries:
-        scorer, ids = scorer_of(head), head["query_id"].to_numpy()
+    spark = queries.sparkSession
+    held = settle(queries)
+    total = held.agg(F.coalesce(F.sum(size + 64), F.lit(0))).first()[0]
+    if not total:
+        return spark.createDataFrame([], HITS + ", rank int")
+    blocks = -(-int(total) // block_bytes)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    scanned = chunks.coalesce(tasks)
+    hits = None
+    for block in range(blocks):
+        own = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        part = scanned.mapInPandas(_reducer(own.toArrow(), scorers, k), HITS)
+        hits = part if hits is None else hits.unionByName(part)
+    grouped = hits.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(max(1, int(tasks**0.5)))))
+    order = [F.desc("score"), F.asc("chunk_id")]
+    merged = first_per_key(grouped, ["kind", "query_id", "_group"], order, k).drop("_group", "_rank")
+    return first_per_key(merged, ["kind", "query_id"], order, k, rank="rank")
+
+
+def _reducer(block, scorers: Mapping[str, ScorerOf], k: int):
+    def reduce_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = block.to_pandas()
+        made = {kind: scorer_of(queries) for kind, scorer_of in scorers.items()}
+        yield from best_of(frames, {kind: s for kind, s in made.items() if s is not None}, k)
+
+    return reduce_task
 
-        def reduce_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield best_of(frames, scorer, ids, k)
 
-        hits = chunks.mapInPandas(reduce_task, HITS)
-    else:
-        hits = _grid(queries, chunks, scorer_of, k, max_queries, chunk_block)
-    return _ranked(hits, k)
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    return first_per_key(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank="rank")
 
 
-def _grid(queries: DataFrame, chunks: DataFrame, scorer_of: ScorerOf, k: int, query_block: int,
-          chunk_block: int) -> DataFrame:
-    across = -(-queries.count() // query_block)
-    down = max(1, -(-chunks.count() // chunk_block))
+def _characters(text: Column) -> Column:
+    """The distinct characters of a text, found before it would leave the JVM."""
+    return F.array_join(F.array_distinct(F.split(text_or_empty(text), "")), "")
 
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def search_overlap(queries: DataFrame, chunks: DataFrame, k: int = 4, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``queries(query_id, query)`` against ``chunks(chunk_id, content)`` by the number of
+    distinct shared characters; ties in chunk order."""
+    q = queries.select(F.col("query_id").cast("bigint"), _characters(F.col("query")).alias("text"))
+    c = chunks.select(F.col("chunk_id").cast("bigint"), _characters(F.col("content")).alias("text"))
+    return _search(q, c, {"overlap": OverlapScorer.of}, F.octet_length("text"), k, block_bytes).drop("kind")
 
-    left = queries.withColumn("qb", block("query_id", across)).withColumn("cb", every(down))
-    right = chunks.withColumn("cb", block("chunk_id", down)).withColumn("qb", every(across))
 
-    def reduce_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return best_of(iter([c]), scorer_of(q), q["query_id"].to_numpy(), k)
+def _dense(key: str, vector: str) -> list[Column]:
+    return [F.col(key).cast("bigint"), F.col(vector).alias("vector")]
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(reduce_block, HITS)
 
+def _sparse(key: str, vector: str) -> list[Column]:
+    return [F.col(key).cast("bigint"), F.map_keys(vector).alias("tokens"), F.map_values(vector).alias("weights")]
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    return first_per_key(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank="rank")
 
-
-def search_overlap(queries: DataFrame, chunks: DataFrame, k: int = 4, max_queries: int = MAX_QUERIES,
-                   chunk_block: int = CHUNK_BLOCK) -> DataFrame:
-    """``queries(query_id, query)`` against ``chunks(chunk_id, content)`` by the number of
-    distinct shared characters; ties in chunk order."""
-    q = queries.select(
-        F.col("query_id").cast("bigint"),
-        F.array_join(F.array_distinct(F.split(text_or_empty(F.col("query")), "")), "").alias("text"),
-    )
-    c = chunks.select(F.col("chunk_id").cast("bigint"), text_or_empty(F.col("content")).alias("text"))
-    return _search(q, c, lambda f: OverlapScorer(f["text"].tolist()), k, max_queries, chunk_block)
+def _length(name: str) -> Column:
+    return F.coalesce(F.array_size(name), F.lit(0))
 
 
 def search_dense(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str = "dense_vector",
-                 metric: str = "COSINE", max_queries: int = MAX_QUERIES, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+                 metric: str = "COSINE", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Top ``k`` by cosine, or by inner product with ``metric='IP'``. Scores count to six digits,
     ties go to the lower chunk id."""
-    q = queries.select(F.col("query_id").cast("bigint"), F.col(vector).alias("vector"))
-    c = chunks.select(F.col("chunk_id").cast("bigint"), F.col(vector).alias("vector"))
-    held = F.col("vector").isNotNull()
-    return _search(q.where(held), c.where(held), lambda f: DenseScorer(f["vector"].tolist(), metric), k,
-                   max_queries, chunk_block)
+    q = queries.select(*_dense("query_id", vector)).where("vector IS NOT NULL")
+    c = chunks.select(*_dense("chunk_id", vector)).where("vector IS NOT NULL")
+    found = _search(q, c, {"dense": lambda f: DenseScorer.of(f, metric)}, 8 * _length("vector"), k, block_bytes)
+    return found.drop("kind")
 
 
 def search_sparse(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str = "sparse_vector",
-                  max_queries: int = MAX_QUERIES, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Inner-product top ``k`` over ``token -> weight`` maps; only chunks sharing a token."""
+    q = queries.where(F.size(vector) > 0).select(*_sparse("query_id", vector))
+    c = chunks.where(F.size(vector) > 0).select(*_sparse("chunk_id", vector))
+    return _search(q, c, {"sparse": SparseScorer.of}, 16 * _length("tokens"), k, block_bytes).drop("kind")
+
+
+def search_both(queries: DataFrame, chunks: DataFrame, k: int, dense: str = "dense_vector", sparse: str = "sparse_vector",
+                metric: str = "COSINE", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Dense and sparse rankings in one pass over the chunks, told apart by ``kind``."""
     def flat(df: DataFrame, key: str) -> DataFrame:
-        return df.where(F.size(vector) > 0).select(
-            F.col(key).cast("bigint"), F.map_keys(vector).alias("tokens"), F.map_values(vector).alias("weights")
-        )
+        return df.select(*_dense(key, dense), *_sparse(key, sparse)[1:])
 
-    return _search(
-        flat(queries, "query_id"), flat(chunks, "chunk_id"),
-        lambda f: SparseScorer(list(zip(f["tokens"], f["weights"]))), k, max_queries, chunk_block,
-    )
+    return _search(flat(queries, "query_id"), flat(chunks, "chunk_id"),
+                   {"dense": lambda f: DenseScorer.of(f, metric), "sparse": SparseScorer.of},
+                   8 * _length("vector") + 16 * _length("tokens"), k, block_bytes)
 
 
 def with_fields(hits: DataFrame, chunks: DataFrame, fields: Mapping[str, str]) -> DataFrame:

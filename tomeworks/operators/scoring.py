@@ -7,7 +7,7 @@ chunks into a ``rows x queries`` array.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,19 @@ class DenseScorer:
         self.queries = self._unit(np.stack([np.asarray(v, dtype=np.float64) for v in vectors])).T
         self.digits = digits
 
+    @classmethod
+    def of(cls, queries: pd.DataFrame, metric: str = "COSINE") -> DenseScorer | None:
+        held = queries[queries["vector"].notna()]
+        if held.empty:
+            return None
+        made = cls(held["vector"].tolist(), metric)
+        made.ids = held["query_id"].to_numpy()
+        return made
+
+    @staticmethod
+    def usable(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[frame["vector"].notna()]
+
     def _unit(self, rows: np.ndarray) -> np.ndarray:
         if not self.cosine:
             return rows
@@ -48,6 +61,18 @@ class OverlapScorer:
         for q, text in enumerate(texts):
             self.queries[[self.at[c] for c in set(text)], q] = 1.0
 
+    @classmethod
+    def of(cls, queries: pd.DataFrame) -> OverlapScorer | None:
+        if queries.empty:
+            return None
+        made = cls(queries["text"].tolist())
+        made.ids = queries["query_id"].to_numpy()
+        return made
+
+    @staticmethod
+    def usable(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame
+
     def score(self, frame: pd.DataFrame) -> np.ndarray:
         rows = np.zeros((len(frame), len(self.at)), dtype=np.float32)
         for i, text in enumerate(frame["text"]):
@@ -76,6 +101,19 @@ class SparseScorer:
                 weights[np.searchsorted(tokens, ids[q]), q] = w
             self.blocks.append((start, tokens, weights, bool((weights >= 0).all())))
 
+    @classmethod
+    def of(cls, queries: pd.DataFrame) -> SparseScorer | None:
+        held = cls.usable(queries)
+        if held.empty:
+            return None
+        made = cls(list(zip(held["tokens"], held["weights"])))
+        made.ids = held["query_id"].to_numpy()
+        return made
+
+    @staticmethod
+    def usable(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[frame["tokens"].map(lambda t: t is not None and len(t) > 0).astype(bool)]
+
     def score(self, frame: pd.DataFrame) -> np.ndarray:
         sizes = frame["tokens"].map(len).to_numpy()
         out = np.full((len(frame), self.width), -np.inf)
@@ -131,12 +169,15 @@ class TopK:
         self.floor[self.q[last]] = self.s[last]
 
 
-def best_of(frames: Iterator[pd.DataFrame], scorer, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Scores of all frames of one task, reduced to ``k`` rows per query."""
-    top = TopK(len(query_ids), k)
+def best_of(frames: Iterator[pd.DataFrame], scorers: Mapping[str, object], k: int) -> Iterator[pd.DataFrame]:
+    """Scores of all frames of one task, reduced to ``k`` rows per kind and query."""
+    tops = {kind: TopK(len(scorer.ids), k) for kind, scorer in scorers.items()}
     for frame in frames:
-        step = min(SLICE, getattr(scorer, "rows", SLICE))
-        for lo in range(0, len(frame), step):
-            part = frame.iloc[lo:lo + step]
-            top.offer(scorer.score(part), part["chunk_id"].to_numpy())
-    return pd.DataFrame({"query_id": query_ids[top.q], "chunk_id": top.i, "score": top.s})
+        for kind, scorer in scorers.items():
+            own = scorer.usable(frame)
+            step = min(SLICE, getattr(scorer, "rows", SLICE))
+            for lo in range(0, len(own), step):
+                part = own.iloc[lo:lo + step]
+                tops[kind].offer(scorer.score(part), part["chunk_id"].to_numpy())
+    for kind, top in tops.items():
+        yield pd.DataFrame({"kind": kind, "query_id": scorers[kind].ids[top.q], "chunk_id": top.i, "score": top.s})

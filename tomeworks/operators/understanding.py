@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tomeworks.functions.intent import IntentWords, resolve_intent
 from tomeworks import constants as K
 from tomeworks.functions.text import nz, parse_model_json, text_or_empty
-from tomeworks.operators.retrieval import rrf, search_dense, search_sparse
+from tomeworks.operators.retrieval import rrf, search_both, search_dense
 from tomeworks.operators.sampling import first_per_key
 
 PARSED = "candidate_items array<string>, item_names array<string>, rewritten_query string, intent_type string"
@@ -83,8 +83,8 @@ def retrieval_strategy(intent: Column) -> Column:
 
 
 def search_hybrid(queries: DataFrame, chunks: DataFrame, k: int = 4, depth: int = 20, k0: int = 60) -> DataFrame:
-    """Dense and sparse rankings fused by reciprocal rank."""
-    return rrf([search_dense(queries, chunks, depth), search_sparse(queries, chunks, depth)], k, k0)
+    """Dense and sparse rankings of one pass, fused by reciprocal rank."""
+    return rrf([search_both(queries, chunks, depth)], k, k0)
 
 
 def query_metrics(labelled: DataFrame, k: int = 5) -> DataFrame:

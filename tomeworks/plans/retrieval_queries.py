@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tomeworks.operators import embedding as E
@@ -30,15 +31,15 @@ def overlap_topk(spark, sf_dir):
 
 
 @query("dense_topk", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-scored AS (SELECT a.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(a.e, c.e), 6) AS score FROM v a, v c)
+scored AS (SELECT a.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(a.e, c.e), 6) AS score FROM v a, v c
+  WHERE a.vec_id % 20 = 0)
 SELECT query_id, chunk_id, score, rank, label FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
 JOIN embeddings ON vec_id = chunk_id WHERE rank <= 4""")
 def dense_topk(spark, sf_dir):
     e = b.table(spark, sf_dir, "embeddings")
-    hits = R.search_dense(
-        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("dense_vector")),
-        e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense_vector")), K)
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("dense_vector"))
+    hits = R.search_dense(asked, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense_vector")), K)
     return R.with_fields(hits, e.withColumnRenamed("vec_id", "chunk_id"), {"label": "label"})
 
 
@@ -122,7 +123,7 @@ def rerank_topk(spark, sf_dir):
 lines AS (
   SELECT query_id, rank, '[文档:' || rank || '] [chunk_id=' || chunk_id || '] [title=' || title || '] [source=' || source
          || '] [score=' || printf('%.6f', score) || ']' || chr(10) || content AS line
-  FROM ranked WHERE rank <= 8 AND content <> ''),
+  FROM ranked WHERE content <> ''),
 used AS (SELECT *, sum(length(line)) OVER w + 2 * (count(*) OVER w - 1) AS used FROM lines
          WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)),
 packed AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS contexts,
@@ -134,7 +135,9 @@ def pack_contexts(spark, sf_dir):
         F.concat("source", "lang").alias("query_id"), "source", F.col("lang").alias("title"),
         F.when(F.col("n_chars") % 5 == 0, "").otherwise(F.col("text")).alias("content"),
         F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
-    return R.pack_contexts(first_per_key(d, ["query_id"], [F.col("score"), F.col("chunk_id")], 8, rank="rank"))
+    # the whole ranking; packing prunes it to what its budget can hold
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "chunk_id"))
+    return R.pack_contexts(d.withColumn("rank", place))
 
 
 _ALIGNED = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
