@@ -32,6 +32,8 @@ from tomeworks.llm.tokens import Encoder, grouped
 from tomeworks.operators.settle import settle
 
 BUCKET_ROWS = 50_000
+#: Texts in one Arrow batch.
+TEXT_BATCH = 2000
 
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -199,7 +201,7 @@ def assignment(plan: list[tuple[tuple[int, ...], int]], histogram: np.ndarray) -
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. Sequences of one full piece have negative numbers."""
     names = cut.columns
-    rows = settle(cut.withColumn("_row", F.monotonically_increasing_id()))
+    rows = settle(cut.withColumn("_row", F.monotonically_increasing_id()), TEXT_BATCH)
     short = rows.where(F.col("length") < capacity)
     total = short.count()
     full = rows.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

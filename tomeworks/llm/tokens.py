@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Pieces whose ids a task keeps in each of two generations, and pieces in one call of the library.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 CALL_PIECES = 1024
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
