@@ -8,14 +8,12 @@ goes to one of k coordinates, and the earliest (smallest rank) of each coordinat
 Texts with a coordinate still empty get twice the rank again. Two signatures agree in a coordinate with
 the probability of the weighted Jaccard similarity, and the work for a text of n shingles is n + k log k.
 
-Banded joining: texts that agree in all ``per_band`` coordinates of a band share a bucket. Texts of
-equal words are folded into one before that, so copies are never paired. In a bucket every text is
-compared with a pivot only, exactly, on the shingles themselves. Jaccard distance is a metric, so with
-the distances to the pivot known, only texts whose distances differ by at most 1 - similarity can still
-be similar; the others leave the bucket, and further pivots, four times as many each round, go on with
-the rest until no bucket has texts of two components. No link between components inside a bucket is
-lost, whatever the bucket's size. A pair of
-similarity s shares a bucket with probability 1 - (1 - s^per_band)^bands, 0.99995 at 0.8.
+Banded joining: texts that agree in all ``per_band`` coordinates of a band share a bucket; a pair of
+similarity s does with probability 1 - (1 - s^per_band)^bands, 0.99995 at 0.8. Texts of equal words are
+folded into one before that, so copies are never paired. In a bucket every text is compared with one
+pivot only, exactly, on the shingles themselves, so the comparisons grow with the texts and not with the
+pairs of a group. What a pivot leaves apart meets again by the cells in which it differs from the pivot
+(``_link_rest``).
 
 Words are lower-cased runs of letters and digits. Texts of one to four words are one shingle; null
 and wordless texts are in a class of their own, each. A null id counts as larger than any other.
@@ -34,7 +32,7 @@ from tomeworks.llm import words as W
 from tomeworks.llm.decontam import gram_hashes, whole
 from tomeworks.llm.exact import member_filter
 from tomeworks.llm.graph import components
-from tomeworks.operators.sampling import first_per_key, join_counted
+from tomeworks.operators.sampling import join_counted
 from tomeworks.operators.settle import settle
 
 U = np.uint64
@@ -186,16 +184,84 @@ def _jaccard():
     return F.arrow_udf(run, "double")
 
 
-def _pivots(buckets: DataFrame, many: int) -> DataFrame:
-    """``(bucket, node, pivot)`` for the nodes of each bucket and its ``many`` pivots. Pivots are the
-    nodes that meet most others in their buckets: those in the middle of a group link most of it."""
+def _differences():
+    """The cells that only one of two sets has."""
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        parts, sizes = [np.zeros(0, dtype=np.int64)], [0]
+        (at, data), (with_at, with_data) = W.texts(left), W.texts(right)
+        for i in range(len(left)):
+            both = np.concatenate([data[at[i] : at[i + 1]], with_data[with_at[i] : with_at[i + 1]]]).view(U)
+            both.sort()
+            twice = np.zeros(len(both) + 1, dtype=bool)
+            twice[1:-1] = both[1:] == both[:-1]
+            parts.append(both[~(twice[1:] | twice[:-1])].view(np.int64))
+            sizes.append(len(parts[-1]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), pa.array(np.concatenate(parts)))
+
+    run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<bigint>")
+
+
+def _pairs(buckets: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``(bucket, node, pivot)`` for the nodes that are not their bucket's pivot; ``pivots`` has
+    ``bucket``, ``pivot`` and the bucket's size ``_n``."""
+    return join_counted(buckets, pivots, "bucket", "_n", F.col("node")).where("node <> pivot").select("bucket", "node", "pivot")
+
+
+def _middles(buckets: DataFrame) -> DataFrame:
+    """The pivot of each bucket is the node that meets most others in its buckets: those in the middle
+    of a group link most of it."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("_n"))
     met = join_counted(buckets, sizes, "bucket", "_n", F.col("node")).groupBy("node").agg(F.sum("_n").alias("_met"))
-    order = [F.col("_met").desc(), F.xxhash64("node"), F.col("node")]
-    first = first_per_key(buckets.join(met, "node"), ["bucket"], order, many)
-    listed = first.groupBy("bucket").agg(F.collect_list("node").alias("_pivots")).join(sizes, "bucket")
-    pairs = join_counted(buckets, listed, "bucket", "_n", F.col("node")).select("bucket", "node", F.explode("_pivots").alias("pivot"))
-    return pairs.where("node <> pivot")
+    best = F.max(F.struct("_met", F.xxhash64("node"), "node"))["node"]
+    return _pairs(buckets, buckets.join(met, "node").groupBy("bucket").agg(best.alias("pivot"), F.count("*").alias("_n")))
+
+
+def _components_of(known: DataFrame, similarity: float) -> DataFrame:
+    return settle(components(known.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with the component of a node, itself if it has no link."""
+    named = labels.select(F.col("node").alias(node), F.col("label").alias("_label")).hint("merge")
+    return df.join(named, node, "left").withColumn(name, F.coalesce("_label", node)).drop("_label")
+
+
+def _link_rest(known: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links between texts that their pivot does not join: all comparisons, and the components.
+
+    If o is less similar to its pivot p than ``similarity`` and x is another text, o and x can only be
+    similar enough if some cell makes both of them differ from p: without one, what o and x share is part
+    of what o and p share, and their union holds p and what o adds to it. So the texts compared with p
+    meet again in buckets of (p, differing cell). Each bucket with several components compares the others
+    with one of its texts, another one every round, until a round finds no link.
+    """
+    labels = _components_of(known, similarity)
+    apart = _labelled(_labelled(known, labels, "node", "_c"), labels, "pivot", "_p").where("_c <> _p").select("node", "pivot")
+    apart = settle(apart)
+    if not apart.limit(1).count():
+        return known, labels
+    around = known.select("node", "pivot").join(apart.select("pivot").distinct().hint("merge"), "pivot", "left_semi")
+    right = sets.select(F.col("node").alias("pivot"), F.col("cells").alias("_with"))
+    cells_ = settle(around.join(sets.hint("merge"), "node").join(right.hint("merge"), "pivot").select("node", "pivot", _differences()("cells", "_with").alias("_cells")), TEXT_BATCH)
+    met = cells_.select("node", "pivot", F.explode("_cells").alias("_cell")).withColumn("bucket", F.xxhash64("pivot", "_cell"))
+    of_apart = met.join(apart.hint("merge"), ["node", "pivot"], "left_semi").select("bucket").distinct()
+    buckets = settle(met.select("bucket", "node").distinct().join(of_apart.hint("merge"), "bucket", "left_semi"))
+    turn = 0
+    while True:
+        turn += 1
+        mine = settle(_labelled(buckets, labels, "node", "_c"))
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("_c").alias("_p")))
+        pivots = mine.groupBy("bucket").agg(first.alias("_f"), F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
+        pivots = pivots.select("bucket", F.col("_f.node").alias("pivot"), F.col("_f._p").alias("_p"), "_n")
+        asked = join_counted(mine, pivots, "bucket", "_n", F.col("node")).where("_c <> _p").select("node", "pivot").distinct()
+        new = settle(asked.join(known.hint("merge"), ["node", "pivot"], "left_anti"))
+        compared = settle(_compare(new, sets), TEXT_BATCH)
+        found = compared.where(F.col("similarity") >= similarity).limit(1).count()
+        known = settle(known.unionByName(compared))
+        if not found:
+            return known, labels
+        labels = _components_of(known, similarity)
 
 
 def classes(
@@ -222,30 +288,8 @@ def classes(
     wanted = settle(buckets.select("node").distinct().join(nodes, "node").select("node", "_id", "_h1", "_h2"))
     sets = settle(_fetch(df, text, key, wanted), TEXT_BATCH)
 
-    # most texts are settled by the pivot they share most buckets with
-    pairs = settle(_pivots(buckets, 1).groupBy("node", "pivot").agg(F.count("*").alias("_n")))
-    best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("_n", "pivot")).alias("pivot"))
-    known = settle(_compare(best, sets), TEXT_BATCH)
-    many = 1
-    while True:
-        links = known.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        labels = settle(components(links))
-        buckets = settle(_open(buckets, labels))
-        if not buckets.limit(1).count():
-            break
-        against = settle(_pivots(buckets, many))
-        new = against.select("node", "pivot").distinct().join(known.hint("merge"), ["node", "pivot"], "left_anti")
-        known = settle(known.unionByName(_compare(new, sets)), TEXT_BATCH)
-        told = settle(against.join(known.hint("merge"), ["node", "pivot"]))
-        # the pivots leave their bucket, and so does what is near to one of them and cannot be similar to
-        # any that is not
-        far = told.where(F.col("similarity") < similarity).groupBy("bucket", "pivot").agg(F.max("similarity").alias("_next"))
-        stays = (F.col("similarity") < similarity) | (F.col("similarity") - (1 - similarity) <= F.col("_next") + 1e-9)
-        judged = told.join(far, ["bucket", "pivot"], "left").groupBy("bucket", "node").agg(F.bool_and(F.coalesce(stays, F.lit(False))).alias("_stays"))
-        used = against.select("bucket", F.col("pivot").alias("node")).distinct()
-        buckets = settle(judged.where("_stays").select("bucket", "node").join(used, ["bucket", "node"], "left_anti"))
-        many *= 4
-
+    pairs = _middles(buckets).select("node", "pivot").distinct()
+    _, labels = _link_rest(settle(_compare(settle(pairs), sets), TEXT_BATCH), sets, similarity)
     member = _members(worded, nodes)
     member = member.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
     member = member.select(key, *others, "_row", "_class").unionByName(
@@ -277,13 +321,6 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), "pivot").select("node", "pivot", _jaccard()("cells", "_with").alias("similarity"))
 
 
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets with texts of at least two components."""
-    labelled = buckets.join(labels, "node", "left").withColumn("_c", F.coalesce("label", "node"))
-    several = labelled.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
-    return join_counted(labelled.select("bucket", "node"), several, "bucket", "_n", F.col("node")).select("bucket", "node")
-
-
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows that stay, with their columns. Only rows that may have to go are shuffled."""
     made = df.withColumn("_same", F.xxhash64(*df.columns))
