@@ -105,14 +105,11 @@ def stage2_pool(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _groups_of_item(pool: DataFrame, seed: int, kind: str, groups: int) -> DataFrame:
-    """Picks of two or three chunk ids of one item, drawn without replacement."""
+def _groups_of_item(pool: DataFrame, seed: int, kind: str, first: int | None = None) -> DataFrame:
+    """Picks of two or three chunk ids of one item, drawn without replacement; of each item only
+    those of its first ``first`` groups."""
     narrow = pool.select("item", "chunk_id", rnd(seed, f"{kind}-chunk", F.col("chunk_id")).alias("_h"))
-    most = GROUP * groups
-    if most <= 1000:
-        ranked = first_per_key(narrow, ["item"], [F.col("_h")], most, rank="rank")
-    else:
-        ranked = rank_in_hash_order(narrow, "_h", ["item"], limit=F.lit(most))
+    ranked = rank_in_hash_order(narrow, "_h", ["item"], limit=None if first is None else F.lit(GROUP * first))
     key = F.concat_ws("#", "item", F.floor((F.col("rank") - 1) / GROUP).cast("string"))
     grouped = ranked.groupBy("item", key.alias("key")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("rows")
@@ -129,7 +126,7 @@ def item_ring(pool: DataFrame, seed: int = SEED, purpose: str = "items") -> Data
     A self-join on inequality would pair all items with all; the ring joins one to one.
     """
     items = pool.select("item").distinct().withColumn("ord", rnd(seed, purpose, F.col("item")))
-    ranked = rank_in_hash_order(items, "ord")
+    ranked = settle(rank_in_hash_order(items, "ord"))
     hop = F.greatest(F.col("stratum_rows") - 1, F.lit(1))
     step = F.lit(1) + unit_fraction(rnd(seed, f"{purpose}-step", F.col("item")), hop)
     asked = ranked.withColumn("_at", F.pmod(F.col("rank") - 1 + step, F.col("stratum_rows")))
@@ -270,7 +267,8 @@ def build_kind(chunks: DataFrame, kind: str, target: int, seed: int = SEED,
                generations: DataFrame | None = None) -> DataFrame:
     """Stage-1 samples of one kind: ``answerable``, ``multi_chunk``, ``unanswerable`` or
     ``conflicting``. Generated wording is optional for the first three."""
-    chosen = choose_stage1(stage1_pool(chunks, seed), {kind: target}, seed, generations)
+    pool = settle(stage1_pool(chunks, seed))
+    chosen = settle(choose_stage1(pool, {kind: target}, seed, generations))
     return render_stage1(_stage1_rows(chosen, chunks, seed))
 
 
@@ -330,7 +328,8 @@ def gate_reason(cues: Sequence[str] = K.REFUSAL_CUES) -> Column:
     used, offered = citations_n(answer), available_citations(user)
     grounded = kind.isin(*K.GROUNDED_TYPES)
     return (
-        F.when(~R.roles_valid(F.col("messages")), "messages roles invalid")
+        F.when(F.col("messages").isNull(), "empty")
+        .when(~R.roles_valid(F.col("messages")), "messages roles invalid")
         .when(kind.isNull() | ~kind.isin(*K.STAGE2_TYPES), F.concat(F.lit("invalid type: "), text_or_empty(kind)))
         .when(strip(answer) == "", "empty answer")
         .when(grounded & is_refusal(answer, cues), "grounded sample refused")
@@ -347,27 +346,31 @@ def gate_samples(df: DataFrame, cues: Sequence[str] = K.REFUSAL_CUES) -> tuple[D
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
-def _tries(need: int, factor: int) -> int:
-    return max(50, need * factor)
-
-
 def choose_stage2(pool: DataFrame, plan: Sequence[tuple[str, str, int]], seed: int = SEED) -> DataFrame:
-    """For each ``(type, subtype, tries)`` of ``plan`` the first ``tries`` picks.
+    """For each ``(type, subtype, tries)`` of ``plan`` the first ``tries`` picks in hash order.
 
     Any usable chunk serves the single-chunk types and both recall refusals; ``conflict`` wants a
-    number in it; ``multi_hop`` takes groups, enough for ``tries`` of them.
+    number in it; ``multi_hop`` takes groups. A ``no_recall`` pick asks about another item than that
+    of its material, or the same one when there is no other.
     """
     tries = {subtype or kind: n for kind, subtype, n in plan}
     parts = []
     if "multi_hop" in tries:
-        parts.append(_groups_of_item(pool, seed, "multi_hop", tries["multi_hop"]))
+        parts.append(_groups_of_item(pool, seed, "multi_hop"))
     rules = {
         name: F.col("fits") & F.col("numeric") if name == "conflict" else F.col("fits")
         for name in tries if name != "multi_hop"
     }
     if rules:
         parts.append(_single_picks(pool, rules, seed))
-    return first_of_kinds(reduce(DataFrame.unionByName, parts), tries)
+    chosen = first_of_kinds(reduce(DataFrame.unionByName, parts), tries)
+    if "no_recall" not in tries:
+        return chosen
+    chosen = settle(chosen)
+    ring = item_ring(pool, seed, "no_recall-items").select("item", F.col("other").alias("_topic"))
+    asked = chosen.where("kind = 'no_recall'").join(ring, "item", "left")
+    asked = asked.withColumns({"other": F.when(F.col("_topic").isNotNull(), F.col("item")), "item": F.coalesce("_topic", "item")}).drop("_topic")
+    return chosen.where("kind <> 'no_recall'").unionByName(asked.select(chosen.columns))
 
 
 def stage2_rows(picks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -384,10 +387,12 @@ _SINGLE = {
 
 
 def render_stage2(rows: DataFrame, seed: int = SEED, system: str = K.SYSTEM_PROMPT) -> DataFrame:
-    """Template samples from gathered picks of any ``kind`` (a refusal's kind is its subtype)."""
+    """Template samples from gathered picks of any ``kind`` (a refusal's kind is its subtype). A conflict
+    whose number can't be changed has no sample: its ``messages`` are NULL."""
     kind, seeds, text = F.col("kind"), F.col("seeds"), F.get("seeds", F.lit(0))["text"]
     changed = F.when(kind == "conflict", perturb_number(text, rnd(seed, "conflict-number", F.col("request_id"))))
-    rows = rows.withColumn("p", changed).where((kind != "conflict") | (F.col("p.old") != F.col("p.new")))
+    usable = (kind != "conflict") | F.coalesce(F.col("p.old") != F.col("p.new"), F.lit(False))
+    rows = rows.withColumn("p", changed)
     told = F.transform(seeds, lambda c, i: F.when(c["text"] != "", F.concat(
         first_sentences(c["text"], 1), F.lit(" ["), (i + 1).cast("string"), F.lit("]。"))))
     question = (
@@ -411,14 +416,14 @@ def render_stage2(rows: DataFrame, seed: int = SEED, system: str = K.SYSTEM_PROM
         F.when(kind == "conflict", F.concat(seeds, altered)).otherwise(seeds),
         question.otherwise(K.S2_REFUSE_Q), answer.otherwise(K.S2_REFUSE_A), F.lit(True), system,
     )
-    return built.select("request_id", "kind", "ord", "messages", "meta")
+    return built.select("request_id", "kind", "ord", F.when(usable, F.col("messages")).alias("messages"), "meta")
 
 
 def build_type(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED,
                system: str = K.SYSTEM_PROMPT) -> DataFrame:
     """Candidates of one type, before gate and de-duplication."""
-    picks = choose_stage2(stage2_pool(chunks), [(kind, subtype, tries)], seed)
-    return render_stage2(stage2_rows(picks, chunks), seed, system)
+    picks = settle(choose_stage2(settle(stage2_pool(chunks)), [(kind, subtype, tries)], seed))
+    return render_stage2(stage2_rows(picks, chunks), seed, system).where("messages IS NOT NULL")
 
 
 def _rounds(plan: Sequence[tuple[str, str, int]]) -> list[list[tuple[str, str, int]]]:
@@ -454,25 +459,39 @@ def _accept(candidates: DataFrame, needs: Mapping[str, int], seen: DataFrame | N
 def expand(
     chunks: DataFrame, total: int = 300, ratios: Mapping[str, float] = K.STAGE2_RATIOS,
     subtypes: Sequence[str] = K.REFUSE_SUBTYPES, holdout: float = K.STAGE2_HOLDOUT, seed: int = SEED,
-    system: str = K.SYSTEM_PROMPT,
+    system: str = K.SYSTEM_PROMPT, window: int = 8,
 ) -> SampleSet:
-    """Messages samples of all types: draw, gate, de-duplicate, cap, split and number."""
+    """Messages samples of all types: draw, gate, de-duplicate, cap, split and number.
+
+    Candidates are taken in hash order until every need is met or there are none left. As most are
+    usable, the first ``window`` times the need of a type are tried first; a type that is still short,
+    as among many copies, is tried again with eight times as many.
+    """
     plan = [p for p in plan_targets(total, ratios, subtypes) if p[2]]
     pool = settle(stage2_pool(chunks))
-    drawn = [(kind, subtype, _tries(need, 10 if kind == "refuse" else 8)) for kind, subtype, need in plan]
-    picks = settle(choose_stage2(pool, drawn, seed))
-    rows = settle(stage2_rows(picks, chunks))
-    parts: list[DataFrame] = []
-    drops: list[DataFrame] = []
-    for together in _rounds(plan):
-        found = render_stage2(rows.where(F.col("kind").isin([s or k for k, s, _ in together])), seed, system)
-        seen = reduce(DataFrame.unionByName, [p.select("fp") for p in parts]) if parts else None
-        accepted, dropped = _accept(found, {s or k: need for k, s, need in together}, seen)
-        parts.append(accepted)
-        drops.append(dropped)
-    samples = finish(reduce(DataFrame.unionByName, parts), holdout, seed)
+    needs = {s or k: need for k, s, need in plan}
+    tries = {name: max(50, need * window) for name, need in needs.items()}
+    while True:
+        picks = settle(choose_stage2(pool, [(k, s, tries[s or k]) for k, s, _ in plan], seed))
+        rows = settle(stage2_rows(picks, chunks))
+        parts: list[DataFrame] = []
+        drops: list[DataFrame] = []
+        for together in _rounds(plan):
+            names = [s or k for k, s, _ in together]
+            found = render_stage2(rows.where(F.col("kind").isin(names)), seed, system)
+            seen = reduce(DataFrame.unionByName, [p.select("fp") for p in parts]) if parts else None
+            accepted, dropped = _accept(found, {n: needs[n] for n in names}, seen)
+            parts.append(accepted)
+            drops.append(dropped)
+        accepted = reduce(DataFrame.unionByName, parts)
+        got = {r["kind"]: r["n"] for r in accepted.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        tried = {r["kind"]: r["n"] for r in picks.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        short = [n for n in needs if got.get(n, 0) < needs[n] and tried.get(n, 0) >= tries[n]]
+        if not short:
+            break
+        tries |= {n: tries[n] * 8 for n in short}
     dropped = reduce(DataFrame.unionByName, drops).groupBy("reason").agg(F.count("*").alias("rows"))
-    return SampleSet(samples, dropped)
+    return SampleSet(settle(finish(accepted, holdout, seed)), settle(dropped))
 
 
 def finish(samples: DataFrame, holdout: float = K.STAGE2_HOLDOUT, seed: int = SEED) -> DataFrame:
@@ -502,18 +521,12 @@ def build_stats(samples: DataFrame) -> DataFrame:
 # --- Generated wording -----------------------------------------------------------------------
 
 def requests(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED) -> DataFrame:
-    """``request_id, ord, item, seeds``: material for a question model, seeds as contexts."""
-    picks = choose_stage2(stage2_pool(chunks), [(kind, subtype, tries)], seed)
+    """``request_id, ord, item, seeds``: material for a question model, seeds as contexts; ``item`` is
+    what the question is about, another than the seed's for ``no_recall``."""
+    picks = settle(choose_stage2(settle(stage2_pool(chunks)), [(kind, subtype, tries)], seed))
     return stage2_rows(picks, chunks).select("request_id", "ord", "item", "seeds")
 
 
-def refusal_topics(asked: DataFrame, chunks: DataFrame, seed: int = SEED) -> DataFrame:
-    """``topic``: the item a no-recall question is about. Another item than the material's, or
-    the same one when there is no other."""
-    ring = item_ring(stage2_pool(chunks), seed, "no_recall-items").select("item", F.col("other").alias("_other"))
-    return asked.join(ring, "item", "left").withColumn("topic", F.coalesce("_other", "item")).drop("_other")
-
-
 def accept_grounded(asked: DataFrame, generations: DataFrame, retrieved: DataFrame, kind: str,
                     system: str = K.SYSTEM_PROMPT) -> tuple[DataFrame, DataFrame]:
     """Generated grounded samples, and the requests whose question did not find its material.

@@ -26,7 +26,8 @@ def rank_in_hash_order(
     cut every stratum into up to 4096 even buckets: one narrow count per bucket gives the
     offsets, rows are numbered inside their bucket only. With ``limit`` (a column over ``rows``
     and the strata) whole buckets past it are dropped before anything but counts is shuffled.
-    Strata must be few and not NULL; ``order`` must be unique.
+    Strata must not be NULL, ``order`` must be unique. With many strata the counts have at most one
+    row for each row.
     """
     strata = list(strata)
     keyed = df.withColumn("_bucket", F.substring(F.substring_index(order, ":", -1), 1, BUCKET_DIGITS))

@@ -176,24 +176,24 @@ _FORMAT = f"""CASE WHEN {b.sql_any('text', K.TROUBLESHOOTING_WORDS)} THEN 'troub
   WHEN {b.sql_any('text', K.STEP_WORDS)} OR regexp_matches(text, '(^|\\n)\\s*[0-9]+[.、)]') THEN 'steps' ELSE 'definition' END"""
 
 
-def _single(kind: str, question: str, answer: str, tries: int, subtype: str = "CAST(NULL AS VARCHAR)", where: str = "") -> str:
+def _single(kind: str, question: str, answer: str, subtype: str = "CAST(NULL AS VARCHAR)", where: str = "") -> str:
     return f"""{kind}_found AS (
   SELECT '{kind}:' || chunk_id AS request_id, {sql_rnd(42, kind, 'chunk_id')} AS ord, {subtype} AS subtype,
          {_user(_block("'1'", 'source', 'text'), question)} AS usr, {answer} AS answer
-  FROM pool WHERE length(text) > 20 {where} ORDER BY ord LIMIT {tries})"""
+  FROM pool WHERE length(text) > 20 {where})"""
 
 
-def _found(kind: str, subtype: str, tries: int) -> str:
+def _found(kind: str, subtype: str) -> str:
     one = b.sql_first_sentences("text", 1)
     if kind == "faithful":
-        return _single(kind, K.S2_FAITHFUL_Q, sql_fill(K.S2_FAITHFUL_A, text=one), tries)
+        return _single(kind, K.S2_FAITHFUL_Q, sql_fill(K.S2_FAITHFUL_A, text=one))
     if kind == "cite":
-        return _single(kind, K.S2_CITE_Q, sql_fill(K.S2_CITE_A, text=one), tries)
+        return _single(kind, K.S2_CITE_Q, sql_fill(K.S2_CITE_A, text=one))
     if kind == "format":
-        return _single(kind, K.S2_FORMAT_Q, sql_fill(K.S2_FORMAT_A, text=one), tries, _FORMAT)
+        return _single(kind, K.S2_FORMAT_Q, sql_fill(K.S2_FORMAT_A, text=one), _FORMAT)
     if kind == "multi_hop":
-        return f"""{_groups('multi_hop', 'pool', f'n <= {3 * tries}')},
-multi_hop_chosen AS (SELECT * FROM multi_hop_groups ORDER BY ord LIMIT {tries}),
+        return f"""{_groups('multi_hop', 'pool', 'true')},
+multi_hop_chosen AS (SELECT * FROM multi_hop_groups),
 multi_hop_rows AS (
   SELECT g.key, g.ord, (k.n - 1) % 3 + 1 AS n, p.source, p.text FROM multi_hop_chosen g
   JOIN multi_hop_keyed k ON k.key = g.key JOIN pool p ON p.chunk_id = k.chunk_id WHERE (k.n - 1) % 3 < g.size),
@@ -207,11 +207,12 @@ multi_hop_found AS (
         both = f"{_block(quote('1'), 'source', 'text')} || chr(10) || chr(10) || " + _block("'2'", f"source || '{K.CONFLICT_SOURCE_SUFFIX}'", "new_text")
         return f"""conflict_picked AS (
   SELECT 'conflict:' || chunk_id AS request_id, {sql_rnd(42, 'conflict', 'chunk_id')} AS ord, source, text
-  FROM pool WHERE length(text) > 20 AND regexp_matches(text, '[0-9]') ORDER BY ord LIMIT {tries}),
+  FROM pool WHERE length(text) > 20 AND regexp_matches(text, '[0-9]')),
 conflict_found AS (
-  SELECT request_id, ord, 'conflict' AS subtype, {_user(both, K.S2_CONFLICT_Q)} AS usr,
-         {sql_fill(K.S2_CONFLICT_A, old='old_value', new='new_value')} AS answer FROM ({changed}) WHERE old_value <> new_value)"""
-    return _single(subtype, K.S2_REFUSE_Q, quote(K.S2_REFUSE_A), tries, f"'{subtype}'")
+  SELECT request_id, ord, 'conflict' AS subtype, CASE WHEN old_value <> new_value THEN {_user(both, K.S2_CONFLICT_Q)} END AS usr,
+         {sql_fill(K.S2_CONFLICT_A, old='old_value', new='new_value')} AS answer
+  FROM conflict_picked LEFT JOIN (SELECT request_id, old_value, new_value, new_text FROM ({changed})) USING (request_id))"""
+    return _single(subtype, K.S2_REFUSE_Q, quote(K.S2_REFUSE_A), f"'{subtype}'")
 
 
 def _stage2_sql() -> str:
@@ -219,12 +220,11 @@ def _stage2_sql() -> str:
     parts, done = [S2], []
     for kind, subtype, need in sorted(_PLAN2, key=lambda p: order.index(p[0])):
         name = subtype or kind
-        tries = max(50, need * (10 if kind == "refuse" else 8))
         seen = " UNION ALL ".join(f"SELECT fp FROM {d}_kept" for d in done)
-        parts.append(_found(kind, subtype, tries))
+        parts.append(_found(kind, subtype))
         parts.append(f"""{name}_kept AS (
   SELECT * FROM (SELECT *, md5(usr || '||' || usr) AS fp, '{kind}' AS type FROM {name}_found)
-  WHERE {f'fp NOT IN ({seen})' if seen else 'true'}
+  WHERE usr IS NOT NULL AND {f'fp NOT IN ({seen})' if seen else 'true'}
   QUALIFY row_number() OVER (PARTITION BY fp ORDER BY ord) = 1 ORDER BY ord LIMIT {need})""")
         done.append(name)
     parts.append("built AS (" + " UNION ALL ".join(
@@ -259,9 +259,9 @@ def _dropped_sql() -> str:
     parts = []
     for kind, subtype, need in _PLAN2:
         name = subtype or kind
-        parts.append(f"""SELECT count(*) AS n FROM {name}_found WHERE request_id NOT IN (SELECT request_id FROM {name}_kept)
+        parts.append(f"""SELECT CASE WHEN usr IS NULL THEN 'empty' ELSE 'duplicate' END AS reason FROM {name}_found WHERE request_id NOT IN (SELECT request_id FROM {name}_kept)
   AND ord <= CASE WHEN (SELECT count(*) FROM {name}_kept) >= {need} THEN (SELECT max(ord) FROM {name}_kept) ELSE '~' END""")
-    return f"WITH {STAGE2} SELECT 'duplicate' AS reason, CAST(sum(n) AS BIGINT) AS rows FROM ({' UNION ALL '.join(parts)}) HAVING sum(n) > 0"
+    return f"WITH {STAGE2} SELECT reason, count(*) AS rows FROM ({' UNION ALL '.join(parts)}) GROUP BY reason"
 
 
 @query("sft_dropped", _dropped_sql(), headline=False)
