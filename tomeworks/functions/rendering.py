@@ -22,11 +22,11 @@ def source_stage1() -> Column:
     return F.coalesce(join_source(F.col("file_title"), title), F.lit(K.UNKNOWN_SOURCE))
 
 
-def source_stage2() -> Column:
+def source_stage2(source: Column | None = None) -> Column:
+    """File, or else ``source`` where the chunks have such a column, and title."""
     title = F.coalesce(nz(F.col("title")), nz(F.col("parent_title")))
-    return F.coalesce(
-        join_source(F.col("file_title"), title), nz(F.col("item_name")), F.lit(K.UNKNOWN_SOURCE)
-    )
+    file = F.col("file_title") if source is None else F.coalesce(nz(F.col("file_title")), source)
+    return F.coalesce(join_source(file, title), nz(F.col("item_name")), F.lit(K.UNKNOWN_SOURCE))
 
 
 def item_key() -> Column:
@@ -34,11 +34,11 @@ def item_key() -> Column:
     return F.coalesce(nz(F.col("item_name")), nz(F.col("file_title")), F.lit(K.UNKNOWN_ITEM))
 
 
-def context_from_chunk() -> Column:
+def context_from_chunk(source: Column | None = None) -> Column:
     """Messages context of a chunk row: cleaned text, source, chunk id, item."""
     return F.struct(
         clean_content(F.col("content")).alias("text"),
-        source_stage2().alias("source"),
+        source_stage2(source).alias("source"),
         F.col("chunk_id").cast("bigint").alias("chunk_id"),
         text_or_empty(F.col("item_name")).alias("item_name"),
     )

@@ -374,7 +374,8 @@ def choose_stage2(pool: DataFrame, plan: Sequence[tuple[str, str, int]], seed: i
 
 
 def stage2_rows(picks: DataFrame, chunks: DataFrame) -> DataFrame:
-    return gather(picks, chunks, ctx=R.context_from_chunk()).withColumn(
+    source = F.col("source") if "source" in chunks.columns else None
+    return gather(picks, chunks, ctx=R.context_from_chunk(source)).withColumn(
         "seeds", F.transform("rows", lambda r: r["ctx"])
     ).drop("rows")
 
@@ -505,6 +506,19 @@ def finish(samples: DataFrame, holdout: float = K.STAGE2_HOLDOUT, seed: int = SE
     return numbered.select("messages", F.col("meta").withField("id", F.col("id")).alias("meta"), "split", "request_id")
 
 
+def set_stats(built: SampleSet, asked: int, mode: str = "template", retriever: str = "none") -> DataFrame:
+    """``name, value``: rows asked for and built, per split, and dropped per reason, from one build; how
+    it was made stands in ``note``."""
+    totals = built.samples.agg(
+        F.lit(asked).cast("bigint").alias("requested_total"), F.count("*").alias("actual_total"),
+        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "holdout").alias("holdout"),
+    )
+    names = ["requested_total", "actual_total", "train", "holdout"]
+    counts = totals.unpivot([], names, "name", "value").unionByName(
+        built.dropped.select(F.concat(F.lit("dropped: "), "reason").alias("name"), F.col("rows").alias("value")))
+    return counts.withColumn("note", F.lit(f"{mode}, {retriever}"))
+
+
 def build_stats(samples: DataFrame) -> DataFrame:
     """Rows per type and subtype, per type, and in all; split counts alongside."""
     flat = samples.select(F.col("meta.type").alias("type"), F.col("meta.subtype").alias("subtype"), "split",
@@ -520,10 +534,11 @@ def build_stats(samples: DataFrame) -> DataFrame:
 
 # --- Generated wording -----------------------------------------------------------------------
 
-def requests(chunks: DataFrame, kind: str, subtype: str = "", tries: int = 50, seed: int = SEED) -> DataFrame:
+def requests(chunks: DataFrame, kind: str, subtype: str = "", tries: int | None = 50, seed: int = SEED) -> DataFrame:
     """``request_id, ord, item, seeds``: material for a question model, seeds as contexts; ``item`` is
-    what the question is about, another than the seed's for ``no_recall``."""
-    picks = settle(choose_stage2(settle(stage2_pool(chunks)), [(kind, subtype, tries)], seed))
+    what the question is about, another than the seed's for ``no_recall``. Without ``tries`` all material."""
+    every = (1 << 62) if tries is None else tries
+    picks = settle(choose_stage2(settle(stage2_pool(chunks)), [(kind, subtype, every)], seed))
     return stage2_rows(picks, chunks).select("request_id", "ord", "item", "seeds")
 
 

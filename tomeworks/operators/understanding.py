@@ -105,6 +105,22 @@ def query_metrics(labelled: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def intent_rules(gap: float = 0.08, low: float = 0.45, shares: Sequence[float] = (0.3, 0.05, 0.2, 0.05, 0.05)) -> list[tuple[str, Column, float]]:
+    """The five planned buckets with the share of traces above which each is reported.
+
+    They read ``intent_type, item_score, score_gap, clarified, has_image_context, has_spec_context``.
+    """
+    intent = F.col("intent_type")
+    rules = (
+        ("intent_unknown_high_freq", intent == "general"),
+        ("clarification_missing", (F.col("score_gap") < gap) & ~F.col("clarified")),
+        ("item_alignment_low_confidence", F.col("item_score") < low),
+        ("image_intent_no_image_context", (intent == "image_request") & ~F.col("has_image_context")),
+        ("parameter_intent_no_spec_context", (intent == "parameter") & ~F.col("has_spec_context")),
+    )
+    return [(name, rule, share) for (name, rule), share in zip(rules, shares, strict=True)]
+
+
 def intent_buckets(traces: DataFrame, window: Column, rates: Sequence[tuple[str, Column, float]]) -> DataFrame:
     """``bucket, window, traces, flagged, rate`` for each rule whose share exceeds its threshold."""
     rules = F.array(*[

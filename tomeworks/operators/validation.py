@@ -183,6 +183,17 @@ def quality_gates(export_stats: DataFrame, samples: DataFrame, issues: DataFrame
     return out
 
 
+def format_gates(samples: DataFrame) -> DataFrame:
+    """``gate, value, ok``: rows of a messages set whose roles, type or capabilities are not as they must be."""
+    wrong = {
+        "roles": ~R.roles_valid(F.col("messages")),
+        "type": text_or_empty(F.col("meta.type")) == "",
+        "capabilities": F.coalesce(F.array_size("meta.battle_capabilities"), F.lit(0)) == 0,
+    }
+    counts = samples.agg(*[F.count_if(rule).alias(name) for name, rule in wrong.items()])
+    return counts.unpivot([], list(wrong), "gate", "value").withColumn("ok", F.col("value") == 0)
+
+
 def pretrain_check(samples: DataFrame) -> DataFrame:
     """``id, problem`` of rows a trainer would choke on: turns, role order, empty answer."""
     size = F.coalesce(F.array_size("messages"), F.lit(0))

@@ -269,6 +269,18 @@ def sft_dropped(spark, sf_dir):
     return B.expand(b.chunks(spark, sf_dir), TOTAL2).dropped
 
 
+def _set_stats_sql() -> str:
+    return _dropped_sql().replace("SELECT reason, count(*) AS rows FROM", """, dropped AS (SELECT reason, count(*) AS n FROM""", 1) + f""")
+SELECT name, CAST(value AS BIGINT) AS value, 'template, none' AS note FROM (
+  SELECT 'requested_total' AS name, {TOTAL2} AS value UNION ALL SELECT 'actual_total', count(*) FROM stage2
+  UNION ALL SELECT split, count(*) FROM stage2 GROUP BY split UNION ALL SELECT 'dropped: ' || reason, n FROM dropped)"""
+
+
+@query("sft_set_stats", _set_stats_sql(), headline=False)
+def sft_set_stats(spark, sf_dir):
+    return B.set_stats(B.expand(b.chunks(spark, sf_dir), TOTAL2), TOTAL2)
+
+
 @query("item_ring", f"WITH {S2}, {ring('items', 'pool')} SELECT * FROM ring", headline=False)
 def item_ring(spark, sf_dir):
     return B.item_ring(B.stage2_pool(b.chunks(spark, sf_dir)))
@@ -280,3 +292,13 @@ SELECT type, string_agg('<示例>' || chr(10) || usr || chr(10) || '答：' || a
 FROM first WHERE n <= 2 AND turn <> 4 GROUP BY type""")
 def fewshot_examples(spark, sf_dir):
     return B.fewshot(b.messages(spark, sf_dir), 2)
+
+
+@query("generation_prompts", f"""WITH {S2}
+SELECT 'cite:' || chunk_id AS request_id, 'Material:' || chr(10) || '[1] ' || text || chr(10) || 'Ask about ' || item AS prompt
+FROM pool WHERE length(text) > 20""", headline=False)
+def generation_prompts(spark, sf_dir):
+    """Prompts for a question model, from all material."""
+    asked = B.requests(b.chunks(spark, sf_dir), "cite", tries=None)
+    return asked.select("request_id", R.render_prompt(
+        "Material:\n{context}\nAsk about {item}", context=R.numbered_texts(F.col("seeds")), item=F.col("item")).alias("prompt"))

@@ -203,3 +203,31 @@ def chunk_load(spark, sf_dir):
 def item_name_table(spark, sf_dir):
     return S.distinct_item_names(b.table(spark, sf_dir, "documents").select(
         F.col("source").alias("file_title"), F.col("lang").alias("item_name")))
+
+
+@query("source_fallback", """SELECT doc_id AS chunk_id,
+  coalesce(nullif(trim(CASE WHEN lang = 'fr' THEN 'from ' || source ELSE source END || ' / ' || lang, ' /'), ''), '未知来源') AS source FROM documents""", headline=False)
+def source_fallback(spark, sf_dir):
+    """Chunks without a file title are named by their source."""
+    d = b.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.when(F.col("lang") == "fr", "").otherwise(F.col("source")).alias("file_title"),
+        F.concat(F.lit("from "), "source").alias("source"), F.col("lang").alias("title"), F.lit("").alias("parent_title"), F.lit("").alias("item_name"))
+    return d.select("chunk_id", R.source_stage2(F.col("source")).alias("source"))
+
+
+@query("generated_questions", f"SELECT conv_id, turn, {b.sql_strip('text')} AS question FROM conversations", headline=False)
+def generated_questions(spark, sf_dir):
+    """Questions with the labels that models put before them."""
+    c = b.table(spark, sf_dir, "conversations")
+    label = F.when(F.col("turn") % 3 == 0, "问题：").when(F.col("turn") % 3 == 1, " 问题: ").otherwise("")
+    return c.select("conv_id", "turn", X.clean_question(F.concat(label, "text")).alias("question"))
+
+
+@query("online_refusals", f"""SELECT conv_id, turn, {b.sql_any("text || ' ' || cue", K.TRACE_REFUSAL_CUES)} AS is_refusal FROM (
+  SELECT *, [{', '.join(quote(c) for c in [*K.TRACE_REFUSAL_CUES, ''])}][1 + (conv_id + turn) % {len(K.TRACE_REFUSAL_CUES) + 1}] AS cue FROM conversations)""", headline=False)
+def online_refusals(spark, sf_dir):
+    """The built-in list of refusals in answers, each word of it and none."""
+    c = b.table(spark, sf_dir, "conversations")
+    cues = F.array(*[F.lit(x) for x in [*K.TRACE_REFUSAL_CUES, ""]])
+    cue = F.get(cues, ((F.col("conv_id") + F.col("turn")) % (len(K.TRACE_REFUSAL_CUES) + 1)).cast("int"))
+    return c.select("conv_id", "turn", X.is_refusal(F.concat_ws(" ", "text", cue), K.TRACE_REFUSAL_CUES).alias("is_refusal"))

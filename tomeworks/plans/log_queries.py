@@ -103,3 +103,26 @@ def intent_buckets(spark, sf_dir):
     rules = [("no_citation", F.size("used_citations") == 0, 0.2), ("long_prompt", F.col("prompt_chars") >= 8000, 0.2)]
     found = U.intent_buckets(b.traces(spark, sf_dir), F.substring("ts", 1, 10), rules)
     return found.withColumn("rate", F.round("rate", 9))
+
+
+_SIGNS = """signs AS (
+  SELECT substr(ts, 1, 10) AS day, CASE k % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'image_request' WHEN 2 THEN 'parameter' ELSE 'operation' END AS intent,
+         (k % 10) / 10.0 AS score, (k % 7) / 50.0 AS gap, k % 3 = 0 AS asked, k % 5 = 0 AS image, k % 6 = 0 AS spec
+  FROM (SELECT ts, answer_chars AS k FROM traces))"""
+
+
+@query("intent_plan_buckets", f"""WITH {b.TRACES}, {_SIGNS}, r AS (
+  SELECT day, unnest(['intent_unknown_high_freq', 'clarification_missing', 'item_alignment_low_confidence',
+                      'image_intent_no_image_context', 'parameter_intent_no_spec_context']) AS bucket,
+         unnest([intent = 'general', gap < 0.08 AND NOT asked, score < 0.45, intent = 'image_request' AND NOT image, intent = 'parameter' AND NOT spec]) AS hit,
+         unnest([0.3, 0.05, 0.2, 0.05, 0.05]) AS share FROM signs)
+SELECT day AS "window", bucket, count(*) AS traces, count(*) FILTER (WHERE hit) AS flagged, round(count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE), 9) AS rate
+FROM r GROUP BY day, bucket, share HAVING count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE) > CAST(share AS DOUBLE)""", headline=False)
+def intent_plan_buckets(spark, sf_dir):
+    k = F.col("answer_chars")
+    signs = b.traces(spark, sf_dir).select(
+        "ts", F.when(k % 4 == 0, "general").when(k % 4 == 1, "image_request").when(k % 4 == 2, "parameter").otherwise("operation").alias("intent_type"),
+        ((k % 10) / 10.0).alias("item_score"), ((k % 7) / 50.0).alias("score_gap"), (k % 3 == 0).alias("clarified"),
+        (k % 5 == 0).alias("has_image_context"), (k % 6 == 0).alias("has_spec_context"))
+    found = U.intent_buckets(signs, F.substring("ts", 1, 10), U.intent_rules())
+    return found.withColumn("rate", F.round("rate", 9))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tomeworks import constants as K
 from tomeworks.functions import rendering as R
+from tomeworks.functions import text as X
 from tomeworks.operators import builders as B
 from tomeworks.operators import evaluation as E
 from tomeworks.operators import validation as V
@@ -159,6 +160,14 @@ def quality_gates(spark, sf_dir):
     return V.quality_gates(stats, b.samples(spark, sf_dir), issues1(spark, sf_dir))
 
 
+@query("format_gates", f"""WITH {b.MESSAGES},
+v AS (SELECT count(*) FILTER (WHERE turn = 4) AS roles, count(*) FILTER (WHERE type = '') AS type, count(*) FILTER (WHERE turn = 2) AS capabilities FROM messages)
+SELECT 'roles' AS gate, roles AS value, roles = 0 AS ok FROM v UNION ALL SELECT 'type', type, type = 0 FROM v
+UNION ALL SELECT 'capabilities', capabilities, capabilities = 0 FROM v""", headline=False)
+def format_gates(spark, sf_dir):
+    return V.format_gates(b.messages(spark, sf_dir))
+
+
 @query("pretrain_check", f"""WITH {b.MESSAGES}
 SELECT id, 'messages must have 3 turns' AS problem FROM messages WHERE turn = 4""", headline=False)
 def pretrain_check(spark, sf_dir):
@@ -281,3 +290,27 @@ SELECT id, CASE WHEN turn = 4 THEN 'messages roles invalid'
 def gate_samples(spark, sf_dir):
     kept, dropped = B.gate_samples(b.messages(spark, sf_dir), b.DATA_CUES)
     return dropped.select("meta.id", "reason").unionByName(kept.select("meta.id", F.lit(None).cast("string").alias("reason")))
+
+
+_JUDGE = "{user}\n\nAnswer:\n{answer}\n\nIs it supported and complete? Reply in JSON."
+
+
+@query("judge_prompts", f"""WITH {b.MESSAGES}
+SELECT id, usr || chr(10) || chr(10) || 'Answer:' || chr(10) || answer || chr(10) || chr(10) || 'Is it supported and complete? Reply in JSON.' AS prompt
+FROM messages WHERE turn <> 4 AND type <> 'refuse' AND NOT {b.sql_any('answer', b.DATA_CUES)}""", headline=False)
+def judge_prompts(spark, sf_dir):
+    """Gold answers as predictions; only answers that neither refuse nor should are judged."""
+    m = b.messages(spark, sf_dir).where(F.array_size("messages") == 3)
+    answer = R.turn(F.col("messages"), 2)
+    rows = m.select(
+        F.col("meta.id").alias("id"), F.lit("gold").alias("model"), R.turn(F.col("messages"), 1).alias("user"), answer.alias("prediction"),
+        (F.col("meta.type") == "refuse").alias("should_refuse"), X.is_refusal(answer, b.DATA_CUES).alias("did_refuse"))
+    return E.judge_requests(rows, _JUDGE).drop("model")
+
+
+@query("prompt_parts", f"""WITH {b.MESSAGES}
+SELECT id, CASE WHEN turn = 4 THEN 'user' ELSE 'system,user' END AS roles, length(usr) + CASE WHEN turn = 4 THEN 0 ELSE 1 END AS chars FROM messages""", headline=False)
+def prompt_parts(spark, sf_dir):
+    part = R.prompt_messages(F.col("messages"))
+    return b.messages(spark, sf_dir).select(
+        F.col("meta.id").alias("id"), F.array_join(R.roles(part), ",").alias("roles"), R.messages_length(part).alias("chars"))

@@ -7,35 +7,32 @@ from pyspark.sql import functions as F
 from tomeworks import constants as K
 from tomeworks.functions import rendering as R
 from tomeworks.functions.intent import resolve_intent
-from tomeworks.functions.text import question_of
+from tomeworks.functions.text import first_sentences, question_of
 from tomeworks.operators import builders as B
 from tomeworks.operators import retrieval
 from tomeworks.operators import understanding as U
 from tomeworks.operators.settle import settle
 from tomeworks.plans import base as b
-from tomeworks.plans.base import query, sql_rnd
+from tomeworks.plans.base import query
 from tomeworks.plans.builder_queries import S2
 
-TRIES = 200
-
-
 def worded(spark, sf_dir):
-    """Requests for the `faithful` type with stand-in wording: the question is the opening of the
-    material, every third answer refuses or is missing."""
-    asked = settle(B.requests(b.chunks(spark, sf_dir), "faithful", tries=TRIES))
+    """Requests for the `faithful` type, from every chunk whose id is divisible by 20, with stand-in
+    wording: the question is the first sentence of the material, every third answer refuses or is missing."""
+    asked = settle(B.requests(b.chunks(spark, sf_dir).where("chunk_id % 20 = 0"), "faithful", tries=None))
     text = F.col("seeds")[0]["text"]
     n = F.length(text) % 3
     generations = asked.select(
-        "request_id", F.substring(text, 1, 60).alias("question"),
+        "request_id", first_sentences(text, 1).alias("question"),
         F.when(n == 0, "").when(n == 1, "It says so [1]").otherwise("无法回答").alias("answer"))
     return asked, generations
 
 
 @query("sft_generated", f"""WITH {S2},
 asked AS (
-  SELECT 'faithful:' || chunk_id AS request_id, chunk_id AS query_id, text AS seed, substr(text, 1, 60) AS question,
+  SELECT 'faithful:' || chunk_id AS request_id, chunk_id AS query_id, text AS seed, {b.sql_first_sentences('text', 1)} AS question,
          CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'It says so [1]' ELSE '无法回答' END AS answer
-  FROM pool WHERE length(text) > 20 ORDER BY {sql_rnd(42, 'faithful', 'chunk_id')} LIMIT {TRIES}),
+  FROM pool WHERE length(text) > 20 AND chunk_id % 20 = 0),
 q AS (SELECT query_id, list_distinct(string_split(question, '')) AS chars FROM asked),
 c AS (SELECT doc_id AS chunk_id, list_distinct(string_split(text, '')) AS chars FROM documents),
 hits AS (
