@@ -181,6 +181,7 @@ def _searcher(sent, span: int, k: int):
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             yield _search(sent.value, array, span, k)
+        W.release()
 
     search.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(search, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")

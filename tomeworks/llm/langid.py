@@ -185,6 +185,7 @@ def identify(model: Model, df: DataFrame, text: str = "text") -> DataFrame:
                 share.append(1.0 / np.exp2(4 * (mean.min(axis=1)[:, None] - mean)).sum(axis=1))
             yield pa.StructArray.from_arrays([pa.array(m.languages).take(pa.array(np.concatenate(best))), pa.array(np.concatenate(share))],
                                              names=["lang_pred", "score"])
+        W.release()
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]

@@ -41,6 +41,8 @@ SHINGLE = 5
 RUN_TEXTS = 400
 #: Texts, or pairs of their shingle sets, in one Arrow batch.
 TEXT_BATCH = 1000
+#: Texts that stand for a component in a bucket of differing cells, each round.
+CHOICES = 6
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +146,7 @@ def _features(bands: int, per_band: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used * bands)]), type=pa.int32()), pa.array(key[used].ravel().view(np.int64)))
                 parts.append(pa.StructArray.from_arrays([pa.array(h1), pa.array(h2), lists], fields=list(_FEATURES)))
             yield pa.concat_arrays(parts)
+        W.release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "h1 bigint, h2 bigint, bands array<bigint>")
@@ -164,6 +167,7 @@ def _cell_sets():
                 raw = cell.tobytes()
                 out += [{"h1": a, "h2": b, "cells": raw[c:d]} for a, b, c, d in zip(h1.tolist(), h2.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
             yield pa.array(out, type=kind)
+        W.release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "h1 bigint, h2 bigint, cells binary")
@@ -233,33 +237,40 @@ def _link_rest(known: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     If o is less similar to its pivot p than ``similarity`` and x is another text, o and x can only be
     similar enough if some cell makes both of them differ from p: without one, what o and x share is part
     of what o and p share, and their union holds p and what o adds to it. So the texts compared with p
-    meet again in buckets of (p, differing cell). Each bucket with several components compares the others
-    with one of its texts, another one every round, until a round finds no link.
+    meet again in buckets of (p, differing cell), where one text of each component is compared with one
+    text of another, other ones every round, until a round finds no link. Similar texts left apart mostly
+    share several cells, often ones that no other text has.
     """
     labels = _components_of(known, similarity)
-    apart = _labelled(_labelled(known, labels, "node", "_c"), labels, "pivot", "_p").where("_c <> _p").select("node", "pivot")
-    apart = settle(apart)
-    if not apart.limit(1).count():
+    told = _labelled(_labelled(known, labels, "node", "_c"), labels, "pivot", "_p").select("node", "pivot", (F.col("_c") != F.col("_p")).alias("_apart"))
+    told = settle(told)
+    if not told.where("_apart").limit(1).count():
         return known, labels
-    around = known.select("node", "pivot").join(apart.select("pivot").distinct().hint("merge"), "pivot", "left_semi")
+    around = told.join(told.where("_apart").select("pivot").distinct().hint("merge"), "pivot", "left_semi")
     right = sets.select(F.col("node").alias("pivot"), F.col("cells").alias("_with"))
-    cells_ = settle(around.join(sets.hint("merge"), "node").join(right.hint("merge"), "pivot").select("node", "pivot", _differences()("cells", "_with").alias("_cells")), TEXT_BATCH)
-    met = cells_.select("node", "pivot", F.explode("_cells").alias("_cell")).withColumn("bucket", F.xxhash64("pivot", "_cell"))
-    of_apart = met.join(apart.hint("merge"), ["node", "pivot"], "left_semi").select("bucket").distinct()
-    buckets = settle(met.select("bucket", "node").distinct().join(of_apart.hint("merge"), "bucket", "left_semi"))
+    differing = settle(around.join(sets.hint("merge"), "node").join(right.hint("merge"), "pivot").select(
+        "node", "pivot", "_apart", _differences()("cells", "_with").alias("_cells")), TEXT_BATCH)
+    rows = differing.where("_apart").agg(F.sum(F.size("_cells"))).first()[0]
+    met = differing.select("node", "_apart", "pivot", F.explode("_cells").alias("_cell")).select("node", "_apart", F.xxhash64("pivot", "_cell").alias("bucket"))
+    apart = met.where("_apart").select("bucket", "node")
+    # of the others only cells that some text left apart has are shuffled, and a few more
+    others = met.where("NOT _apart").where(member_filter(apart.select("bucket"), rows, F.col("bucket"))).select("bucket", "node")
+    buckets = settle(apart.unionByName(others).distinct())
     turn = 0
     while True:
         turn += 1
-        mine = settle(_labelled(buckets, labels, "node", "_c"))
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("_c").alias("_p")))
-        pivots = mine.groupBy("bucket").agg(first.alias("_f"), F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
-        pivots = pivots.select("bucket", F.col("_f.node").alias("pivot"), F.col("_f._p").alias("_p"), "_n")
-        asked = join_counted(mine, pivots, "bucket", "_n", F.col("node")).where("_c <> _p").select("node", "pivot").distinct()
-        new = settle(asked.join(known.hint("merge"), ["node", "pivot"], "left_anti"))
-        compared = settle(_compare(new, sets), TEXT_BATCH)
-        found = compared.where(F.col("similarity") >= similarity).limit(1).count()
+        # in each bucket a text of every component, as chosen by several hashes, meets one of them
+        first = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(turn * CHOICES + i)), F.col("node")))["node"] for i in range(CHOICES)])
+        chosen = _labelled(buckets, labels, "node", "_c").groupBy("bucket", "_c").agg(first.alias("_nodes"))
+        mine = settle(chosen.select("bucket", "_c", F.posexplode("_nodes").alias("_i", "node")))
+        least = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("_c").alias("_p")))
+        pivots = mine.groupBy(F.struct("bucket", "_i").alias("_at")).agg(least.alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+        pivots = pivots.select("_at", F.col("_f.node").alias("pivot"), F.col("_f._p").alias("_p"), "_n")
+        placed = mine.select(F.struct("bucket", "_i").alias("_at"), "node", "_c")
+        asked = join_counted(placed, pivots, "_at", "_n", F.col("node")).where("_c <> _p").select("node", "pivot").distinct()
+        compared = settle(_compare(asked.join(known.hint("merge"), ["node", "pivot"], "left_anti"), sets), TEXT_BATCH)
         known = settle(known.unionByName(compared))
-        if not found:
+        if not compared.where(F.col("similarity") >= similarity).limit(1).count():
             return known, labels
         labels = _components_of(known, similarity)
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomeworks.llm import words as W
 from tomeworks.llm.tokens import Encoder, grouped
 from tomeworks.operators.settle import settle
 
@@ -69,6 +70,9 @@ def pieces(df: DataFrame, path: str, text: str = "text", *, end_id: int = 2, cap
                 [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())],
                 fields=list(_PIECE))
             yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))]), type=pa.int32()), made)
+            del made, piece, start, length, crc, raw
+        del encoder
+        W.release()
 
     cut.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(cut, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>")

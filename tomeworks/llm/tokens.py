@@ -29,7 +29,7 @@ from tomeworks.llm import words as W
 
 RUN_BYTES = 4 << 20
 #: Pieces whose ids a task keeps in each of two generations, and pieces in one call of the library.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 CALL_PIECES = 1024
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -186,6 +186,8 @@ def n_tokens(text: Column | str, path: str) -> Column:
         for texts_ in batches:
             counts = [encoder.encode(texts, with_ids=False)[0] for texts in grouped(texts_)]
             yield pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *counts]))
+        del encoder
+        W.release()
 
     count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(count, "bigint")(text)

@@ -6,6 +6,7 @@ its own), so temporary arrays stay bounded whatever the size of a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,15 @@ def _byte_values() -> np.ndarray:
 BYTE_VALUES = _byte_values()
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers are kept for later tasks, which
+    may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_class(inside: Iterator[int] | range | bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(inside)] = True
