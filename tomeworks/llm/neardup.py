@@ -42,7 +42,7 @@ RUN_TEXTS = 400
 #: Texts, or pairs of their shingle sets, in one Arrow batch.
 TEXT_BATCH = 1000
 #: Texts that stand for a component in a bucket of differing cells, each round.
-CHOICES = 6
+CHOICES = 3
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +261,12 @@ def _link_rest(known: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
         turn += 1
         # in each bucket a text of every component, as chosen by several hashes, meets one of them
         first = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(turn * CHOICES + i)), F.col("node")))["node"] for i in range(CHOICES)])
-        chosen = _labelled(buckets, labels, "node", "_c").groupBy("bucket", "_c").agg(first.alias("_nodes"))
+        told = _labelled(buckets, labels, "node", "_c")
+        several = told.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
+        # a bucket of one component stays so
+        buckets = settle(join_counted(told, several, "bucket", "_n", F.col("node")).select("bucket", "node", "_c"))
+        chosen = buckets.groupBy("bucket", "_c").agg(first.alias("_nodes"))
+        buckets = buckets.drop("_c")
         mine = settle(chosen.select("bucket", "_c", F.posexplode("_nodes").alias("_i", "node")))
         least = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("_c").alias("_p")))
         pivots = mine.groupBy(F.struct("bucket", "_i").alias("_at")).agg(least.alias("_f"), F.count("*").alias("_n")).where("_n > 1")
