@@ -18,7 +18,7 @@ from tomeworks import constants as K
 from tomeworks.functions import rendering as R
 from tomeworks.functions.ordering import rnd
 from tomeworks.functions.text import (
-    available_citations, citations_c, citations_n, clean_content, fill, fingerprint, first_sentences,
+    available_citations, citations_c, citations_n, clean_content, clean_question, fill, fingerprint, first_sentences,
     format_subtype, has_number, is_refusal, is_subset, let, message_fingerprint, nz, perturb_number, strip,
     text_or_empty, unit_fraction,
 )
@@ -549,7 +549,7 @@ def accept_grounded(asked: DataFrame, generations: DataFrame, retrieved: DataFra
     ``retrieved(request_id, contexts)`` is what the search returned for the question. The second
     table feeds :func:`accept_refusals` as weak-recall requests with that question.
     """
-    texts = generations.select("request_id", "question", "answer")
+    texts = generations.select("request_id", clean_question(F.col("question")).alias("question"), "answer")
     worded = asked.join(texts, "request_id").where(text_or_empty(F.col("question")) != "")
     found = worded.join(retrieved, "request_id", "left").withColumn(
         "hit", recalled(F.transform("contexts", lambda c: c["text"]), F.transform("seeds", lambda c: c["text"]))
@@ -563,18 +563,53 @@ def accept_grounded(asked: DataFrame, generations: DataFrame, retrieved: DataFra
     return samples.select("request_id", "ord", "messages", "meta"), missed
 
 
-def accept_refusals(asked: DataFrame, generations: DataFrame, subtype: str,
-                    system: str = K.SYSTEM_PROMPT) -> DataFrame:
-    """Generated refusals; an answer that does not refuse is replaced by the standard one."""
+def accept_refusals(asked: DataFrame, generations: DataFrame, subtype: str, system: str = K.SYSTEM_PROMPT, seed: int = SEED) -> DataFrame:
+    """Generated refusals; an answer that does not refuse is replaced by the standard one.
+
+    A conflict keeps its question and shows the material next to a version with another number; without
+    one its ``messages`` are NULL. It stays synthetic, whoever worded the answer.
+    """
     texts = generations.select("request_id", F.col("question").alias("_q"), F.col("answer").alias("_a"))
     hint = F.col("question") if "question" in asked.columns else F.lit(None).cast("string")
-    told = asked.join(texts, "request_id", "left").withColumns({
-        "question": F.coalesce(nz(hint), nz(F.col("_q")), F.lit(K.S2_REFUSE_FALLBACK_Q)),
-        "answer": F.when(is_refusal(F.col("_a")), F.col("_a")).otherwise(K.S2_REFUSE_FALLBACK_A),
-    })
-    return make_messages_sample(
-        told, F.lit("refuse"), F.lit(subtype), F.col("seeds"), F.col("question"), F.col("answer"), F.lit(False), system
-    ).select("request_id", "ord", "messages", "meta")
+    told = asked.join(texts, "request_id", "left")
+    refused = F.when(is_refusal(F.col("_a")), F.col("_a"))
+    if subtype == "conflict":
+        text = F.get("seeds", F.lit(0))["text"]
+        told = told.withColumn("_p", perturb_number(text, rnd(seed, "conflict-number", F.col("request_id")))).withColumns({
+            "question": F.lit(K.S2_CONFLICT_Q),
+            "answer": F.coalesce(refused, fill(K.S2_CONFLICT_A, old=F.col("_p.old"), new=F.col("_p.new"))),
+            "_shown": F.concat("seeds", F.transform("seeds", lambda c: F.struct(
+                F.col("_p.text").alias("text"), F.concat(c["source"], F.lit(K.CONFLICT_SOURCE_SUFFIX)).alias("source"),
+                c["chunk_id"].alias("chunk_id"), c["item_name"].alias("item_name")))),
+        })
+        usable = F.coalesce(F.col("_p.old") != F.col("_p.new"), F.lit(False))
+    else:
+        told = told.withColumns({
+            "question": F.coalesce(nz(hint), nz(clean_question(F.col("_q"))), F.lit(K.S2_REFUSE_FALLBACK_Q)),
+            "answer": F.coalesce(refused, F.lit(K.S2_REFUSE_FALLBACK_A)),
+            "_shown": F.col("seeds"),
+        })
+        usable = F.lit(True)
+    built = make_messages_sample(told.withColumn("_usable", usable), F.lit("refuse"), F.lit(subtype), F.col("_shown"),
+                                 F.col("question"), F.col("answer"), F.lit(subtype == "conflict"), system)
+    return built.select("request_id", "ord", F.when(F.col("_usable"), F.col("messages")).alias("messages"), "meta")
+
+
+def finish_generated(candidates: DataFrame, needs: Mapping[str, int], holdout: float = K.STAGE2_HOLDOUT, seed: int = SEED) -> SampleSet:
+    """Generated candidates of any types through gate, de-duplication, needs, split and numbering, as
+    template samples are. ``needs`` is by type, for refusals by subtype."""
+    refuse = F.col("meta.type") == "refuse"
+    keyed = settle(candidates.withColumn("kind", F.when(refuse, F.col("meta.subtype")).otherwise(F.col("meta.type"))))
+    parts: list[DataFrame] = []
+    drops: list[DataFrame] = []
+    for names in ([n for n in needs if n != "weak_recall"], [n for n in needs if n == "weak_recall"]):
+        if names:
+            seen = reduce(DataFrame.unionByName, [p.select("fp") for p in parts]) if parts else None
+            accepted, dropped = _accept(keyed.where(F.col("kind").isin(names)), {n: needs[n] for n in names}, seen)
+            parts.append(accepted)
+            drops.append(dropped)
+    dropped = reduce(DataFrame.unionByName, drops).groupBy("reason").agg(F.count("*").alias("rows"))
+    return SampleSet(finish(reduce(DataFrame.unionByName, parts), holdout, seed), dropped)
 
 
 def fewshot(seeds: DataFrame, n: int = 2, order: str = "pos") -> DataFrame:

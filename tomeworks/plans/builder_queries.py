@@ -163,7 +163,7 @@ pool AS (
   FROM chunks)"""
 
 
-def _user(contexts: str, question: str) -> str:
+def user_message(contexts: str, question: str) -> str:
     return (f"{quote(K.CONTEXT_SECTION + chr(10))} || {contexts} || "
             f"{quote(chr(10) * 2 + K.QUESTION_SECTION + chr(10) + question)}")
 
@@ -172,14 +172,14 @@ def _block(n: str, source: str, text: str) -> str:
     return f"'[' || {n} || '] {K.SOURCE_LABEL}' || {source} || chr(10) || {text}"
 
 
-_FORMAT = f"""CASE WHEN {b.sql_any('text', K.TROUBLESHOOTING_WORDS)} THEN 'troubleshooting'
+FORMAT_SUBTYPE = f"""CASE WHEN {b.sql_any('text', K.TROUBLESHOOTING_WORDS)} THEN 'troubleshooting'
   WHEN {b.sql_any('text', K.STEP_WORDS)} OR regexp_matches(text, '(^|\\n)\\s*[0-9]+[.、)]') THEN 'steps' ELSE 'definition' END"""
 
 
 def _single(kind: str, question: str, answer: str, subtype: str = "CAST(NULL AS VARCHAR)", where: str = "") -> str:
     return f"""{kind}_found AS (
   SELECT '{kind}:' || chunk_id AS request_id, {sql_rnd(42, kind, 'chunk_id')} AS ord, {subtype} AS subtype,
-         {_user(_block("'1'", 'source', 'text'), question)} AS usr, {answer} AS answer
+         {user_message(_block("'1'", 'source', 'text'), question)} AS usr, {answer} AS answer
   FROM pool WHERE length(text) > 20 {where})"""
 
 
@@ -190,7 +190,7 @@ def _found(kind: str, subtype: str) -> str:
     if kind == "cite":
         return _single(kind, K.S2_CITE_Q, sql_fill(K.S2_CITE_A, text=one))
     if kind == "format":
-        return _single(kind, K.S2_FORMAT_Q, sql_fill(K.S2_FORMAT_A, text=one), _FORMAT)
+        return _single(kind, K.S2_FORMAT_Q, sql_fill(K.S2_FORMAT_A, text=one), FORMAT_SUBTYPE)
     if kind == "multi_hop":
         return f"""{_groups('multi_hop', 'pool', 'true')},
 multi_hop_chosen AS (SELECT * FROM multi_hop_groups),
@@ -199,7 +199,7 @@ multi_hop_rows AS (
   JOIN multi_hop_keyed k ON k.key = g.key JOIN pool p ON p.chunk_id = k.chunk_id WHERE (k.n - 1) % 3 < g.size),
 multi_hop_found AS (
   SELECT 'multi_hop:' || key AS request_id, ord, CAST(NULL AS VARCHAR) AS subtype,
-         {_user("string_agg(" + _block('n', 'source', 'text') + ", chr(10) || chr(10) ORDER BY n)", K.S2_MULTI_Q)} AS usr,
+         {user_message("string_agg(" + _block('n', 'source', 'text') + ", chr(10) || chr(10) ORDER BY n)", K.S2_MULTI_Q)} AS usr,
          coalesce(string_agg(CASE WHEN text <> '' THEN {one} || ' [' || n || ']。' END, ' ' ORDER BY n), '') AS answer
   FROM multi_hop_rows GROUP BY key, ord)"""
     if subtype == "conflict":
@@ -209,7 +209,7 @@ multi_hop_found AS (
   SELECT 'conflict:' || chunk_id AS request_id, {sql_rnd(42, 'conflict', 'chunk_id')} AS ord, source, text
   FROM pool WHERE length(text) > 20 AND regexp_matches(text, '[0-9]')),
 conflict_found AS (
-  SELECT request_id, ord, 'conflict' AS subtype, CASE WHEN old_value <> new_value THEN {_user(both, K.S2_CONFLICT_Q)} END AS usr,
+  SELECT request_id, ord, 'conflict' AS subtype, CASE WHEN old_value <> new_value THEN {user_message(both, K.S2_CONFLICT_Q)} END AS usr,
          {sql_fill(K.S2_CONFLICT_A, old='old_value', new='new_value')} AS answer
   FROM conflict_picked LEFT JOIN (SELECT request_id, old_value, new_value, new_text FROM ({changed})) USING (request_id))"""
     return _single(subtype, K.S2_REFUSE_Q, quote(K.S2_REFUSE_A), f"'{subtype}'")

@@ -7,62 +7,127 @@ from pyspark.sql import functions as F
 from tomeworks import constants as K
 from tomeworks.functions import rendering as R
 from tomeworks.functions.intent import resolve_intent
-from tomeworks.functions.text import first_sentences, question_of
+from tomeworks.functions.text import clean_question, first_sentences, question_of
 from tomeworks.operators import builders as B
 from tomeworks.operators import retrieval
 from tomeworks.operators import understanding as U
 from tomeworks.operators.settle import settle
 from tomeworks.plans import base as b
-from tomeworks.plans.base import query
-from tomeworks.plans.builder_queries import S2
+from tomeworks.plans.base import query, sql_rnd
+from tomeworks.plans.builder_queries import FORMAT_SUBTYPE, S2, _block, sql_fill, user_message
+from tomeworks.plans.chunk_queries import perturbed
 
-def worded(spark, sf_dir):
-    """Requests for the `faithful` type, from every chunk whose id is divisible by 20, with stand-in
-    wording: the question is the first sentence of the material, every third answer refuses or is missing."""
-    asked = settle(B.requests(b.chunks(spark, sf_dir).where("chunk_id % 20 = 0"), "faithful", tries=None))
+def worded(spark, sf_dir, kind="faithful", subtype=""):
+    """Requests from every chunk whose id is divisible by 20, with stand-in wording: the question is the
+    first sentence of the material, every third answer refuses or is missing."""
+    asked = settle(B.requests(b.chunks(spark, sf_dir).where("chunk_id % 20 = 0"), kind, subtype, tries=None))
     text = F.col("seeds")[0]["text"]
     n = F.length(text) % 3
     generations = asked.select(
-        "request_id", first_sentences(text, 1).alias("question"),
+        "request_id", F.concat(F.lit("问题："), first_sentences(text, 1)).alias("question"),
         F.when(n == 0, "").when(n == 1, "It says so [1]").otherwise("无法回答").alias("answer"))
     return asked, generations
 
 
-@query("sft_generated", f"""WITH {S2},
-asked AS (
-  SELECT 'faithful:' || chunk_id AS request_id, chunk_id AS query_id, text AS seed, {b.sql_first_sentences('text', 1)} AS question,
+_ASKED = f"""asked AS (
+  SELECT chunk_id, text AS seed, source, {b.sql_strip(b.sql_first_sentences('text', 1))} AS question,
          CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'It says so [1]' ELSE '无法回答' END AS answer
   FROM pool WHERE length(text) > 20 AND chunk_id % 20 = 0),
-q AS (SELECT query_id, list_distinct(string_split(question, '')) AS chars FROM asked),
+q AS (SELECT chunk_id AS query_id, list_distinct(string_split(question, '')) AS chars FROM asked),
 c AS (SELECT doc_id AS chunk_id, list_distinct(string_split(text, '')) AS chars FROM documents),
 hits AS (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q.chars, c.chars)) DESC, chunk_id) AS rank
   FROM q, c QUALIFY rank <= 4),
 found AS (
-  SELECT a.request_id, max(CASE WHEN p.text = a.seed THEN 1 ELSE 0 END) = 1 AS hit, any_value(a.answer) AS answer,
-         {b.sql_strip('any_value(a.question)')} AS question
-  FROM asked a JOIN hits h ON h.query_id = a.query_id JOIN pool p ON p.chunk_id = h.chunk_id GROUP BY a.request_id)
-SELECT request_id, CASE WHEN hit THEN 'faithful' ELSE 'refuse' END AS type, CASE WHEN NOT hit THEN 'weak_recall' END AS subtype,
-       question, CASE WHEN hit THEN answer WHEN contains(answer, '无法回答') THEN answer ELSE '{K.S2_REFUSE_FALLBACK_A}' END AS answer,
-       CAST(CASE WHEN hit THEN 4 ELSE 1 END AS INT) AS contexts
-FROM found WHERE NOT hit OR answer <> ''""")
-def sft_generated(spark, sf_dir):
-    """Search with each generated question; material that is not found turns the sample into a
-    weak-recall refusal."""
+  SELECT a.chunk_id, max(CASE WHEN p.text = a.seed THEN 1 ELSE 0 END) = 1 AS hit, any_value(a.answer) AS answer,
+         any_value(a.question) AS question, any_value(a.seed) AS seed, any_value(a.source) AS source,
+         string_agg({_block("h.rank", "p.source", "p.text")}, chr(10) || chr(10) ORDER BY h.rank) AS shown
+  FROM asked a JOIN hits h ON h.query_id = a.chunk_id JOIN pool p ON p.chunk_id = h.chunk_id GROUP BY a.chunk_id)"""
+
+
+def generated(spark, sf_dir, kind):
+    """Samples of one grounded type by searching with each generated question; material that is not
+    found makes a weak-recall refusal."""
     chunks = b.chunks(spark, sf_dir)
-    asked, generations = worded(spark, sf_dir)
+    asked, generations = worded(spark, sf_dir, kind)
     key = F.substring_index("request_id", ":", -1).cast("bigint")
-    questions = generations.select(key.alias("query_id"), F.col("question").alias("query"))
+    questions = generations.select(key.alias("query_id"), clean_question(F.col("question")).alias("query"))
     hits = retrieval.search_overlap(questions, chunks, 4)
     contexts = chunks.select("chunk_id", R.context_from_chunk().alias("ctx"))
     retrieved = retrieval.retrieved_contexts(hits, contexts).select(
-        F.concat(F.lit("faithful:"), F.col("query_id").cast("string")).alias("request_id"), "contexts")
-    done, missed = B.accept_grounded(asked, generations, retrieved, "faithful")
-    refused = B.accept_refusals(missed, generations, "weak_recall")
-    both = done.unionByName(refused)
-    return both.select(
-        "request_id", "meta.type", "meta.subtype", question_of(R.turn(F.col("messages"), 1)).alias("question"),
-        R.turn(F.col("messages"), 2).alias("answer"), F.size("meta.sources").alias("contexts"))
+        F.concat(F.lit(f"{kind}:"), F.col("query_id").cast("string")).alias("request_id"), "contexts")
+    done, missed = B.accept_grounded(asked, generations, retrieved, kind)
+    return done.unionByName(B.accept_refusals(missed, generations, "weak_recall"))
+
+
+def _generated_query(kind: str, subtype: str) -> None:
+    @query(f"sft_generated_{kind}" if kind != "faithful" else "sft_generated", f"""WITH {S2}, {_ASKED}
+SELECT '{kind}:' || chunk_id AS request_id, CASE WHEN hit THEN '{kind}' ELSE 'refuse' END AS type,
+       CASE WHEN NOT hit THEN 'weak_recall' ELSE {subtype} END AS subtype,
+       question, CASE WHEN hit THEN answer WHEN contains(answer, '无法回答') THEN answer ELSE '{K.S2_REFUSE_FALLBACK_A}' END AS answer,
+       CAST(CASE WHEN hit THEN 4 ELSE 1 END AS INT) AS contexts
+FROM (SELECT *, seed AS text FROM found) WHERE NOT hit OR answer <> ''""", headline=kind == "faithful")
+    def run(spark, sf_dir):
+        return generated(spark, sf_dir, kind).select(
+            "request_id", "meta.type", "meta.subtype", question_of(R.turn(F.col("messages"), 1)).alias("question"),
+            R.turn(F.col("messages"), 2).alias("answer"), F.size("meta.sources").alias("contexts"))
+
+
+for _kind, _subtype in (("faithful", "NULL"), ("cite", "NULL"), ("format", FORMAT_SUBTYPE)):
+    _generated_query(_kind, _subtype)
+
+
+def refusals(spark, sf_dir):
+    parts = []
+    for subtype in K.REFUSE_SUBTYPES:
+        asked, generations = worded(spark, sf_dir, "refuse", subtype)
+        parts.append(B.accept_refusals(asked, generations, subtype))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_CHANGED = perturbed("seed", sql_rnd(42, "conflict-number", "'conflict:' || chunk_id"), "chunk_id, seed, source, answer", "numeric")
+_REFUSALS = f"""numeric AS (SELECT * FROM asked WHERE regexp_matches(seed, '[0-9]')),
+changed AS (SELECT chunk_id, old_value, new_value, new_text FROM ({_CHANGED})),
+refused AS (
+  SELECT k.subtype || ':' || chunk_id AS request_id, k.subtype, {user_message(_block("'1'", 'source', 'seed'), '')} || question AS usr,
+         CASE WHEN contains(answer, '无法回答') THEN answer ELSE '{K.S2_REFUSE_FALLBACK_A}' END AS answer, false AS synthetic
+  FROM asked, (SELECT unnest(['no_recall', 'weak_recall']) AS subtype) k
+  UNION ALL
+  SELECT 'conflict:' || chunk_id, 'conflict', CASE WHEN old_value <> new_value THEN {user_message(
+      _block("'1'", 'source', 'seed') + " || chr(10) || chr(10) || " + _block("'2'", f"source || '{K.CONFLICT_SOURCE_SUFFIX}'", 'new_text'), K.S2_CONFLICT_Q)} END,
+         CASE WHEN contains(answer, '无法回答') THEN answer ELSE {sql_fill(K.S2_CONFLICT_A, old='old_value', new='new_value')} END, true
+  FROM numeric LEFT JOIN changed USING (chunk_id))"""
+
+
+@query("sft_generated_refusals", f"WITH {S2}, {_ASKED}, {_REFUSALS} SELECT request_id, subtype, usr, answer, synthetic FROM refused WHERE usr IS NOT NULL", headline=False)
+def sft_generated_refusals(spark, sf_dir):
+    """Generated refusals of all three kinds; a conflict shows both versions."""
+    return refusals(spark, sf_dir).where("messages IS NOT NULL").select(
+        "request_id", "meta.subtype", R.turn(F.col("messages"), 1).alias("usr"), R.turn(F.col("messages"), 2).alias("answer"), "meta.synthetic")
+
+
+NEEDS = {"cite": 40, "no_recall": 10, "conflict": 5, "weak_recall": 30}
+
+
+@query("sft_generated_set", f"""WITH {S2}, {_ASKED}, {_REFUSALS},
+candidates AS (
+  SELECT 'cite:' || chunk_id AS request_id, CASE WHEN hit THEN 'cite' ELSE 'weak_recall' END AS kind, {sql_rnd(42, 'cite', 'chunk_id')} AS ord,
+         {user_message("CASE WHEN hit THEN shown ELSE " + _block("'1'", 'source', 'seed') + " END", '')} || question AS usr,
+         CASE WHEN hit THEN answer WHEN contains(answer, '无法回答') THEN answer ELSE '{K.S2_REFUSE_FALLBACK_A}' END AS answer
+  FROM found WHERE NOT hit OR answer <> ''
+  UNION ALL
+  SELECT request_id, subtype, md5('42|' || subtype || '|' || split_part(request_id, ':', 2)), usr, answer FROM refused WHERE usr IS NOT NULL),
+passed AS (SELECT *, md5(usr || '||' || usr) AS fp FROM candidates WHERE kind <> 'cite' OR NOT contains(answer, '无法回答')),
+early AS (SELECT * FROM (SELECT * FROM passed WHERE kind <> 'weak_recall' QUALIFY row_number() OVER (PARTITION BY kind, fp ORDER BY ord) = 1)
+          QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ord) <= CASE kind {' '.join(f"WHEN '{k}' THEN {n}" for k, n in NEEDS.items())} END),
+late AS (SELECT * FROM (SELECT * FROM passed WHERE kind = 'weak_recall' AND fp NOT IN (SELECT fp FROM early)
+                        QUALIFY row_number() OVER (PARTITION BY fp ORDER BY ord) = 1) QUALIFY row_number() OVER (ORDER BY ord) <= {NEEDS['weak_recall']})
+SELECT kind, request_id, usr, answer FROM (SELECT * FROM early UNION ALL SELECT * FROM late)""", headline=False)
+def sft_generated_set(spark, sf_dir):
+    """Generated citations and refusals through gate, de-duplication and needs."""
+    built = B.finish_generated(generated(spark, sf_dir, "cite").unionByName(refusals(spark, sf_dir)), NEEDS).samples
+    kind = F.when(F.col("meta.type") == "refuse", F.col("meta.subtype")).otherwise(F.col("meta.type"))
+    return built.select(kind.alias("kind"), "request_id", R.turn(F.col("messages"), 1).alias("usr"), R.turn(F.col("messages"), 2).alias("answer"))
 
 
 _TEMPLATE = "Material:\n{context}\n\nItems: {items}\nIntent: {intent}\nQuestion: {question}"
