@@ -35,7 +35,7 @@ from tomeworks.operators.settle import settle
 
 U = np.uint64
 UNKNOWN = "und"
-RUN_BYTES = 1 << 20
+RUN_BYTES = 512 << 10
 
 
 def windows(data: np.ndarray, n: int) -> np.ndarray:

@@ -38,9 +38,11 @@ from tomeworks.operators.settle import settle
 U = np.uint64
 SHINGLE = 5
 #: Texts handled at once: each throws about k * (ln k + 2) darts, however short it is.
-RUN_TEXTS = 400
+RUN_TEXTS = 200
+#: Bytes of text handled at once.
+RUN_BYTES = 512 << 10
 #: Texts, or pairs of their shingle sets, in one Arrow batch.
-TEXT_BATCH = 1000
+TEXT_BATCH = 500
 #: Texts that stand for a component in a bucket of differing cells, each round.
 CHOICES = 3
 
@@ -134,7 +136,7 @@ def _features(bands: int, per_band: int):
         k = bands * per_band
         for array in batches:
             parts = [pa.array([], type=_FEATURES)]
-            for _, offsets, data in W.runs(array, run_rows=RUN_TEXTS):
+            for _, offsets, data in W.runs(array, RUN_BYTES, RUN_TEXTS):
                 n = len(offsets) - 1
                 words, rows = W.word_hashes(offsets, data, W.ALNUM)
                 h1, h2 = text_hashes(words, rows, n)
@@ -182,6 +184,7 @@ def _jaccard():
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             out[i] = shared / (len(both) - shared)
+        W.release()
         return pa.array(out)
 
     run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
