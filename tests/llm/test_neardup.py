@@ -107,3 +107,28 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def one_pair_among_many(place):
+    """All texts are far from one another but for two, and whatever two of them share, many others have as well."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(280)]
+    phrases = [[[f"p{slot}.{turn}.{i}" for i in range(10)] for turn in range(3)] for slot in range(12)]
+    picks = []
+    while len(picks) < 150:
+        pick = [rng.randrange(3) for _ in range(12)]
+        if all(sum(a == b for a, b in zip(pick, other)) <= 7 for other in picks):
+            picks.append(pick)
+    near = list(picks[place])
+    near[5] = (near[5] + 1) % 3
+    return [(i, " ".join(base + [w for slot, turn in enumerate(pick) for w in phrases[slot][turn]])) for i, pick in enumerate([*picks, near])]
+
+
+@pytest.mark.parametrize("block", [400, 20])
+def test_one_similar_pair_among_many_texts_that_share_its_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", block, raising=False)
+    rows = one_pair_among_many(20)
+    expected = classes_by_hand(rows)
+    assert sorted(d for d, _, n in expected if n > 1) == [20, 150]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, per_band=1).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == expected

@@ -12,8 +12,8 @@ Banded joining: texts that agree in all ``per_band`` coordinates of a band share
 similarity s does with probability 1 - (1 - s^per_band)^bands, 0.99995 at 0.8. Texts of equal words are
 folded into one before that, so copies are never paired. In a bucket every text is compared with one
 pivot only, exactly, on the shingles themselves, so the comparisons grow with the texts and not with the
-pairs of a group. What a pivot leaves apart meets again by the cells in which it differs from the pivot
-(``_link_rest``).
+pairs of a group. A text that this leaves in another class than its pivot is compared exactly with every
+text of that pivot, in blocks (``_link_rest``).
 
 Words are lower-cased runs of letters and digits. Texts of one to four words are one shingle; null
 and wordless texts are in a class of their own, each. A null id counts as larger than any other.
@@ -43,8 +43,13 @@ RUN_TEXTS = 200
 RUN_BYTES = 512 << 10
 #: Texts, or pairs of their shingle sets, in one Arrow batch.
 TEXT_BATCH = 500
-#: Texts that stand for a component in a bucket of differing cells, each round.
-CHOICES = 3
+#: Texts of one pivot in a block, and bytes of their differing cells, about.
+BLOCK_TEXTS = 400
+BLOCK_BYTES = 1 << 20
+#: Pairs of blocks in one Arrow batch.
+BLOCK_BATCH = 50
+#: Differing cells that two blocks are compared by at once.
+COLUMNS = 2048
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -194,19 +199,84 @@ def _jaccard():
 def _differences():
     """The cells that only one of two sets has."""
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        parts, sizes = [np.zeros(0, dtype=np.int64)], [0]
+        out = []
         (at, data), (with_at, with_data) = W.texts(left), W.texts(right)
         for i in range(len(left)):
             both = np.concatenate([data[at[i] : at[i + 1]], with_data[with_at[i] : with_at[i + 1]]]).view(U)
             both.sort()
             twice = np.zeros(len(both) + 1, dtype=bool)
             twice[1:-1] = both[1:] == both[:-1]
-            parts.append(both[~(twice[1:] | twice[:-1])].view(np.int64))
-            sizes.append(len(parts[-1]))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), pa.array(np.concatenate(parts)))
+            out.append(both[~(twice[1:] | twice[:-1])].tobytes())
+        W.release()
+        return pa.array(out, type=pa.binary())
 
     run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<bigint>")
+    return F.arrow_udf(run, "binary")
+
+
+def shared_counts(left: np.ndarray, left_rows: np.ndarray, n: int, right: np.ndarray, right_rows: np.ndarray, m: int) -> np.ndarray:
+    """How many cells each of n sets shares with each of m sets."""
+    keys = np.intersect1d(left, right)
+    out = np.zeros((n, m), dtype=np.int64)
+    sides = []
+    for cell, rows in ((left, left_rows), (right, right_rows)):
+        at = np.minimum(np.searchsorted(keys, cell), max(len(keys) - 1, 0))
+        hit = keys[at] == cell if len(keys) else np.zeros(len(cell), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], rows[hit][order]))
+    for low in range(0, len(keys), COLUMNS):
+        high = min(low + COLUMNS, len(keys))
+        dense = []
+        for (at, rows), size in zip(sides, (n, m)):
+            part = slice(*np.searchsorted(at, [low, high]))
+            one = np.zeros((size, high - low), dtype=np.float32)
+            one[rows[part], at[part] - low] = 1
+            dense.append(one)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """As many links (row, column) of the matrix as connect the same rows and columns."""
+    out: list[tuple[int, int]] = []
+    rows, columns = linked.any(axis=1), linked.any(axis=0)
+    while rows.any():
+        ahead = [(int(np.argmax(rows)), True)]
+        rows[ahead[0][0]] = False
+        while ahead:
+            at, is_row = ahead.pop()
+            new = np.flatnonzero(linked[at] & columns) if is_row else np.flatnonzero(linked[:, at] & rows)
+            (columns if is_row else rows)[new] = False
+            for other in new.tolist():
+                out.append((at, other) if is_row else (other, at))
+                ahead.append((other, not is_row))
+    return out
+
+
+def _block_links(similarity: float):
+    """Links between the components of two blocks of texts of one pivot, from every pair of their texts."""
+    def unpack(block: pa.Array) -> tuple[np.ndarray, ...]:
+        (at, data), n = W.texts(block.field("cells")), len(block)
+        cell = np.frombuffer(data[at[0] : at[-1]].tobytes(), dtype=U)
+        differing = np.diff(at) // 8
+        return block.field("label").to_numpy(), block.field("size").to_numpy(), differing, cell, np.repeat(np.arange(n), differing)
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out: list[list[dict[str, int]]] = []
+        for one, other in zip(left, right):
+            label, size, differing, cell, rows = unpack(one.values)
+            with_label, with_size, with_differing, with_cell, with_rows = unpack(other.values)
+            shared = shared_counts(cell, rows, len(label), with_cell, with_rows, len(with_label))
+            sizes = size[:, None] + with_size
+            # what is in one text and not the other is what is in one difference from the pivot and not the other
+            both = (sizes - (differing[:, None] + with_differing - 2 * shared)) // 2
+            linked = (both / (sizes - both) >= similarity) & (label[:, None] != with_label)
+            out.append([{"a": int(label[i]), "b": int(with_label[j])} for i, j in _spanning(linked)])
+        W.release()
+        return pa.array(out, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<a:bigint,b:bigint>>")
 
 
 def _pairs(buckets: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -234,53 +304,51 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
     return df.join(named, node, "left").withColumn(name, F.coalesce("_label", node)).drop("_label")
 
 
-def _link_rest(known: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links between texts that their pivot does not join: all comparisons, and the components.
+def _link_rest(known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The components, after every text in another component than its pivot's is compared with all texts of that pivot.
 
-    If o is less similar to its pivot p than ``similarity`` and x is another text, o and x can only be
-    similar enough if some cell makes both of them differ from p: without one, what o and x share is part
-    of what o and p share, and their union holds p and what o adds to it. So the texts compared with p
-    meet again in buckets of (p, differing cell), where one text of each component is compared with one
-    text of another, other ones every round, until a round finds no link. Similar texts left apart mostly
-    share several cells, often ones that no other text has.
+    Two texts of one bucket that are both in their pivot's component need no comparison; all others get
+    one, so no link inside a bucket is missed. The texts of a pivot are cut into blocks of bounded size,
+    and each pair of blocks is one row: |x - y| of two texts follows from the cells in which each differs
+    from the pivot, which one matrix product counts for all pairs of two blocks.
     """
     labels = _components_of(known, similarity)
-    told = _labelled(_labelled(known, labels, "node", "_c"), labels, "pivot", "_p").select("node", "pivot", (F.col("_c") != F.col("_p")).alias("_apart"))
+    told = _labelled(_labelled(known, labels, "node", "_c"), labels, "pivot", "_p").select("node", "pivot", F.col("_c").alias("label"), (F.col("_c") != F.col("_p")).alias("_apart"))
     told = settle(told)
     if not told.where("_apart").limit(1).count():
-        return known, labels
+        return labels
     around = told.join(told.where("_apart").select("pivot").distinct().hint("merge"), "pivot", "left_semi")
     right = sets.select(F.col("node").alias("pivot"), F.col("cells").alias("_with"))
     differing = settle(around.join(sets.hint("merge"), "node").join(right.hint("merge"), "pivot").select(
-        "node", "pivot", "_apart", _differences()("cells", "_with").alias("_cells")), TEXT_BATCH)
-    rows = differing.where("_apart").agg(F.sum(F.size("_cells"))).first()[0]
-    met = differing.select("node", "_apart", "pivot", F.explode("_cells").alias("_cell")).select("node", "_apart", F.xxhash64("pivot", "_cell").alias("bucket"))
-    apart = met.where("_apart").select("bucket", "node")
-    # of the others only cells that some text left apart has are shuffled, and a few more
-    others = met.where("NOT _apart").where(member_filter(apart.select("bucket"), rows, F.col("bucket"))).select("bucket", "node")
-    buckets = settle(apart.unionByName(others).distinct())
-    turn = 0
-    while True:
-        turn += 1
-        # in each bucket a text of every component, as chosen by several hashes, meets one of them
-        first = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(turn * CHOICES + i)), F.col("node")))["node"] for i in range(CHOICES)])
-        told = _labelled(buckets, labels, "node", "_c")
-        several = told.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
-        # a bucket of one component stays so
-        buckets = settle(join_counted(told, several, "bucket", "_n", F.col("node")).select("bucket", "node", "_c"))
-        chosen = buckets.groupBy("bucket", "_c").agg(first.alias("_nodes"))
-        buckets = buckets.drop("_c")
-        mine = settle(chosen.select("bucket", "_c", F.posexplode("_nodes").alias("_i", "node")))
-        least = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("_c").alias("_p")))
-        pivots = mine.groupBy(F.struct("bucket", "_i").alias("_at")).agg(least.alias("_f"), F.count("*").alias("_n")).where("_n > 1")
-        pivots = pivots.select("_at", F.col("_f.node").alias("pivot"), F.col("_f._p").alias("_p"), "_n")
-        placed = mine.select(F.struct("bucket", "_i").alias("_at"), "node", "_c")
-        asked = join_counted(placed, pivots, "_at", "_n", F.col("node")).where("_c <> _p").select("node", "pivot").distinct()
-        compared = settle(_compare(asked.join(known.hint("merge"), ["node", "pivot"], "left_anti"), sets), TEXT_BATCH)
-        known = settle(known.unionByName(compared))
-        if not compared.where(F.col("similarity") >= similarity).limit(1).count():
-            return known, labels
-        labels = _components_of(known, similarity)
+        "node", "pivot", "label", "_apart", (F.octet_length("cells") / 8).cast("bigint").alias("size"), _differences()("cells", "_with").alias("cells")), TEXT_BATCH)
+
+    def blocks(rows, size):
+        return F.greatest(F.ceil(rows / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    room = F.octet_length("cells").cast("bigint")
+    # at most as many as there are full blocks
+    large = settle(differing.groupBy("pivot").agg(
+        blocks(F.count("*"), F.sum(room)).alias("_all"), blocks(F.count_if("_apart"), F.sum(F.when(F.col("_apart"), room))).alias("_of_apart")).where("_all > 1"))
+    dealt = differing.join(F.broadcast(large), "pivot", "left")
+    text = F.collect_list(F.struct("label", "size", "cells"))
+
+    def block_of(column):
+        return F.pmod(F.xxhash64("node"), F.col(column)).cast("int")
+
+    links = _block_links(similarity)
+    small = dealt.where("_all IS NULL").groupBy("pivot").agg(text.alias("_left")).select(F.explode(links("_left", "_left")).alias("_l"))
+    found = settle(small.select("_l.a", "_l.b").distinct(), BLOCK_BATCH)
+    if large.limit(1).count():
+        several = dealt.where("_all IS NOT NULL")
+        left = settle(several.where("_apart").groupBy("pivot", block_of("_of_apart").alias("_i"), "_all").agg(text.alias("_left")))
+        right = settle(several.groupBy("pivot", block_of("_all").alias("_j"), "_of_apart").agg(text.alias("_right")))
+        # the place of a pair of blocks is its key, so that those of one pivot are spread
+        left = left.select("pivot", "_i", F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_j"), "_left")
+        right = right.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_of_apart") - 1)).alias("_i"), "_j", "_right")
+        met = left.join(right.hint("merge"), ["pivot", "_i", "_j"]).select(F.explode(links("_left", "_right")).alias("_l"))
+        found = found.unionByName(settle(met.select("_l.a", "_l.b").distinct(), BLOCK_BATCH))
+    near = known.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return settle(components(near.unionByName(found)))
 
 
 def classes(
@@ -308,7 +376,7 @@ def classes(
     sets = settle(_fetch(df, text, key, wanted), TEXT_BATCH)
 
     pairs = _middles(buckets).select("node", "pivot").distinct()
-    _, labels = _link_rest(settle(_compare(settle(pairs), sets), TEXT_BATCH), sets, similarity)
+    labels = _link_rest(settle(_compare(settle(pairs), sets), TEXT_BATCH), sets, similarity)
     member = _members(worded, nodes)
     member = member.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
     member = member.select(key, *others, "_row", "_class").unionByName(
