@@ -95,3 +95,15 @@ def test_unseen_copies_score_above_the_base(spark):
 
     rows = QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_blocks_of_the_filter_score_as_one(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 900, 60)) for _ in range(60)] + [None, ""]
+    asked = frame(spark, texts[:20] + [None, "never seen words"])
+    for order in (2, 3):
+        got = []
+        for most in (256 << 20, 2048):
+            model = lm.train(frame(spark, texts), order=order, mu=5.0, head_words=50, max_filter_bytes=most)
+            got.append({r.doc_id: r.score for r in lm.score(model, asked).collect()})
+        assert len(model.blocks) > 1 and got[0] == pytest.approx(got[1], abs=1e-9)

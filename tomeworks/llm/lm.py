@@ -10,9 +10,9 @@ q is the smallest count of its level and Q(h) the largest, so that without false
 probabilities of all words after h sum to at most one. Words are told apart by 64-bit hashes.
 
 Spark counts: tasks send packed arrays of hashes with counts, already summed per batch, to shards;
-each shard sums them and makes its segment of the filter. The filter is what is broadcast. Its size
-is ``bits_per_entry`` for each entry and at most ``max_filter_bytes``; beyond that the same entries
-share fewer bits and false positives become more frequent, nothing is left out.
+each shard sums them and makes its segment of the filter, of ``bits_per_entry`` for each entry. Segments
+are broadcast in blocks of at most ``max_filter_bytes`` (one segment at least). With several blocks each
+is a further map-only pass that adds the levels of its own n-grams to those of every token.
 
 Edge cases: null is the empty text, which has one token (the end). Without training tokens every
 probability is 1 / 1 for the base and the model. Repeated rows count as often as they occur.
@@ -160,8 +160,8 @@ class LevelFilter:
         found = np.zeros(len(keys), dtype=np.int64)
         if not len(self.words):
             return found
-        alive = np.arange(len(keys))
         shard = shard_of(keys, len(self.sizes))
+        alive = np.flatnonzero(self.sizes[shard])
         sizes, starts = self.sizes[shard], self.starts[shard]
         level = 1
         while len(alive):
@@ -189,7 +189,6 @@ class Model:
     mu: float
     tokens: int
     distinct: int
-    filter: LevelFilter
     head: np.ndarray
     head_counts: np.ndarray
 
@@ -199,6 +198,30 @@ class Trained:
     model: Model
     unigrams: DataFrame
     shards: int
+    segments: DataFrame
+    sizes: list[int]
+    blocks: list[list[int]]
+
+    def filter(self, block: list[int]) -> LevelFilter:
+        """The segments of some shards; the others are empty."""
+        mine = set(block)
+        held = LevelFilter([n if s in mine else 0 for s, n in enumerate(self.sizes)])
+        for r in self.segments.where(F.col("shard").isin(block)).toLocalIterator():  # never more than one partition on the way
+            held.words[held.starts[r.shard] :][: self.sizes[r.shard]] = np.frombuffer(r.bits, dtype=U)
+        return held
+
+
+def blocks_of(sizes: list[int], max_filter_bytes: int) -> list[list[int]]:
+    """Consecutive shards whose segments fit, one at least; one block where there are none."""
+    blocks: list[list[int]] = [[]]
+    held = 0
+    for shard, n in enumerate(sizes):
+        if blocks[-1] and held + 8 * n > max_filter_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(shard)
+        held += 8 * n
+    return blocks
 
 
 def train(
@@ -211,7 +234,6 @@ def train(
     size = df.agg(F.coalesce(F.sum(F.octet_length(text) + 6), F.lit(0))).first()[0]
     shards = max(8, -(-size // (6 * SHARD_TOKENS)))
     counted = df.select(text).mapInArrow(lambda batches: _count_rows(batches, order, shards), SHARDED)
-    share = max_filter_bytes // (8 * shards)
     bottoms = bounds(base)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -227,7 +249,7 @@ def train(
                 first, first_counts = keys, counts
             del part
         n_entries = sum(int(levels.sum()) for _, levels in entries)
-        n_words = max(1, min(-(-n_entries * bits_per_entry // 64), share))
+        n_words = max(1, -(-n_entries * bits_per_entry // 64))
         bits = np.zeros(n_words, dtype=U)
         for keys, levels in entries:
             bits |= LevelFilter.segment(keys, levels, n_words)
@@ -249,9 +271,7 @@ def train(
     above = np.cumsum(levels[::-1])[::-1]  # words at a level or above
     fits = np.flatnonzero(above <= head_words)
     least = int(bottoms[max(int(fits[0]) - 1, 0)]) if len(fits) and fits[0] <= len(bottoms) else int(bottoms[-1])
-    held = LevelFilter([rows[s].n if s in rows else 1 for s in range(shards)])
-    for r in made.select("shard", "bits").toLocalIterator():  # never more than one partition on the way
-        held.words[held.starts[r.shard] :][: rows[r.shard].n] = np.frombuffer(r.bits, dtype=U)
+    sizes = [rows[s].n if s in rows else 0 for s in range(shards)]
 
     def head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,36 +282,65 @@ def train(
     heads = made.select("keys", "counts").mapInArrow(head_rows, "keys binary, counts binary").collect()
     head = np.frombuffer(b"".join(r.keys for r in heads), dtype=U)
     head_counts = np.frombuffer(b"".join(r.counts for r in heads), dtype=np.int64)
-    model = Model(order, base, mu, tokens, distinct, held, head, head_counts)
-    return Trained(model, made.select("shard", "keys", "counts"), shards)
+    model = Model(order, base, mu, tokens, distinct, head, head_counts)
+    return Trained(model, made.select("shard", "keys", "counts"), shards, made.select("shard", "bits"), sizes, blocks_of(sizes, max_filter_bytes))
 
 
-def log_probabilities(m: Model, table: W.HashTable, tokens: np.ndarray, ends: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """log10 P of each token; ``head`` is each token's place among the exact counts or -1."""
-    bottoms = bounds(m.base)
-    low = np.concatenate([[0], bottoms]).astype(np.float64)
-    high = np.concatenate([[0], bottoms[1:] - 1, [bottoms[-1]]]).astype(np.float64)
+def token_levels(held: LevelFilter, tokens: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """For each token the levels of the n-grams that end there and then of the contexts before it."""
 
     def levels(keys: np.ndarray) -> np.ndarray:
         keys, back = np.unique(keys, return_inverse=True)
-        return m.filter.levels(keys)[back]
+        return held.levels(keys)[back]
+
+    keys = ngram_keys(tokens, ends, order)
+    return np.stack([levels(k) for k in [*keys, *context_keys(keys, ends)]], axis=1).astype(np.uint16)
 
-    keys = ngram_keys(tokens, ends, m.order)
+
+def log_probabilities(m: Model, table: W.HashTable, tokens: np.ndarray, ends: np.ndarray, head: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """log10 P of each token; ``head`` is each token's place among the exact counts or -1, ``found`` the
+    ``token_levels``."""
+    bottoms = bounds(m.base)
+    low = np.concatenate([[0], bottoms]).astype(np.float64)
+    high = np.concatenate([[0], bottoms[1:] - 1, [bottoms[-1]]]).astype(np.float64)
     exact = np.where(head >= 0, m.head_counts[head], -1) if len(m.head) else np.full(len(tokens), -1)
-    first = levels(keys[0])
-    p = (np.where(exact >= 0, exact, low[first]) + 1.0) / (m.tokens + m.distinct + 1.0)
-    for n, context in zip(range(2, m.order + 1), context_keys(keys, ends)):
-        seen = levels(context)
+    p = (np.where(exact >= 0, exact, low[found[:, 0]]) + 1.0) / (m.tokens + m.distinct + 1.0)
+    for n, context in zip(range(2, m.order + 1), context_keys(ngram_keys(tokens, ends, m.order), ends)):
+        seen = found[:, m.order + n - 2]
         below = high[seen]
         if n == 2 and len(m.head):
             at = table.find(context)
             below = np.where(at >= 0, m.head_counts[at], below)
         # an n-gram occurs only where its context does
-        joint = np.where(seen > 0, low[levels(keys[n - 1])], 0.0)
+        joint = np.where(seen > 0, low[found[:, n - 1]], 0.0)
         p = (joint + m.mu * p) / (np.maximum(below, joint) + m.mu)
     return np.log10(p)
 
 
+def _unpacked(raw: pa.Array, first: int, n: int, order: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.slice(first, n).to_pylist()), dtype=np.uint16).reshape(-1, 2 * order - 1)
+
+
+def _with_levels(held, df: DataFrame, text: str, order: int, more: bool) -> DataFrame:
+    """``df`` with the packed levels of its tokens in ``_levels``, added to those of earlier blocks."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for array, before in batches:
+            out: list[bytes] = []
+            for first, offsets, data in W.runs(array):
+                tokens, _, ends = token_stream(offsets, data)
+                found = token_levels(held.value, tokens, ends, order)
+                if more:
+                    found = found + _unpacked(before, first, len(ends), order)
+                cuts = np.concatenate([[0], ends + 1]).tolist()
+                out += [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.array(out, type=pa.binary())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    before = F.col("_levels") if more else F.lit(None).cast("binary")
+    return settle(df.withColumn("_levels", F.arrow_udf(run, "binary")(text, before)))
+
+
 def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text`` and with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
     and ``score``; columns of these names are replaced."""
@@ -304,17 +353,26 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
     while uid in kept:
         uid += "_"
     total = float(m.tokens + m.distinct + 1)
-
-    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    several = len(trained.blocks) > 1
+    asked = df.select(*kept, text)
+    if several:
+        for i, block in enumerate(trained.blocks):
+            segment = spark.sparkContext.broadcast(trained.filter(block))
+            asked = _with_levels(segment, asked, text, m.order, i > 0)
+            segment.unpersist()
+    held = None if several else spark.sparkContext.broadcast(trained.filter(trained.blocks[0]))
+
+    def parts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         model = sent.value
         table = W.HashTable(model.head)
-        for array in batches:
+        for array, packed in batches:
             out: list[tuple] = []
-            for _, offsets, data in W.runs(array):
+            for start, offsets, data in W.runs(array):
                 tokens, rows, ends = token_stream(offsets, data)
                 n = len(ends)
                 at = table.find(tokens)
-                logs = log_probabilities(model, table, tokens, ends, at)
+                found = token_levels(held.value, tokens, ends, model.order) if held else _unpacked(packed, start, n, model.order)
+                logs = log_probabilities(model, table, tokens, ends, at, found)
                 known = at >= 0
                 base = np.where(known, np.log10((model.head_counts[at] if len(model.head) else np.zeros(len(at))) + 1.0), 0.0)
                 rest, rest_rows = tokens[~known], rows[~known]
@@ -328,9 +386,10 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.StructArray.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds)], names=names)
 
-    parts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    parts.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    levels = F.col("_levels") if several else F.lit(None).cast("binary")
     part = F.arrow_udf(parts, "n_tokens bigint, known bigint, base double, score double, rest binary")
-    passed = settle(df.select(*kept, part(text).alias("_p")).select(
+    passed = settle(asked.select(*kept, part(text, levels).alias("_p")).select(
         *kept, F.monotonically_increasing_id().alias(uid), F.col("_p.n_tokens").alias("_n"), F.col("_p.known").alias("_known"),
         F.col("_p.base").alias("_base"), F.col("_p.score").alias("_score"), F.col("_p.rest").alias("_rest")))
 
