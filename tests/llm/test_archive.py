@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,12 @@ def test_ties_null_keys_and_empty_tables(spark):
     path = folder(spark)
     archive.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert archive.read_back(spark, path).count() == 0
+
+
+def test_null_ids_of_one_payload_through_the_query(spark, tmp_path):
+    from tomeworks.llm.queries import QUERIES
+
+    rows = [(None, "u", "a"), (None, "v", "a"), (None, "w", "a"), (4, "u", "b"), (None, "u", "b")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op5_warc_archive"](spark, str(tmp_path)).collect())
+    assert got == Counter({(None, 1, "response", None): 1, (None, 1, "revisit", None): 2, (4, 1, "response", None): 1, (None, 1, "revisit", 4): 1})

@@ -10,7 +10,7 @@ the others are revisits of it, whose block is empty. Rows whose payload can't oc
 a bounded filter (see ``exact``) and written without a shuffle; the others meet by digest.
 
 Edge cases: a null payload is the empty one, a null url an empty target. A null key is smaller than
-any other; of rows with equal keys and payloads one is the response. Empty tables give empty archives.
+any other and is written as the text null; of rows with equal keys and payloads one is the response. Empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def write(df: DataFrame, path: str, *, key: str = "page_id", url: str = "url", p
         F.concat(F.lit("X-Row-Key: "), F.coalesce(F.col("key").cast("string"), F.lit("null"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
         F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("of")))),
-        F.when(F.col("revisit"), F.concat(F.lit("X-Refers-To-Key: "), F.col("of").cast("string"))),
+        F.when(F.col("revisit"), F.concat(F.lit("X-Refers-To-Key: "), F.coalesce(F.col("of").cast("string"), F.lit("null")))),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("size")).cast("string")),
@@ -108,9 +108,9 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         "address", "key", "record_type", F.when(sound, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("unsound payload of record "), "key"))).alias("payload_bytes"),
         F.substring("declared", 6, 32).alias("payload_digest")))
     revisits = parsed.where("revisit").select("address", "key", "record_type", "refers_to")
-    asked = revisits.groupBy("address", "refers_to").agg(F.count("*").alias("n"))
-    targets = asked.join(responses.select("address", F.col("key").alias("refers_to"), "payload_bytes", "payload_digest"), ["address", "refers_to"])
-    targets = targets.dropDuplicates(["address"]).drop("refers_to")
+    # an address that has revisits has one response
+    asked = revisits.groupBy("address").agg(F.count("*").alias("n"))
+    targets = asked.join(responses.select("address", "payload_bytes", "payload_digest"), "address")
     columns = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("refers_to", F.lit(None).cast("string")).select(columns).unionByName(
         join_counted(revisits, targets, "address", "n", F.col("key")).select(columns))

@@ -106,8 +106,8 @@ FROM q""")
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
     archive.write(table(spark, sf_dir, "pages"), path)
-    return archive.read_back(spark, path).select(
-        F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    page_id, refers_to = (F.nullif(F.col(c), F.lit("null")).cast("bigint").alias(name) for c, name in (("key", "page_id"), ("refers_to", "refers_to")))
+    return archive.read_back(spark, path).select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
 
 
 @query("op8_best_fit_packing")
