@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.llm import archive, chat, decontam, exact, extract, langid, lm, neardup, packing, rank, tokens
-from tomeworks.operators.settle import shared_folder
+from tomeworks.llm import archive, chat, decontam, exact, extract, langid, lm, neardup, packing, quality, rank, tokens
+from tomeworks.operators.settle import settle, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -182,3 +182,11 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), quality.statistics_of("text").alias("stats"))
+    stats = settle(docs)
+    model = quality.train(stats.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return quality.score(model, stats)
