@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.llm import archive, chat, decontam, exact, extract, langid, lm, neardup, packing, quality, rank, tokens
+from tomeworks.llm import align, archive, chat, decontam, exact, extract, langid, lm, neardup, packing, quality, rank, tokens
 from tomeworks.operators.settle import settle, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,9 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = settle(docs)
     model = quality.train(stats.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     return quality.score(model, stats)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.alignment(docs, tokenizer(), tokenizer("piece_bpe_32k.model"))
