@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomeworks import constants as K
 from tomeworks.operators import documents as D
 from tomeworks.operators import images as I
-from tomeworks.operators.splitter import split_to_size
+from tomeworks.operators.splitter import pieces_of, split_to_size
 from tomeworks.operators.tables import linearize_text
 
 DOC = "doc_id bigint, file_title string, md_content string"
@@ -115,6 +115,23 @@ def test_splitter_equals_restatement():
         assert re.sub(r"\s", "", "".join(got)) == re.sub(r"\s", "", text)
 
 
+def test_splitter_column_equals_the_string_form(spark):
+    r = random.Random(5)
+    signs = ["a", "bb", " ", "\n", "\n\n", "。", "，", "?", ";", "!", "word", "日本", "😀", "\u3000", "\t", "x" * 40]
+    rows = [(i, "".join(r.choice(signs) for _ in range(r.randint(0, 90))), r.randint(2, 30)) for i in range(800)]
+    rows += [(800, "", 5), (801, "word " * 60_000, 100), (802, "y" * 100_000, 7), (803, "a;b" * 5, 2), (804, " \n ", 3)]
+    df = spark.createDataFrame(rows, "i int, text string, room int").repartition(4)
+    got = {x["i"]: x["p"] for x in df.select("i", pieces_of(F.col("text"), F.col("room"), K.SPLIT_SEPARATORS).alias("p")).collect()}
+    for i, text, limit in rows:
+        assert got[i] == split_to_size(text, limit, K.SPLIT_SEPARATORS), (text[:200], limit)
+
+
+def test_splitting_long_sections_stays_in_the_jvm(spark):
+    df = D.split_long(spark.createDataFrame([], "doc_id bigint, file_title string, sections array<struct<title string, parent_title string, body string>>"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_long_sections_are_numbered_and_whole(spark):
     body = "这是一句话。" * 800
     rows = D.import_chunks(spark.createDataFrame([(1, "f", "# T\n" + body), (2, "g", "short")], DOC)).orderBy("doc_id", "pos").collect()

@@ -1,8 +1,8 @@
 """Markdown documents to titled chunks.
 
 A document is one row from beginning to end: its sections stay in an array until the last
-step, so the whole path is map-only and shuffles nothing. Only tables and over-long sections
-visit Python, and only their own text is sent there.
+step, so the whole path is map-only and shuffles nothing. Only tables visit Python, and only their
+own text is sent there.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tomeworks import constants as K
 from tomeworks.functions.text import let, nz, strip, strip_left, strip_right, text_or_empty
-from tomeworks.operators.splitter import split_to_size
+from tomeworks.operators.splitter import pieces_of
 from tomeworks.operators.tables import linearize_text
 
 # Whitespace inside a line, as Python sees it. A plain class: no group to recurse into.
@@ -157,19 +157,8 @@ def _room(title: Column, max_len: int) -> Column:
     return F.lit(max_len - 2) - F.least(F.length(title), F.lit(K.TITLE_PREFIX))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _pieces(work: pd.Series) -> pd.Series:
-    def one(row):
-        if row is None:
-            return None
-        return [None if w is None else split_to_size(w["body"], w["room"], K.SPLIT_SEPARATORS) for w in row]
-
-    return work.map(one)
-
-
-# Non-deterministic, so that no filter on a section evaluates them a second time.
+# Non-deterministic, so that no filter on a section evaluates it a second time.
 _linearized = _linearized.asNondeterministic()
-_pieces = _pieces.asNondeterministic()
 
 
 def split_long(docs: DataFrame, max_len: int = K.MAX_SECTION) -> DataFrame:
@@ -177,20 +166,8 @@ def split_long(docs: DataFrame, max_len: int = K.MAX_SECTION) -> DataFrame:
     if max_len <= 0:
         raise ValueError("max_len must be positive")
 
-    def too_long(s: Column) -> Column:
-        room = _room(s["title"], max_len)
-        return (F.length(s["body"]) > room) & (room > 0)
-
-    work = F.transform(
-        "sections",
-        lambda s: F.when(too_long(s), F.struct(s["body"].alias("body"), _room(s["title"], max_len).alias("room"))),
-    )
-    wanted = F.when(F.exists("sections", too_long), work)
-    done = docs.withColumn("_pieces", _pieces(wanted))
-
-    def expand(z: Column) -> Column:
-        s, pieces = z["s"], z["p"]
-        numbered = F.transform(
+    def numbered(s: Column, pieces: Column) -> Column:
+        made = F.transform(
             pieces,
             lambda body, i: F.struct(
                 F.concat(F.substring(s["title"], 1, K.TITLE_PREFIX), F.lit("_"), (i + 1).cast("string")).alias("title"),
@@ -198,11 +175,14 @@ def split_long(docs: DataFrame, max_len: int = K.MAX_SECTION) -> DataFrame:
                 body.alias("body"),
             ),
         )
-        return F.when(F.coalesce(F.size(pieces), F.lit(0)) > 1, numbered).otherwise(F.array(s))
+        return F.when(F.size(pieces) > 1, made).otherwise(F.array(s))
+
+    def cut(s: Column) -> Column:
+        room = _room(s["title"], max_len)
+        too_long = (F.length(s["body"]) > room) & (room > 0)
+        return F.when(too_long, let(pieces_of(s["body"], room, K.SPLIT_SEPARATORS), lambda p: numbered(s, p))).otherwise(F.array(s))
 
-    cut = F.flatten(F.transform(F.arrays_zip(F.col("sections").alias("s"), F.col("_pieces").alias("p")), expand))
-    merged = F.when(F.col("_pieces").isNull(), F.col("sections")).otherwise(cut)
-    return done.withColumn("sections", merged).drop("_pieces")
+    return docs.withColumn("sections", F.flatten(F.transform("sections", cut)))
 
 
 def merged_sections(sections: Column, min_len: int) -> Column:

@@ -92,9 +92,48 @@ def merged_sections(spark, sf_dir):
     return D.assemble_chunks(found).drop("chunk_id")
 
 
-@query("document_chunks")
+_ITEM = "STRUCT(t VARCHAR, d BOOLEAN)"
+
+
+def _sql_pieces(text: str, limit: str) -> str:
+    """SQL of the size-bounded splitter: the separators one after another over a list of pieces ``t``,
+    ``d`` for those that are finished."""
+    items = f"[{{'t': {text}, 'd': false}}]"
+    for n, sep in enumerate(K.SPLIT_SEPARATORS):
+        x, p, a, q, r = (f"{name}{n}" for name in "xpaqr")
+        if not sep:
+            made = f"list_transform(regexp_extract_all({x}.t, '(?s).{{1,' || {limit} || '}}'), lambda {p}: {{'t': {p}, 'd': true}})"
+            items = f"flatten(list_transform({items}, lambda {x}: CASE WHEN {x}.d THEN [{x}] ELSE {made} END))"
+            continue
+        mark = " || ".join(["chr(10)"] * len(sep)) if sep.strip("\n") == "" else quote(sep)
+        parts = f"""list_transform(string_split({x}.t, {mark}), lambda {p}, i{n}: {{'out': []::{_ITEM}[], 'open': CASE WHEN i{n} = 1 THEN {p} ELSE {mark} || {p} END}})"""
+        flushed = f"CASE WHEN {a}.open = '' THEN {a}.out ELSE list_append({a}.out, {{'t': {a}.open, 'd': true}}) END"
+        step = f"""CASE WHEN length({q}.open) >= {limit} THEN {{'out': list_append({flushed}, {{'t': {q}.open, 'd': false}}), 'open': ''}}
+          WHEN length({a}.open) + length({q}.open) > {limit} THEN {{'out': {flushed}, 'open': {q}.open}} ELSE {{'out': {a}.out, 'open': {a}.open || {q}.open}} END"""
+        packed = f"list_reduce({parts}, lambda {a}, {q}: {step}, {{'out': []::{_ITEM}[], 'open': ''}})"
+        closed = f"list_transform([{packed}], lambda {r}: CASE WHEN {r}.open = '' THEN {r}.out ELSE list_append({r}.out, {{'t': {r}.open, 'd': true}}) END)[1]"
+        items = f"flatten(list_transform({items}, lambda {x}: CASE WHEN {x}.d OR NOT contains({x}.t, {mark}) THEN [{x}] ELSE {closed} END))"
+    return f"list_filter(list_transform({items}, lambda y: {b.sql_strip('y.t')}), lambda z: z <> '')"
+
+
+_IMPORTED = f"""imported AS (
+  SELECT page_id AS doc_id, 'page ' || page_id AS file_title, {_MD} AS md_content FROM pages
+  UNION ALL SELECT doc_id + 1000000000, source, coalesce(text, '') FROM documents),
+md AS (SELECT doc_id, file_title, regexp_replace(md_content, '\\r\\n?', chr(10), 'g') AS md_content FROM imported)"""
+_CUT = f"""roomy AS (SELECT *, {K.MAX_SECTION - 2} - least(length(title), {K.TITLE_PREFIX}) AS room FROM sections),
+cut AS (
+  SELECT doc_id, file_title, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) - 1 AS pos,
+         CASE WHEN n > 1 THEN substr(title, 1, {K.TITLE_PREFIX}) || '_' || i ELSE title END AS title, parent_title,
+         CASE WHEN n > 1 THEN piece ELSE body END AS body
+  FROM (SELECT *, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i, len(pieces) AS n FROM (
+    SELECT *, CASE WHEN length(body) > room AND room > 0 THEN {_sql_pieces('body', 'room')} ELSE [body] END AS pieces FROM roomy)))"""
+
+
+@query("document_chunks", f"""WITH RECURSIVE {SECTIONS.replace(MD, _IMPORTED)}, {_CUT}, {_fold('cut')}
+SELECT doc_id, pos, title || chr(10) || chr(10) || body AS content, title, parent_title, file_title FROM merged""")
 def document_chunks(spark, sf_dir):
-    """The whole import path over pages and documents: sections, tables, splitting, merging."""
+    """The whole import path over pages and documents: sections, splitting, merging. These texts hold no
+    table markup, which ``table_sentences`` covers."""
     docs = b.documents(spark, sf_dir).select(
         (F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("source").alias("file_title"), F.col("text").alias("md_content"))
     chunks = D.import_chunks(md_pages(spark, sf_dir).unionByName(docs))
