@@ -29,6 +29,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,9 @@ class Pair:
         coded = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return [ids if u[0] == " " else ids[1:] for u, ids in zip(units, coded)]
 
+    def spells(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+
     def known(self, units: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """Ids of distinct units in A and B, and whether both spell the unit."""
         if len(self.held) > KEPT_UNITS:
@@ -106,10 +110,12 @@ class Pair:
         for first in range(0, len(new), CALL_UNITS):
             some = new[first : first + CALL_UNITS]
             own = [units[i] for i in some]
-            for i, u, a, b in zip(some, own, self.ids_a(own), self.ids_b(own)):
-                raw = u.encode()
-                spelt = b"".join([self.bytes_a[x] for x in a]) == raw and b"".join([self.bytes_b[x] for x in b]) == raw
-                self.held[u] = found[i] = array("I", a).tobytes(), array("I", b).tobytes(), spelt
+            coded_a, coded_b = self.ids_a(own), self.ids_b(own)
+            raw = "".join(own).encode()
+            spelt = all(b"".join(map(table.__getitem__, chain.from_iterable(coded))) == raw for table, coded in ((self.bytes_a, coded_a), (self.bytes_b, coded_b)))
+            for i, u, a, b in zip(some, own, coded_a, coded_b):
+                same = spelt or self.spells(u.encode(), a, b)
+                self.held[u] = found[i] = array("I", a).tobytes(), array("I", b).tobytes(), same
         return found
 
 
