@@ -17,10 +17,10 @@ from tomeworks.plans.base import query, sql_rnd
 from tomeworks.plans.builder_queries import FORMAT_SUBTYPE, S2, _block, sql_fill, user_message
 from tomeworks.plans.chunk_queries import perturbed
 
-def worded(spark, sf_dir, kind="faithful", subtype=""):
-    """Requests from every chunk whose id is divisible by 20, with stand-in wording: the question is the
-    first sentence of the material, every third answer refuses or is missing."""
-    asked = settle(B.requests(b.chunks(spark, sf_dir).where("chunk_id % 20 = 0"), kind, subtype, tries=None))
+def worded(chunks, kind="faithful", subtype=""):
+    """Requests from chunks, with stand-in wording: the question is the first sentence of the material,
+    every third answer refuses or is missing."""
+    asked = settle(B.requests(chunks, kind, subtype, tries=None))
     text = F.col("seeds")[0]["text"]
     n = F.length(text) % 3
     generations = asked.select(
@@ -32,8 +32,8 @@ def worded(spark, sf_dir, kind="faithful", subtype=""):
 _ASKED = f"""asked AS (
   SELECT chunk_id, text AS seed, source, {b.sql_strip(b.sql_first_sentences('text', 1))} AS question,
          CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'It says so [1]' ELSE '无法回答' END AS answer
-  FROM pool WHERE length(text) > 20 AND chunk_id % 20 = 0),
-q AS (SELECT chunk_id AS query_id, list_distinct(string_split(question, '')) AS chars FROM asked),
+  FROM pool WHERE length(text) > 20),
+q AS (SELECT chunk_id AS query_id, list_distinct(string_split(question, '')) AS chars FROM asked WHERE chunk_id % 20 = 0),
 c AS (SELECT doc_id AS chunk_id, list_distinct(string_split(text, '')) AS chars FROM documents),
 hits AS (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q.chars, c.chars)) DESC, chunk_id) AS rank
@@ -46,10 +46,10 @@ found AS (
 
 
 def generated(spark, sf_dir, kind):
-    """Samples of one grounded type by searching with each generated question; material that is not
-    found makes a weak-recall refusal."""
+    """Samples of one grounded type by searching with the generated question of every chunk whose id is
+    divisible by 20, against all chunks; material that is not found makes a weak-recall refusal."""
     chunks = b.chunks(spark, sf_dir)
-    asked, generations = worded(spark, sf_dir, kind)
+    asked, generations = worded(chunks.where("chunk_id % 20 = 0"), kind)
     key = F.substring_index("request_id", ":", -1).cast("bigint")
     questions = generations.select(key.alias("query_id"), clean_question(F.col("question")).alias("query"))
     hits = retrieval.search_overlap(questions, chunks, 4)
@@ -78,9 +78,10 @@ for _kind, _subtype in (("faithful", "NULL"), ("cite", "NULL"), ("format", FORMA
 
 
 def refusals(spark, sf_dir):
+    """Refusals of every kind from all material: they need no search."""
     parts = []
     for subtype in K.REFUSE_SUBTYPES:
-        asked, generations = worded(spark, sf_dir, "refuse", subtype)
+        asked, generations = worded(b.chunks(spark, sf_dir), "refuse", subtype)
         parts.append(B.accept_refusals(asked, generations, subtype))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
