@@ -14,13 +14,14 @@ from tomeworks.operators import understanding as U
 from tomeworks.operators.settle import settle
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query, sql_rnd
-from tomeworks.plans.builder_queries import FORMAT_SUBTYPE, S2, _block, sql_fill, user_message
+from tomeworks.plans.builder_queries import FORMAT_SUBTYPE, S2, _block, _groups, sql_fill, user_message
 from tomeworks.plans.chunk_queries import perturbed
 
-def worded(chunks, kind="faithful", subtype=""):
+def worded(chunks, kind="faithful", subtype="", where=None):
     """Requests from chunks, with stand-in wording: the question is the first sentence of the material,
     every third answer refuses or is missing."""
-    asked = settle(B.requests(chunks, kind, subtype, tries=None))
+    asked = B.requests(chunks, kind, subtype, tries=None)
+    asked = settle(asked if where is None else asked.where(where))
     text = F.col("seeds")[0]["text"]
     n = F.length(text) % 3
     generations = asked.select(
@@ -50,12 +51,16 @@ def generated(spark, sf_dir, kind):
     divisible by 20, against all chunks; material that is not found makes a weak-recall refusal."""
     chunks = b.chunks(spark, sf_dir)
     asked, generations = worded(chunks.where("chunk_id % 20 = 0"), kind)
-    key = F.substring_index("request_id", ":", -1).cast("bigint")
-    questions = generations.select(key.alias("query_id"), clean_question(F.col("question")).alias("query"))
+    return accepted(chunks, asked, generations, kind)
+
+
+def accepted(chunks, asked, generations, kind):
+    """Candidates from generated wording, searched for by the least chunk id of a request's material."""
+    keys = settle(asked.select("request_id", F.array_min(F.transform("seeds", lambda c: c["chunk_id"])).cast("bigint").alias("query_id")))
+    questions = generations.join(keys, "request_id").select("query_id", clean_question(F.col("question")).alias("query"))
     hits = retrieval.search_overlap(questions, chunks, 4)
     contexts = chunks.select("chunk_id", R.context_from_chunk().alias("ctx"))
-    retrieved = retrieval.retrieved_contexts(hits, contexts).select(
-        F.concat(F.lit(f"{kind}:"), F.col("query_id").cast("string")).alias("request_id"), "contexts")
+    retrieved = retrieval.retrieved_contexts(hits, contexts).join(keys, "query_id").select("request_id", "contexts")
     done, missed = B.accept_grounded(asked, generations, retrieved, kind)
     return done.unionByName(B.accept_refusals(missed, generations, "weak_recall"))
 
@@ -77,6 +82,35 @@ for _kind, _subtype in (("faithful", "NULL"), ("cite", "NULL"), ("format", FORMA
     _generated_query(_kind, _subtype)
 
 
+@query("sft_generated_multi_hop", f"""WITH {S2}, {_groups('multi_hop', 'pool', 'true')},
+placed AS (
+  SELECT g.key, (k.n - 1) % 3 + 1 AS n, p.chunk_id, p.text FROM multi_hop_groups g
+  JOIN multi_hop_keyed k ON k.key = g.key JOIN pool p ON p.chunk_id = k.chunk_id WHERE (k.n - 1) % 3 < g.size),
+asked AS (
+  SELECT *, {b.sql_strip(b.sql_first_sentences('first', 1))} AS question,
+         CASE length(first) % 3 WHEN 0 THEN '' WHEN 1 THEN 'It says so [1]' ELSE '无法回答' END AS answer
+  FROM (SELECT key, min(chunk_id) AS query_id, list(text) AS seeds, arg_min(text, n) AS first FROM placed GROUP BY key) WHERE query_id % 20 = 0),
+q AS (SELECT query_id, list_distinct(string_split(question, '')) AS chars FROM asked),
+c AS (SELECT doc_id AS chunk_id, list_distinct(string_split(text, '')) AS chars FROM documents),
+hits AS (
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q.chars, c.chars)) DESC, chunk_id) AS rank
+  FROM q, c QUALIFY rank <= 4),
+found AS (
+  SELECT a.key, bool_or(list_contains(a.seeds, p.text)) AS hit, any_value(a.question) AS question, any_value(a.answer) AS answer, any_value(len(a.seeds)) AS n
+  FROM asked a JOIN hits h USING (query_id) JOIN pool p ON p.chunk_id = h.chunk_id WHERE a.question <> '' GROUP BY a.key)
+SELECT 'multi_hop:' || key AS request_id, CASE WHEN hit THEN 'multi_hop' ELSE 'refuse' END AS type, CASE WHEN NOT hit THEN 'weak_recall' END AS subtype, question,
+       CASE WHEN hit OR contains(answer, '无法回答') THEN answer ELSE '{K.S2_REFUSE_FALLBACK_A}' END AS answer, CAST(CASE WHEN hit THEN 4 ELSE n END AS INT) AS contexts
+FROM found WHERE NOT hit OR answer <> ''""", headline=False)
+def sft_generated_multi_hop(spark, sf_dir):
+    """Questions over two or three chunks of one item, for the groups whose least chunk id is divisible by
+    20, searched for among all chunks; bringing back any of the group's chunks counts as found."""
+    chunks = b.chunks(spark, sf_dir)
+    asked, generations = worded(chunks, "multi_hop", where=F.array_min(F.transform("seeds", lambda c: c["chunk_id"])) % 20 == 0)
+    return accepted(chunks, asked, generations, "multi_hop").select(
+        "request_id", "meta.type", "meta.subtype", question_of(R.turn(F.col("messages"), 1)).alias("question"),
+        R.turn(F.col("messages"), 2).alias("answer"), F.size("meta.sources").alias("contexts"))
+
+
 def refusals(spark, sf_dir):
     """Refusals of every kind from all material: they need no search."""
     parts = []
