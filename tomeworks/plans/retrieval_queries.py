@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tomeworks.operators import embedding as E
 from tomeworks.operators import retrieval as R
+from tomeworks.operators import sparse_index as S
 from tomeworks.operators import understanding as U
 from tomeworks.operators.sampling import first_per_key
+from tomeworks.operators.settle import shared_folder
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query
 
@@ -94,6 +98,15 @@ def sparse_topk(spark, sf_dir):
     return R.search_sparse(asked, docs, K)
 
 
+@query("sparse_index_topk", f"WITH {TERMS}, {SPARSE} SELECT * FROM sparse WHERE rank <= 4")
+def sparse_index_topk(spark, sf_dir):
+    """The rows of ``sparse_topk`` from an inverted index that is written and read again."""
+    asked, docs = embedded(spark, sf_dir)
+    path = f"{shared_folder(spark)}/sparse-index-{uuid.uuid4().hex}"
+    S.write_sparse_index(S.build_sparse_index(docs, range_rows=64), path)
+    return S.search_sparse_index(asked, S.read_sparse_index(spark, path), K).hits
+
+
 @query("hybrid_topk", f"""WITH {TERMS}, {SPARSE}, {DENSE},
 fused AS (
   SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (
