@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tomeworks.operators import dense_index as D
 from tomeworks.operators import retrieval as R
 from tomeworks.operators import sparse_index as S
 
@@ -60,3 +62,51 @@ def test_blocks_are_no_longer_than_ranges(spark):
     chunks = spark.createDataFrame([(i, {1: 1.0, 100 + i: 1.0}) for i in range(500)], ROWS.format("chunk_id"))
     blocks = S.build_sparse_index(chunks, range_rows=50).where("token = 1").collect()
     assert sum(b["postings"] for b in blocks) == 500 and max(b["postings"] for b in blocks) <= 100 and len(blocks) == 10
+
+
+def clusters(n, seed=3):
+    """Vectors around a few centres, one of which holds a third of them."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(20, 16)) * 4
+    own = np.where(draw.random(n) < 1 / 3, 0, draw.integers(20, size=n))
+    return [(i, [float(x) for x in centres[c] + draw.normal(size=16)]) for i, c in enumerate(own)]
+
+
+DENSE = "{} bigint, dense_vector array<float>"
+
+
+def test_inverted_file_finds_most_neighbours_in_few_lists(spark, tmp_path):
+    rows = clusters(3000)
+    chunks = spark.createDataFrame([*rows, (5000, None)], DENSE.format("chunk_id"))
+    queries = spark.createDataFrame(rows[::20] + [(9000, None)], DENSE.format("query_id"))
+    centroids = D.fit_centroids(chunks, sample_rows=1500)
+    assert centroids.centres.shape == (55, 16) and centroids.probes < 28
+    D.write_dense_index(D.build_dense_index(chunks, centroids), str(tmp_path / "i"))
+    index = D.read_dense_index(spark, str(tmp_path / "i"))
+    assert index.count() == 3000
+    exact = R.search_dense(queries, chunks, 4)
+    found = D.search_dense_index(queries, index, centroids, 4)
+    row = D.recall(found, exact).first()
+    assert row["exact_hits"] == 600 and row["recall"] >= 0.9
+    # blocks of queries do not change the result, and all lists give the exact one
+    blocks = D.search_dense_index(queries, index, centroids, 4, block_bytes=4000)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
+    every = D.search_dense_index(queries, index, centroids, 4, probes=55)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_inverted_file_of_few_equal_or_no_rows(spark):
+    none = spark.createDataFrame([], DENSE.format("chunk_id"))
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)] + [(9, [0.0, 0.0])], DENSE.format("chunk_id"))
+    asked = spark.createDataFrame([(1, [2.0, 4.0])], DENSE.format("query_id"))
+    for chunks, want in ((none, []), (same, [(0, 1), (1, 2), (2, 3)]), (same.limit(1), [(0, 1)])):
+        centroids = D.fit_centroids(chunks)
+        hits = D.search_dense_index(asked, D.build_dense_index(chunks, centroids), centroids, 3, probes=9)
+        assert sorted((r["chunk_id"], r["rank"]) for r in hits.collect()) == want
+
+
+def test_blocks_of_queries_are_settled_one_by_one(spark):
+    rows = clusters(300)
+    chunks, queries = spark.createDataFrame(rows, DENSE.format("chunk_id")), spark.createDataFrame(rows[::7], DENSE.format("query_id"))
+    one, many = R.search_dense(queries, chunks, 3), R.search_dense(queries, chunks, 3, block_bytes=500)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))

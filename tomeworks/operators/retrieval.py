@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +20,17 @@ BLOCK_BYTES = 8 << 20
 ScorerOf = Callable[[pd.DataFrame], object]
 
 
-def _search(queries: DataFrame, chunks: DataFrame, scorers: Mapping[str, ScorerOf], size: Column, k: int,
-            block_bytes: int) -> DataFrame:
+def ranked_blocks(queries: DataFrame, chunks: DataFrame, scorers: Mapping[str, ScorerOf], size: Column, k: int, block_bytes: int,
+                  wanted: Callable[[pa.Table], Column] | None = None) -> DataFrame:
     """Exact top ``k`` chunks of every query for each kind of score: ``kind, query_id, chunk_id, score, rank``.
 
     The queries are settled once and cut into blocks of about ``block_bytes`` by hash, ``size`` being
     the bytes of one. Each block is shipped to the tasks and meets every chunk where it lies: a task
     reduces its part of the chunks to ``k`` rows per query, and only those are shuffled, merged first by
     groups of tasks and then by query. The number of tasks follows the cores, so the rows that are
-    merged do not grow with the chunks. All against all is possible and costs one scan for each block.
+    merged do not grow with the chunks. All against all is possible and costs one scan for each block; with
+    several, the hits of each are settled before the next is fetched, so the driver holds one at a time.
+    ``wanted`` gives the filter of the scan for a block.
     """
     spark = queries.sparkSession
     held = settle(queries)
@@ -39,8 +42,12 @@ def _search(queries: DataFrame, chunks: DataFrame, scorers: Mapping[str, ScorerO
     scanned = chunks.coalesce(tasks)
     hits = None
     for block in range(blocks):
-        own = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        part = scanned.mapInPandas(_reducer(own.toArrow(), scorers, k), HITS)
+        own = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if not own.num_rows:
+            continue
+        read = scanned if wanted is None else chunks.where(wanted(own)).coalesce(tasks)
+        part = read.mapInPandas(_reducer(own, scorers, k), HITS)
+        part = part if blocks == 1 else settle(part)
         hits = part if hits is None else hits.unionByName(part)
     grouped = hits.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(max(1, int(tasks**0.5)))))
     order = [F.desc("score"), F.asc("chunk_id")]
@@ -71,7 +78,7 @@ def search_overlap(queries: DataFrame, chunks: DataFrame, k: int = 4, block_byte
     distinct shared characters; ties in chunk order."""
     q = queries.select(F.col("query_id").cast("bigint"), _characters(F.col("query")).alias("text"))
     c = chunks.select(F.col("chunk_id").cast("bigint"), _characters(F.col("content")).alias("text"))
-    return _search(q, c, {"overlap": OverlapScorer.of}, F.octet_length("text"), k, block_bytes).drop("kind")
+    return ranked_blocks(q, c, {"overlap": OverlapScorer.of}, F.octet_length("text"), k, block_bytes).drop("kind")
 
 
 def _dense(key: str, vector: str) -> list[Column]:
@@ -92,7 +99,7 @@ def search_dense(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str
     ties go to the lower chunk id."""
     q = queries.select(*_dense("query_id", vector)).where("vector IS NOT NULL")
     c = chunks.select(*_dense("chunk_id", vector)).where("vector IS NOT NULL")
-    found = _search(q, c, {"dense": lambda f: DenseScorer.of(f, metric)}, 8 * _length("vector"), k, block_bytes)
+    found = ranked_blocks(q, c, {"dense": lambda f: DenseScorer.of(f, metric)}, 8 * _length("vector"), k, block_bytes)
     return found.drop("kind")
 
 
@@ -101,7 +108,7 @@ def search_sparse(queries: DataFrame, chunks: DataFrame, k: int = 4, vector: str
     """Inner-product top ``k`` over ``token -> weight`` maps; only chunks sharing a token."""
     q = queries.where(F.size(vector) > 0).select(*_sparse("query_id", vector))
     c = chunks.where(F.size(vector) > 0).select(*_sparse("chunk_id", vector))
-    return _search(q, c, {"sparse": SparseScorer.of}, 16 * _length("tokens"), k, block_bytes).drop("kind")
+    return ranked_blocks(q, c, {"sparse": SparseScorer.of}, 16 * _length("tokens"), k, block_bytes).drop("kind")
 
 
 def search_both(queries: DataFrame, chunks: DataFrame, k: int, dense: str = "dense_vector", sparse: str = "sparse_vector",
@@ -110,7 +117,7 @@ def search_both(queries: DataFrame, chunks: DataFrame, k: int, dense: str = "den
     def flat(df: DataFrame, key: str) -> DataFrame:
         return df.select(*_dense(key, dense), *_sparse(key, sparse)[1:])
 
-    return _search(flat(queries, "query_id"), flat(chunks, "chunk_id"),
+    return ranked_blocks(flat(queries, "query_id"), flat(chunks, "chunk_id"),
                    {"dense": lambda f: DenseScorer.of(f, metric), "sparse": SparseScorer.of},
                    8 * _length("vector") + 16 * _length("tokens"), k, block_bytes)
 

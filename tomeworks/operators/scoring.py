@@ -45,9 +45,10 @@ class DenseScorer:
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
-    def score(self, frame: pd.DataFrame) -> np.ndarray:
+    def score(self, frame: pd.DataFrame, some: np.ndarray | None = None) -> np.ndarray:
+        """Scores for all queries, or for ``some`` of them by number."""
         rows = np.stack([np.asarray(v, dtype=np.float64) for v in frame["vector"]])
-        return np.round(self._unit(rows) @ self.queries, self.digits)
+        return np.round(self._unit(rows) @ (self.queries if some is None else self.queries[:, some]), self.digits)
 
 
 class OverlapScorer:

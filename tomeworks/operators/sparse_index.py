@@ -8,7 +8,7 @@ than a range, however frequent its token, and no key of the build or the search
 A search reads block heads first. The sum over a query's tokens of the most a block can add bounds every score in
 a range; the same sum per level bounds all its ranges. The ranges of the highest bounds are scored exactly,
 the k-th score found is the threshold, and only ranges whose bound reaches it are scored after that. Exact,
-with ties by chunk id, for weights of any sign.
+with ties by chunk id, for weights of any sign; a token of weight 0 is as good as absent.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def build_sparse_index(chunks: DataFrame, vector: str = "sparse_vector", range_r
     # levels of doubles: a few thousand at most, whatever the chunks
     parts = held.groupBy("level").agg(F.ceil(F.count("*") / range_rows).cast("int").alias("_parts"))
     placed = held.join(F.broadcast(parts), "level").select(
-        "level", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int").alias("part"), "chunk_id", F.explode("v").alias("token", "w"))
+        "level", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int").alias("part"), "chunk_id", F.explode("v").alias("token", "w")).where("w <> 0")
     sorted_postings = F.array_sort(F.collect_list(F.struct("chunk_id", F.col("w").cast("double").alias("w"))))
     blocks = placed.groupBy(*RANGE, "token").agg(
         F.max("w").cast("double").alias("top"), F.min("w").cast("double").alias("low"), F.count("*").alias("postings"), sorted_postings.alias("_p"))
@@ -68,7 +68,7 @@ def search_sparse_index(queries: DataFrame, index: DataFrame, k: int = 4, vector
     """Inner-product top ``k`` of every query; only chunks sharing a token. ``probes`` ranges of each query
     are scored to find its threshold."""
     asked = settle(queries.where(F.size(vector) > 0).select(F.col("query_id").cast("bigint").alias("query_id"), F.explode(vector).alias("token", "qw")).withColumn(
-        "qw", F.col("qw").cast("double")))
+        "qw", F.col("qw").cast("double")).where("qw <> 0"))
     heads = index.select(*RANGE, "token", "top", "low", "postings")
     by_level = heads.groupBy("level", "token").agg(F.max("top").alias("top"), F.min("low").alias("low"))
     levels = settle(asked.join(by_level, "token").groupBy("query_id", "level").agg(F.sum(_most()).alias("bound")))

@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tomeworks.operators import dense_index as D
 from tomeworks.operators import embedding as E
 from tomeworks.operators import retrieval as R
 from tomeworks.operators import sparse_index as S
 from tomeworks.operators import understanding as U
 from tomeworks.operators.sampling import first_per_key
-from tomeworks.operators.settle import shared_folder
+from tomeworks.operators.settle import settle, shared_folder
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query
 
@@ -47,6 +48,32 @@ def dense_topk(spark, sf_dir):
     return R.with_fields(hits, e.withColumnRenamed("vec_id", "chunk_id"), {"label": "label"})
 
 
+def dense_index(spark, sf_dir):
+    """Every 20th vector searched for in an inverted file of all, and exactly."""
+    e = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense_vector"))
+    asked = e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    centroids = D.fit_centroids(e)
+    path = f"{shared_folder(spark)}/dense-index-{uuid.uuid4().hex}"
+    D.write_dense_index(D.build_dense_index(e, centroids), path)
+    index = D.read_dense_index(spark, path)
+    return index, settle(D.search_dense_index(asked, index, centroids, K)), R.search_dense(asked, e, K)
+
+
+@query("dense_index_topk")
+def dense_index_topk(spark, sf_dir):
+    """Approximate neighbours, each with its place in the exact ranking where it has one."""
+    _, found, exact = dense_index(spark, sf_dir)
+    return found.join(exact.select("query_id", "chunk_id", F.col("rank").alias("exact_rank")), ["query_id", "chunk_id"], "left")
+
+
+@query("dense_index_recall", """SELECT count(*) AS indexed, count(*) FILTER (WHERE vec_id % 20 = 0) * least(4, count(*)) AS exact_hits, true AS enough
+FROM embeddings WHERE embedding IS NOT NULL""", headline=False)
+def dense_index_recall(spark, sf_dir):
+    """Rows in the index, hits of the exact search, and whether at least nine tenths of them were found."""
+    index, found, exact = dense_index(spark, sf_dir)
+    return D.recall(found, exact).select(F.lit(index.count()).alias("indexed"), "exact_hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 TERMS = """terms AS (
   SELECT kind, id, CAST(('0x' || substr(md5(word), 1, 7)) AS BIGINT) AS token, word, count(*) AS n FROM (
     SELECT 'c' AS kind, doc_id AS id, unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents
