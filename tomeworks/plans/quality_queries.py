@@ -9,6 +9,7 @@ from tomeworks.functions import rendering as R
 from tomeworks.functions import text as X
 from tomeworks.operators import builders as B
 from tomeworks.operators import evaluation as E
+from tomeworks.operators import similarity as N
 from tomeworks.operators import validation as V
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query, quote
@@ -94,6 +95,24 @@ def duplicate_documents(spark, sf_dir):
     return V.duplicate_issues(d, V.message_fingerprint(F.col("text")), "id")
 
 
+@query("holdout_near_leak", f"""WITH w AS (
+  SELECT doc_id AS id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '4' THEN 'holdout' ELSE 'train' END AS split,
+         regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents),
+s AS (SELECT id, split, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i : i + 4], ' ')))) AS shingles
+      FROM w WHERE len(ws) > 0),
+e AS (SELECT id, split, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (
+  SELECT t.id AS train, h.id AS held, count(*) / CAST(any_value(t.n) + any_value(h.n) - count(*) AS DOUBLE) AS similarity
+  FROM e t JOIN e h USING (shingle) WHERE t.split = 'train' AND h.split = 'holdout' GROUP BY t.id, h.id),
+links AS (SELECT held, count(*) AS links, max(similarity) AS nearest FROM pairs WHERE similarity >= 0.8 GROUP BY held)
+SELECT w.id, min(w.id) OVER (PARTITION BY coalesce(s.shingles, [])) AS class_id, coalesce(links, 0) AS links, round(coalesce(nearest, 0), 9) AS nearest
+FROM w LEFT JOIN s USING (id) LEFT JOIN links ON links.held = w.id WHERE w.split = 'holdout'""")
+def holdout_near_leak(spark, sf_dir):
+    """Holdout documents with near copies among the training documents."""
+    d = b.documents(spark, sf_dir).select("doc_id", "text", F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "4", "holdout").otherwise("train").alias("split"))
+    return N.near_leaks(d, F.col("text"), id_="doc_id").withColumn("nearest", F.round("nearest", 9))
+
+
 @query("holdout_leak", """WITH passages AS (
   SELECT 'd' || doc_id AS id, 'train' AS split, trim(unnest(string_split(text, chr(10)))) AS passage FROM documents
   UNION ALL SELECT 'b' || item_id, 'holdout', trim(unnest(string_split(text, chr(10)))) FROM benchmark),
