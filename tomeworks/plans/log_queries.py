@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tomeworks.operators import history as H
 from tomeworks.operators import progress as P
 from tomeworks.operators import understanding as U
+from tomeworks.operators.settle import shared_folder
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query
+from tomeworks.sources.versioned import KeyedTable
 
 
 def chat(spark, sf_dir):
@@ -55,6 +59,22 @@ def history_delete(spark, sf_dir):
         deleted.select("session_id", F.col("deleted").alias("messages"), F.lit(True).alias("deleted")))
 
 
+@query("history_merge", f"""WITH {CHAT}
+SELECT message_id, session_id, role, CASE WHEN role = 'assistant' AND ts = 1 THEN 'edited ' || text ELSE text END AS text, 3 AS versions
+FROM chat WHERE NOT (role = 'user' AND ts = 2)
+UNION ALL SELECT 'new-' || message_id, session_id, role, text, 3 FROM chat WHERE role = 'system'""", headline=False)
+def history_merge(spark, sf_dir):
+    """The chat history as a keyed table: edits and additions in one merge, a delete in another."""
+    base = chat(spark, sf_dir).select("message_id", "session_id", "role", "text", "ts")
+    kept = KeyedTable(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", "message_id", base.schema)
+    kept.create(base, buckets=16)
+    edited = base.where("role = 'assistant' AND ts = 1").withColumn("text", F.concat(F.lit("edited "), "text"))
+    added = base.where("role = 'system'").withColumn("message_id", F.concat(F.lit("new-"), "message_id"))
+    kept.merge(edited.unionByName(added))
+    kept.delete(base.where("role = 'user' AND ts = 2"))
+    return kept.read().select("message_id", "session_id", "role", "text", F.lit(len(kept.versions())).alias("versions"))
+
+
 def task_events(spark, sf_dir):
     """User events as the progress of one task per user and day."""
     e = b.table(spark, sf_dir, "events")
