@@ -98,17 +98,37 @@ def member_filter(hashes: DataFrame, rows: int, hash64: Column, bits_per_row: in
     return _tester(hashes, counted_bits(hashes, rows, 1, bits_per_row, max_filter_bytes))(hash64)
 
 
-def _tester(df: DataFrame, counted: tuple[list[np.ndarray], int]):
+def member_test(hashes: DataFrame, rows: int, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20):
+    """``member_filter`` for use inside another function: called in a task, it gives a function from an
+    array of hashes to booleans."""
+    return _test(hashes, counted_bits(hashes, rows, 1, bits_per_row, max_filter_bytes))
+
+
+def _test(df: DataFrame, counted: tuple[list[np.ndarray], int]):
     segments, n_bits = counted
     sent = df.sparkSession.sparkContext.broadcast(segments)
 
-    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def start():
         held = np.stack(sent.value)
-        for array in batches:
+
+        def test(array: pa.Array) -> np.ndarray:
             keys = W.mix(array.to_numpy(zero_copy_only=False).view(U))
             bits = _bits(keys, n_bits)
             at = _segment_of(keys, len(held))[:, None]
-            yield pa.array(((held[at, bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=1))
+            return ((held[at, bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+        return test
+
+    return start
+
+
+def _tester(df: DataFrame, counted: tuple[list[np.ndarray], int]):
+    start = _test(df, counted)
+
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = start()
+        for array in batches:
+            yield pa.array(each(array))
 
     test.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(test, "boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
 from tomeworks.llm.decontam import gram_hashes, whole
-from tomeworks.llm.exact import member_filter
+from tomeworks.llm.exact import member_filter, member_test
 from tomeworks.llm.graph import components
 from tomeworks.operators.sampling import join_counted
 from tomeworks.operators.settle import settle
@@ -159,12 +159,17 @@ def _features(bands: int, per_band: int):
     return F.arrow_udf(run, "h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def _cell_sets():
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _cell_sets(wanted):
+    """Two hashes and the cells of each text that ``wanted`` (see ``member_test``) lets through by its key hash;
+    null for the others. One function, so that a task has one Python worker."""
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("cells", pa.binary())])
-        for array in batches:
-            out = []
-            for _, offsets, data in W.runs(array):
+        test = wanted()
+        for keys, array in batches:
+            some = test(keys)
+            out: list[dict | None] = [None] * len(array)
+            places = np.flatnonzero(some)
+            for first, offsets, data in W.runs(array.filter(pa.array(some))):
                 n = len(offsets) - 1
                 words, rows = W.word_hashes(offsets, data, W.ALNUM)
                 h1, h2 = text_hashes(words, rows, n)
@@ -172,12 +177,14 @@ def _cell_sets():
                 cell = cell[np.lexsort((cell, at))]
                 cuts = np.concatenate([[0], np.cumsum(W.row_counts(at, n))]) * 8
                 raw = cell.tobytes()
-                out += [{"h1": a, "h2": b, "cells": raw[c:d]} for a, b, c, d in zip(h1.tolist(), h2.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+                for i, a, b, c, d in zip(places[first : first + n].tolist(), h1.tolist(), h2.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    out[i] = {"h1": a, "h2": b, "cells": raw[c:d]}
             yield pa.array(out, type=kind)
         W.release()
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "h1 bigint, h2 bigint, cells binary")
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # non-deterministic, so that no filter on a result evaluates it a second time
+    return F.arrow_udf(run, "h1 bigint, h2 bigint, cells binary").asNondeterministic()
 
 
 def _jaccard():
@@ -394,8 +401,8 @@ def _members(worded: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _fetch(df: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
     """``(node, cells)``: only rows that a bounded filter says may be wanted are read into shingles."""
-    ids = wanted.select(F.xxhash64("_id").alias("h"))
-    maybe = df.where(member_filter(ids, wanted.count(), F.xxhash64(key))).select(F.col(key).alias("_id"), _cell_sets()(text).alias("_c"))
+    test = member_test(wanted.select(F.xxhash64("_id").alias("h")), wanted.count())
+    maybe = df.select(F.col(key).alias("_id"), _cell_sets(test)(F.xxhash64(key), text).alias("_c")).where("_c IS NOT NULL")
     maybe = maybe.select("_id", F.col("_c.h1").alias("_h1"), F.col("_c.h2").alias("_h2"), F.col("_c.cells").alias("cells"))
     match = (maybe["_id"].eqNullSafe(wanted["_id"])) & (maybe["_h1"] == wanted["_h1"]) & (maybe["_h2"] == wanted["_h2"])
     return maybe.join(wanted, match).select("node", "cells").dropDuplicates(["node"])
