@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,21 @@ def test_plans_cover_the_histogram_and_are_close_to_the_bound():
     assert packing.solve(np.zeros(1025, dtype=np.int64), 1024) == []
 
 
+def test_plans_need_no_more_than_best_fit():
+    """And most of their sequences are the linear program's."""
+    rng = np.random.default_rng(5)
+    table = {"uniform": rng.integers(1, 1024, 50_000), "mid": rng.integers(300, 601, 20_000), "short": rng.integers(1, 200, 3000),
+             "log-normal": np.clip(rng.lognormal(5.5, 1, 40_000), 1, 1023).astype(int), "few": rng.integers(1, 1024, 30), "equal": np.full(999, 342)}
+    for name, sizes in table.items():
+        histogram = np.bincount(sizes, minlength=1025)
+        start = time.perf_counter()
+        plan = packing.solve(histogram, 1024)
+        seconds = time.perf_counter() - start
+        n, plain = check_plan(plan, histogram, 1024), sum(t for _, t in packing._best_fit(histogram, 1024))
+        assert n <= plain and seconds < 8, name
+        assert name != "mid" or n <= 0.99 * plain
+
+
 def test_knapsack_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -5,10 +5,9 @@ the first of which may be shorter. Full pieces are sequences of their own. For t
 of lengths, at most ``capacity`` numbers whatever the data, goes to the driver, where the configuration
 linear program is solved: a configuration is a multiset of lengths that fits into one sequence, and as
 few sequences as possible must cover the histogram. Multiplicative weights give each length a price
-that falls as the length is covered; a knapsack dynamic program finds the configuration of the highest
-price; it is used for a part of what its scarcest length still lacks. The fractional solution is rounded
-up, largest first, within what is left, and solved again for the rest until a few pieces per length
-remain, which are packed best fit, longest first.
+that falls as the length is covered; a knapsack dynamic program finds the configurations of the highest
+price; each is used for a part of what its scarcest length still lacks. The fractional solution is rounded
+up within what is left, and what rounding leaves is packed best fit, longest first.
 
 The plan says which ranks of each length go to which sequences, so the pieces only need their rank among
 those of equal length. Ranks come from counts per (length, bucket) and a row number inside the bucket, so
@@ -21,6 +20,7 @@ ones too. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +33,8 @@ from tomeworks.llm.tokens import Encoder, grouped
 from tomeworks.operators.settle import settle
 
 BUCKET_ROWS = 50_000
-#: Texts in one Arrow batch.
-TEXT_BATCH = 2000
+#: Texts in one Arrow batch, and bytes of texts that are encoded together.
+TEXT_BATCH, RUN_BYTES = 500, 1 << 20
 
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -48,7 +48,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", *, end_id: int = 2, cap
         for column in batches:
             sizes: list[int] = []
             piece, start, length, crc, raw = [], [], [], [], []
-            for texts in grouped(column):
+            for texts in grouped(column, RUN_BYTES):
                 counts, ids = encoder.encode(texts)
                 counts = counts + 1
                 ends = np.cumsum(counts)
@@ -83,8 +83,9 @@ def pieces(df: DataFrame, path: str, text: str = "text", *, end_id: int = 2, cap
     return found.select(*kept, *[F.col(f"_piece.{c}").alias(c) for c in added[: 5 if with_ids else 4]])
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> list[int]:
-    """The multiset of lengths of the highest total price that fits; ``prices`` by length."""
+def _best_values(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """The knapsack program: for each capacity the highest total price of a multiset of lengths that fits,
+    and the length added last (0 where a unit stays empty)."""
     best = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, dtype=np.int64)
     value = np.full(capacity + 1, -np.inf)
@@ -96,58 +97,87 @@ def knapsack(prices: np.ndarray, capacity: int) -> list[int]:
             best[c], last[c] = total[i], i + 1
         else:
             best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
-        else:
-            c -= 1
+    return best, last.tolist()
+
+
+def _lengths_of(last: list[int], capacity: int) -> list[int]:
+    out = []
+    while capacity > 0:
+        if last[capacity]:
+            out.append(last[capacity])
+        capacity -= last[capacity] or 1
     return out
 
 
-def solve(histogram: np.ndarray, capacity: int, step: float = 0.5, rate: float = 1.0, rounds: int = 5) -> list[tuple[tuple[int, ...], int]]:
+def knapsack(prices: np.ndarray, capacity: int) -> list[int]:
+    """The multiset of lengths of the highest total price that fits; ``prices`` by length."""
+    return _lengths_of(_best_values(prices, capacity)[1], capacity)
+
+
+def solve(histogram: np.ndarray, capacity: int, rounds: int = 250, step: float = 0.25) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how often each is used; every piece of ``histogram`` (by length) is in one.
 
-    Where plain best fit needs fewer sequences, as it may for few pieces, its configurations are taken."""
+    The solution of the linear program is rounded up in the order in which it was found, within what is
+    left. What its last steps would still cover, when few lengths are open and configurations begin to leave room,
+    is packed better one by one: of some places to stop, that with the fewest sequences is taken, and
+    of equal ones the last.
+    """
+    amounts = list(_fractional(histogram, capacity, rounds, step).items())
     left = histogram.astype(np.int64).copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
-    for _ in range(rounds):
-        lengths = np.flatnonzero(left)
-        if left.sum() <= 2 * len(lengths):
-            break
-        amounts = _fractional(left, capacity, step, rate)
-        for lengths_used, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-            used, copies = np.unique(lengths_used, return_counts=True)
-            times = int(min(np.ceil(amount), (left[used] // copies).min()))
-            if times > 0:
-                left[used] -= times * copies
-                plan.append((lengths_used, times))
-    plan += _best_fit(left, capacity)
-    plain = _best_fit(histogram, capacity)
-    return min(plan, plain, key=lambda p: sum(times for _, times in p))
-
-
-def _fractional(left: np.ndarray, capacity: int, step: float, rate: float) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights on the covering program of one histogram."""
-    present = np.flatnonzero(left)
-    prices = np.zeros(capacity + 1)
-    prices[present] = (present / capacity) ** 1.2  # a little more than the share of a sequence: long pieces are harder to place
-    covered = np.zeros(capacity + 1)
+    found: list[tuple[tuple[int, ...], int]] = []
+    stops = {-(-len(amounts) * part // 16) for part in (1, 2, 4, 8, 12, 16)}
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for i, (lengths, amount) in enumerate(amounts, 1):
+        used, copies = np.unique(lengths, return_counts=True)
+        times = int(min(np.ceil(amount - 1e-9), (left[used] // copies).min()))
+        if times > 0:
+            left[used] -= times * copies
+            found.append((lengths, times))
+        if i in stops:
+            plan = found + _best_fit(left, capacity)
+            if best is None or sum(t for _, t in plan) <= sum(t for _, t in best):
+                best = plan
+    return best or []
+
+
+def _fractional(histogram: np.ndarray, capacity: int, rounds: int, step: float, rate: float = 0.3, close: float = 0.002) -> dict[tuple[int, ...], float]:
+    """Multiplicative weights on the covering program: configurations with amounts, in the order found.
+
+    The price of a length is a little more than its share of a sequence, since long pieces are harder to
+    place, times a weight that falls with the share covered. One knapsack program gives the best
+    configuration with each length; all whose price is as good as the best, but for ``close``, are used in turn, each for
+    at most ``step`` of any of its lengths in a round.
+    """
+    present = np.flatnonzero(histogram)
+    total = np.maximum(histogram.astype(np.float64), 1e-9)
+    share = np.arange(capacity + 1) / capacity
+    bulk = (histogram * share)[present]
+    covered = np.zeros(capacity + 1)  # as a part of all
     amounts: dict[tuple[int, ...], float] = {}
-    for _ in range(max(8, int(len(present) / step))):
-        if (covered[present] >= left[present]).all():
-            break
-        choice = tuple(sorted(knapsack(prices, capacity), reverse=True))
-        if not choice:
+    for _ in range(rounds if len(present) else 0):
+        mean = float((np.minimum(covered[present], 1.0) * bulk).sum() / bulk.sum())
+        prices = np.zeros(capacity + 1)
+        prices[present] = share[present] ** 1.1 * np.exp(rate * (mean - covered[present]))
+        prices[covered >= 1 - 1e-9] = 0.0
+        open_ = np.flatnonzero(prices)
+        if mean > 0.999 or not len(open_):
             break
-        used, copies = np.unique(choice, return_counts=True)
-        amount = float((left[used] / copies).min()) * step
-        amounts[choice] = amounts.get(choice, 0.0) + amount
-        covered[used] += amount * copies
-        # the price of a length falls with the share of it that was just covered
-        prices[used] *= np.exp(-rate * amount * copies / left[used])
-        prices[used[covered[used] >= left[used]]] = 0.0
+        best, last = _best_values(prices, capacity)
+        value = prices[open_] + best[capacity - open_]
+        used = np.zeros(capacity + 1)
+        for i in np.argsort(-value, kind="stable"):
+            if value[i] < (1 - close) * best[capacity]:
+                break
+            length = int(open_[i])
+            choice = tuple(sorted([length, *_lengths_of(last, capacity - length)], reverse=True))
+            copies = Counter(choice)
+            amount = min(total[n] * min(1 - covered[n], step - used[n]) / m for n, m in copies.items())
+            if amount <= 1e-9:
+                continue
+            amounts[choice] = amounts.get(choice, 0.0) + amount
+            for n, m in copies.items():
+                covered[n] += amount * m / total[n]
+                used[n] += amount * m / total[n]
     return amounts
 
 
