@@ -1,3 +1,5 @@
+import time
+
 from tomeworks.llm import extract
 
 
@@ -22,6 +24,39 @@ def test_noise_is_left_out():
         assert text_of(page(NOISE, inner, tail, wrap)) == WANT, wrap
 
 
+def test_nothing_of_an_article_is_lost():
+    body = "Body text that is long. " * 40
+    rows = [f"<p>{body}</p>"]
+    for inner, want in (
+        (f"<h1>HEADLINE</h1><p>Lead text.</p><div class='body'>{rows[0]}</div>", f"HEADLINE Lead text. {body}"),
+        (f"<h1>T</h1><section class='legal-analysis'><p>Law.</p></section>{rows[0]}<section class='share-prices'>Up.</section>", f"T Law. {body} Up."),
+        (f"<h1>T</h1>{rows[0]}<p id='side-effects'>Sleep.</p><h2 class='discussion'>Why</h2><p class='related-work'>As before.</p>", f"T {body} Sleep. Why As before."),
+        (f"<h1>T</h1>{rows[0]}<h2>References</h2><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>", f"T {body} References First source Second source"),
+        (f"<h1>T</h1><section><section class='deep'>{rows[0]}</section><section class='other'><p>More</p></section></section>", f"T {body} More"),
+    ):
+        want = " ".join(want.split())
+        for wrap in ("<article>{}</article>", "<main>{}</main>", "<main><article class='a b'>{}</article><div class=related-posts><p>Other</p></div></main>"):
+            html = f"<html><body>{NOISE}{wrap.format(inner)}<div class='site-footer'>All rights</div></body></html>"
+            assert text_of(html) == want, (wrap, inner[:60])
+    boxes = ("<div class='share-buttons'>Share</div><div class='comments-area'><p>First!</p></div><div class='ad-slot'>Buy</div><div id='disqus_thread'>x</div>"
+             "<ul class='related-posts'><li>Other</li></ul><section class='newsletter-signup'>Join</section><div class='notice'>Old browser</div>")
+    assert text_of(f"<body><article><h1>T</h1>{rows[0]}{boxes}</article></body>") == " ".join(f"T {body}".split())
+
+
+def test_headings_beside_the_text_belong_to_it():
+    body = "Body text that is long. " * 40
+    page = f"<body><div class='wrap'><div class='post'><h1>HEADLINE</h1><p>Lead text.</p><div class='body'><p>{body}</p></div></div><div class='left-sidebar'><p>Aside</p></div></div></body>"
+    assert text_of(page) == " ".join(f"HEADLINE Lead text. {body}".split())
+
+
+def test_open_elements_do_not_slow_down_a_page():
+    start = time.perf_counter()
+    assert len(text_of("<article>" + "<span>word " * 50_000).split()) == 50_000
+    assert len(text_of("<article><b>" + "<td><span>word </b>" * 20_000).split()) == 20_000
+    assert len(text_of("<article><p>" + "<ul><i>word " * 20_000).split()) == 20_000
+    assert time.perf_counter() - start < 5
+
+
 def test_broken_pages():
     assert text_of("") == "" and text_of(None) == "" and text_of("<nav>x</nav><script>y") == ""
     assert text_of(page()[:-17]) == WANT

@@ -2,14 +2,17 @@
 
 Every page is read into a tree of open elements by a scanner of tags, character data, comments and raw
 text. Each container is scored: the text of the blocks right under it, less what stands in links, with
-half of it passed on to its parent and a quarter to the parent of that. A container is named by its
+half of it passed on to its parent and a quarter to the parent of that. The best one stands for the article it is
+in, or for the nearest ancestor that adds little but the heading it lacks. A container is named by its
 generalised path, the tags from the root down with their classes, digits dropped. Pages vote: each gives
-the weight of its best container to that container's path, and Spark adds the votes up per host. Then
+the weight of its best container to the path found so, and Spark adds the votes up per host. Then
 every page is read again and the text of the containers at the host's winning path is taken; a page
 without that path gives its own best container.
 
 What stands in menus, headers and footers outside articles, sidebars, notices, adverts, forms, comments
-of readers, scripts and styles is no text, by tag or by a word of the class, id or role. Character
+of readers, scripts and styles is no text, by tag or by the words of a class, id or role. Inside an article, and
+for words that name subjects too ("legal", "share"), a whole name must be that of such a box: "share-buttons" is,
+"share-prices" is not. Lists of links are menus outside articles only. Character
 references are decoded, white space inside a block becomes one space, and blocks are joined by one space.
 
 Edge cases: a null or empty page, or one without any text, gives the empty text. A null url, or one
@@ -20,7 +23,6 @@ stray and cut-off tags are closed where HTML would close them or at the end.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -49,8 +51,22 @@ NOISE = frozenset(
     "pagination pager sidebar sidebars aside side rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies "
     "disqus discussion search searchbox complementary contentinfo skip hidden copyright legal tags".split())
-#: Of those, what may also name the wrapper of an article's own heading.
-HEADER = frozenset("header head masthead".split())
+#: Of those, words that name a subject as well: they count only where a whole class or id is made of such words.
+SUBJECTS = frozenset(
+    "ad ads alert banner comment comments discussion foot head hidden legal menu menus modal notice notices overlay pager popup promotion rail related reply "
+    "replies respond search share sharing side skip social subscription tags widget widgets".split())
+#: What boxes inside an article are for: advertising, readers' comments, sharing and the like.
+BOXES = frozenset(
+    "ad ads advert adverts advertisement advertising aside breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr hidden login menu modal "
+    "nav navbar navigation newsletter notice notices overlay pager pagination popup promo related recommended recommendations replies reply respond share sharing sidebar signup social "
+    "sponsor sponsored sponsors subscribe subscription tags widget widgets".split())
+#: What the name of such a box may hold besides.
+PARTS = frozenset(
+    "area articles bar block bottom box button buttons container content count first form global group holder icons inner item items js large left link links list main media "
+    "mobile outer page panel placeholder post posts primary right row second secondary section site slot small stories sub text thread title top unit wrap wrapper".split())
+#: An ancestor is taken for its heading if it adds at most this share of the text.
+HEADING_SHARE = 0.5
+HEADINGS = frozenset("h1 h2 h3".split())
 #: Elements that hold menu entries when their text is all links.
 LISTED = frozenset("li ul ol div td section".split())
 #: Containers nested deeper share their parent's path.
@@ -58,50 +74,64 @@ MAX_DEPTH = 100
 _WORD = re.compile(r"[a-z]+")
 
 
-def _attributes(text: str) -> tuple[str, frozenset[str], bool]:
-    """Classes (digits dropped), the words of class, id and role, and whether the element is hidden."""
+def _attributes(text: str) -> tuple[str, list[frozenset[str]], bool]:
+    """Classes (digits dropped), the words of every class, id and role, and whether the element is hidden."""
     if not text or text.isspace():
-        return "", frozenset(), False
-    classes, words, hidden = "", set(), False
+        return "", [], False
+    classes, names, hidden = "", [], False
     for m in _NAMES.finditer(text):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden":
             hidden |= name == "hidden" or value.lower() == "true"
             continue
-        words.update(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+        names += [frozenset(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", own).lower())) for own in value.split()]
         if name == "class":
             classes = ".".join(sorted({re.sub(r"[0-9]+", "", c) for c in value.lower().split()} - {""}))
-    return classes, frozenset(words), hidden
+    return classes, names, hidden
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "parent", "outside", "container", "score", "block")
+    __slots__ = ("tag", "path", "depth", "parent", "outside", "container", "score", "block", "article", "text", "heading")
 
     def __init__(self, tag: str, path: str, parent: Element | None, outside: bool, container: Element | None) -> None:
         self.tag, self.path, self.parent, self.outside, self.container = tag, path, parent, outside, container
         self.score, self.block, self.depth = 0.0, False, 0
+        self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.text, self.heading = 0, False  # of a container: characters under it, and whether a heading is
 
 
-def _is_outside(tag: str, words: frozenset[str], hidden: bool, parent: Element) -> bool:
+def _is_outside(tag: str, names: list[frozenset[str]], hidden: bool, parent: Element) -> bool:
     if parent.outside or hidden or tag in OUTSIDE:
         return True
-    in_article = "article" in parent.path
     if tag == "header":
-        return not in_article
+        return not parent.article
     if tag in ("html", "body", "main", "article"):
         return False
-    found = words & NOISE
-    return bool(found - HEADER if in_article else found)
+    for words in names:
+        found = words & (BOXES if parent.article else NOISE)
+        # inside an article, and with words that may name a subject, the whole name must be that of a box
+        if found and (not parent.article and found - SUBJECTS or words <= (BOXES | PARTS if parent.article else NOISE | PARTS)):
+            return True
+    return False
+
+
+#: Elements that a start tag may close or that stop it from closing others.
+_STRUCTURE = CONTAINERS | frozenset("p li dt dd tr td th option ul ol dl table".split())
+#: Ends of other elements do not reach beyond these.
+_BARRIERS = frozenset("td th table article main".split())
+_THROUGH = frozenset("table tr body html article main".split())
 
 
 def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     """The page's blocks, each with the container it stands in and whether it is an entry of a list of
-    links, and all containers."""
+    links, and all containers. A tag costs the same however many elements are open."""
     root = Element("html", "html", None, False, None)
     root.container, root.block = root, True
     stack, containers = [root], [root]
     blocks: list[tuple[Element, str, bool]] = []
-    opened: Counter[str] = Counter()
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
+    structure: list[int] = []
+    barriers: list[int] = []
     parts: list[str] = []
     linked = 0
     links = 0  # open ones
@@ -111,8 +141,11 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1]
-            blocks.append((top.container, text, top.tag in LISTED and 10 * linked >= 9 * len(text)))
+            blocks.append((top.container, text, top.tag in LISTED and not top.article and 10 * linked >= 9 * len(text)))
             own = len(text) - linked
+            top.container.text += len(text)
+            if top.tag in HEADINGS:
+                top.container.heading = True
             if own > 0:
                 step, share = top.container, 1.0
                 while step is not None and share >= 0.25:
@@ -125,9 +158,13 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
         while len(stack) > upto:
             if stack[-1].block:
                 end_block()
-            if stack[-1].tag == "a":
+            done = stack.pop()
+            if done.tag == "a":
                 links -= 1
-            opened[stack.pop().tag] -= 1
+            open_at[done.tag].pop()
+            for places in (structure, barriers):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     at, n = 0, len(html)
     while at < n:
@@ -145,32 +182,34 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if not opened[tag]:
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in ("td", "th", "table", "article", "main") and tag not in ("table", "tr", "body", "html", "article", "main"):
-                    break
+            if open_at.get(tag):
+                place = open_at[tag][-1]
+                # a cell, a table or an article is not ended from inside by the end of what is around it
+                if tag in _THROUGH or not barriers or barriers[-1] <= place:
+                    close(place)
             continue
         if tag == "br" or tag == "hr":
             parts.append(" ")
             if tag == "br":
                 continue
-        if tag in VOID or tag in ("html", "body") and any(e.tag == tag and e.parent is not None for e in stack):
-            continue
-        if tag == "html":
+        if tag in VOID or tag == "html" or tag == "body" and open_at.get(tag):
             continue
         shut, scope = CLOSES.get(tag, frozenset()), SCOPES.get(tag, frozenset())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope or stack[i].tag in CONTAINERS and tag not in ("tr", "td", "th") or stack[i].tag == "table":
-                break
-            if stack[i].tag in shut or tag in CLOSES_P and stack[i].tag == "p":
-                close(i)
+        if any(open_at.get(t) for t in shut) or tag in CLOSES_P and open_at.get("p"):
+            k = len(structure)
+            while k:
+                k = min(k, len(structure)) - 1  # closing shortens it
+                if k < 0:
+                    break
+                i = structure[k]
+                own = stack[i].tag
+                if own in scope or own in CONTAINERS and tag not in ("tr", "td", "th") or own == "table":
+                    break
+                if own in shut or tag in CLOSES_P and own == "p":
+                    close(i)
         parent = stack[-1]
-        classes, words, hidden = _attributes(m[3])
-        outside = _is_outside(tag, words, hidden, parent)
+        classes, names, hidden = _attributes(m[3])
+        outside = _is_outside(tag, names, hidden, parent)
         block = tag in BLOCKS or outside and not parent.outside
         if block and not parent.outside:
             end_block()
@@ -190,13 +229,51 @@ def read(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
             continue
         if tag == "a":
             links += 1
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _STRUCTURE:
+            structure.append(len(stack))
+        if tag in _BARRIERS:
+            barriers.append(len(stack))
         stack.append(element)
-        opened[tag] += 1
     close(1)
     end_block()
     return blocks, containers
 
 
+def _around(container: Element) -> Element | None:
+    return container.parent.container if container.parent is not None else None
+
+
+def whole_article(containers: list[Element]) -> Element:
+    """The best container, or what is around it and belongs to the same text: the article it stands in,
+    else the nearest ancestor with the heading that it lacks."""
+    chosen = best(containers)
+    step: Element | None = chosen
+    while step is not None and step.article:
+        if step.tag == "article":
+            return step
+        step = _around(step)
+    step = chosen
+    while step is not None and step.article:
+        if step.tag == "main":
+            return step
+        step = _around(step)
+    # containers come after those around them, so that this adds up from the inside
+    text, heading = {id(e): e.text for e in containers}, {id(e): e.heading for e in containers}
+    for e in reversed(containers):
+        around = _around(e)
+        if around is not None:
+            text[id(around)] += text[id(e)]
+            heading[id(around)] |= heading[id(e)]
+    step = chosen
+    while not heading[id(chosen)] and (step := _around(step)) is not None:
+        if text[id(step)] > (1 + HEADING_SHARE) * text[id(chosen)]:
+            break
+        if step.heading:
+            return step
+    return chosen
+
+
 def best(containers: list[Element]) -> Element:
     """The container of the highest score, the innermost and first of equal ones. Articles come before
     what is around them."""
@@ -208,8 +285,8 @@ def candidate(html: str | None) -> tuple[str, float]:
     if not html:
         return "", 0.0
     _, containers = read(html)
-    chosen = best(containers)
-    return (chosen.path, chosen.score) if chosen.score > 0 else ("", 0.0)
+    weight = best(containers).score
+    return (whole_article(containers).path, weight) if weight > 0 else ("", 0.0)
 
 
 def extract(html: str | None, path: str | None) -> str:
@@ -219,7 +296,7 @@ def extract(html: str | None, path: str | None) -> str:
     blocks, containers = read(html)
     chosen = {id(e) for e in containers if e.path == path}
     if not chosen:
-        chosen = {id(best(containers))}
+        chosen = {id(whole_article(containers))}
     texts = []
     for container, text, link in blocks:
         step = container
