@@ -63,3 +63,11 @@ def test_rule_and_empty_tables(spark):
     assert dirty == want
     assert decontam.contamination(df.limit(0), table).count() == 0
     assert {(r.n_hit, len(r["items"])) for r in decontam.contamination(df, table.limit(0)).collect()} == {(0, 0)}
+
+
+def test_items_without_id_are_searched_for(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, f"before {text} after"), (2, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, None), (4, "word3 word4")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontam.contamination(df, bench).collect()}
+    assert got == {1: (30, ["4"]), 2: (0, [])}

@@ -14,7 +14,7 @@ blocks are further map-only passes over the documents. Items of fewer than ``spa
 by the hash of all their words with the document windows of that length.
 
 Edge cases: null or wordless documents and items have no words and no hits. Repeated item ids count
-once. Documents are handled row by row, whatever their ids.
+once. An item without id is searched for like any other; only the list of items lacks it. Documents are handled row by row, whatever their ids.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def whole(rows: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """One block of the benchmark, ready for look-ups."""
 
-    ids: list[str]
+    ids: list[str | None]
     words: np.ndarray
     starts: np.ndarray  # first word of each item, and the end
     table: W.HashTable
@@ -74,7 +74,7 @@ class Items:
     short: dict[int, tuple[W.HashTable, list[list[int]]]]
 
 
-def index_items(ids: list[str], texts: pa.Array, span: int, k: int) -> Items:
+def index_items(ids: list[str | None], texts: pa.Array, span: int, k: int) -> Items:
     parts, rows = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)]
     for row, offsets, data in W.runs(texts):
         hashes, at = W.word_hashes(offsets, data, W.ALNUM)
@@ -171,7 +171,9 @@ def _search(items: Items, array: pa.Array, span: int, k: int) -> pa.Array:
         hit, pairs = find_hits(items, words, rows, span, k)
         owners: dict[int, set[str]] = {}
         for row, item in pairs:
-            owners.setdefault(row, set()).add(items.ids[item])
+            named = owners.setdefault(row, set())
+            if items.ids[item] is not None:
+                named.add(items.ids[item])
         starts = np.concatenate([[0], np.cumsum(counts)])
         out += [{"n_words": c, "spans": _spans(hit[starts[i] : starts[i + 1]]) if i in owners else [], "items": sorted(owners.get(i, ()))}
                 for i, c in enumerate(counts.tolist())]
@@ -195,7 +197,7 @@ def contamination(
     """``df`` with ``n_words``, ``n_hit``, ``spans`` (word numbers, end exclusive) and ``items`` (ids as
     sorted strings) for every row; columns of these names are replaced."""
     spark = df.sparkSession
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
+    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // (2 * block_words)))  # a word and its separator take two bytes at least
     added = ["n_words", "n_hit", "spans", "items"]
