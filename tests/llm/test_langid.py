@@ -57,3 +57,9 @@ def test_nulls_letterless_ties_and_empty_tables(spark):
     empty = df.limit(0)
     assert langid.identify(model, empty).count() == 0
     assert {r.lang_pred for r in langid.identify(langid.train(empty), asked).collect()} == {"und"}
+
+
+def test_no_language_is_lost_where_ids_or_texts_repeat(spark):
+    rows = [(None, f"guten tag nummer {i}", "de") for i in range(5000)] + [(7, "buenos dias", "es")] * 5000 + [(1, "bonjour tout le monde", "fr")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert model.languages == ["de", "es", "fr"]

@@ -16,7 +16,7 @@ byte) are looked up at once; only positions whose window was never seen go on to
 
 Edge cases: null texts and texts without a letter get ``und`` with score 0, and so does everything
 if no labelled row exists. Equal code lengths go to the first language by name. Null labels and
-null texts are never learned from.
+null texts are never learned from. A language is never lost where ids or texts repeat.
 """
 
 from __future__ import annotations
@@ -138,13 +138,15 @@ def train(
     df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, order: int = 4, sample_rows: int = 1000,
     sample_bytes: int = 1_500_000,
 ) -> Model:
-    """Learn from the labelled rows of ``df``; ``key`` only seeds the choice of the sample."""
+    """Learn from the labelled rows of ``df``; ``key`` and text only seed the choice of the sample."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # a language's share of the hash range holds twice the sample on average, so that few rows are ranked
-    shares = settle(labelled.groupBy(F.col(lang).alias("lang")).agg((F.lit(2.0 * sample_rows) / F.count("*")).alias("share")))
-    near = (F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
-    sample = labelled.select(F.col(lang).alias("lang"), F.col(key), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).join(
-        shares, "lang").where(near).drop(key, "share")
+    # and the rows of its least hash are always there, however often ids or texts repeat
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(1)), F.lit(1 << 40))
+    rows = labelled.select(F.col(lang).alias("lang"), place.alias("place"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    shares = settle(rows.groupBy("lang").agg((F.lit(2.0 * sample_rows) / F.count("*")).alias("share"), F.min("place").alias("least")))
+    near = (F.col("place") / float(1 << 40) < F.col("share")) | (F.col("place") == F.col("least"))
+    sample = rows.join(shares, "lang").where(near).drop("place", "share", "least")
     sample = first_per_key(sample, ["lang"], [F.col("h"), F.col("text")], sample_rows).drop("_rank")
 
     def count(table: pa.Table) -> pa.Table:
