@@ -32,6 +32,20 @@ def test_stage1_rules(spark, change, code):
     assert code in [r["code"] for r in V.validate_samples(samples(spark, change)).collect()]
 
 
+@pytest.mark.parametrize("change, code, detail", [
+    ({"type": "multi_chunk"}, "few_contexts", "1"),
+    ({"contexts": [{"cid": "C1", "source": "s", "text": "  short  "}]}, "short_context", "C1"),
+    ({"contexts": [{"cid": "C1", "source": "s", "text": None}]}, "short_context", "C1"),
+    ({"answer": "\u3000\n"}, "empty_answer", ""),
+])
+def test_strict_rules(spark, change, code, detail):
+    long = [{"cid": "C1", "source": "s", "text": "x" * 20}]
+    rows = samples(spark, {"contexts": long, **change})
+    assert (code, detail) in [(r["code"], r["detail"]) for r in V.validate_samples(rows, strict=True).collect()]
+    assert code not in [r["code"] for r in V.validate_samples(rows).collect()]
+    assert V.validate_samples(samples(spark, {"contexts": long, "answer": "220 [C1]"}), strict=True).count() == 0
+
+
 def test_good_samples_pass(spark):
     good = samples(spark, {}, {"type": "unanswerable", "answer": "没有提供 220"}, {"type": "conflicting", "answer": "不一致 [C1] [C1]", "contexts": CTX})
     assert {r["code"] for r in V.validate_samples(good).collect()} == {"few_conflict_citations"}

@@ -46,3 +46,23 @@ def test_join_counted_keeps_every_row(rows, spark):
     for per_task in (100, 1000, 10_000):
         joined = S.join_counted(rows, names, "type", "n", F.col("id"), per_task)
         assert joined.count() == 3000 and joined.agg(F.sum("v")).first()[0] == 2400 + 1200
+
+
+def test_review_quotas_by_largest_remainders(spark):
+    counts = spark.createDataFrame([("a", 55), ("b", 33), ("c", 11), ("d", 1)], "type string, rows bigint")
+    got = {r["type"]: r["quota"] for r in S.review_quotas(counts, ["type"], 0.1).collect()}
+    assert got == {"a": 5, "b": 3, "c": 1, "d": 1}  # ten in all, one of the smallest
+    got = {r["type"]: r["quota"] for r in S.review_quotas(counts, ["type"], 0.14).collect()}
+    assert got == {"a": 8, "b": 4, "c": 1, "d": 1}
+    assert {r["quota"] for r in S.review_quotas(counts.where("type = 'd'"), ["type"], 0.5).collect()} == {1}
+
+
+def test_review_sample_sees_every_stratum(spark):
+    rows = [(i, "a" if i % 10 else "b", None if i % 3 else "x", float(i % 10 and 1 or i)) for i in range(400)]
+    df = S.with_order(spark.createDataFrame(rows, "id bigint, type string, subtype string, n double"), 1, "review", F.col("id"))
+    picked = S.review_sample(df, "ord").collect()
+    assert {(r["type"], r["subtype"]) for r in picked} == {(r[1], r[2]) for r in rows} and len(picked) == 40
+    assert all(r["rank"] <= r["quota"] <= r["stratum_rows"] for r in picked)
+    spread = S.review_sample(df, "ord", spread=F.col("n")).groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in spread}["b"] > 30  # only b varies
+    assert S.review_sample(df.limit(0), "ord").count() == 0

@@ -103,3 +103,42 @@ def attach_ids(df: DataFrame, prefix: Column, order: str, strata: Sequence[str]
 
 def with_order(df: DataFrame, seed: int, purpose: str, key: Column, name: str = "ord") -> DataFrame:
     return df.withColumn(name, rnd(seed, purpose, key))
+
+
+def review_quotas(counts: DataFrame, strata: Sequence[str], frac: float, weight: str = "rows") -> DataFrame:
+    """``quota`` for each stratum of ``counts(strata, rows)``: ``ceil(all rows * frac)`` rows in all, dealt in
+    proportion to ``weight`` by largest remainders, at least one and at most all rows of a stratum.
+
+    The sum is larger where many strata have less than one row due, smaller where weights ask for more
+    rows than a stratum has.
+    """
+    every = Window.partitionBy(F.lit(0))  # one row a stratum
+    wanted = F.ceil(F.round(F.sum("rows").over(every) * F.lit(frac), 9))
+    total = F.sum(weight).over(every)
+    share = F.when(total > 0, F.col(weight) / total).otherwise(F.col("rows") / F.sum("rows").over(every))
+    due = counts.withColumn("_wanted", wanted).withColumn("_due", F.round(F.col("_wanted") * share, 9))
+    floored = due.withColumn("_base", F.least(F.greatest(F.floor("_due"), F.lit(1)), F.col("rows")))
+    rest = (F.col("_due") - F.floor("_due")) * (F.col("_due") >= 1).cast("int")
+    ranked = floored.withColumn("_open", F.col("_wanted") - F.sum("_base").over(every)).withColumn(
+        "_place", F.row_number().over(every.orderBy(rest.desc(), *[F.asc(s) for s in strata])))
+    extra = F.when(F.col("_place") <= F.col("_open"), 1).otherwise(0)
+    return ranked.select(*strata, "rows", F.least(F.col("_base") + extra, F.col("rows")).cast("bigint").alias("quota"))
+
+
+def review_sample(samples: DataFrame, order: str, strata: Sequence[str] = ("type", "subtype"), frac: float = 0.10,
+                  spread: Column | None = None) -> DataFrame:
+    """Rows for people to check: of every stratum its quota (``review_quotas``), the first by the hash ``order``.
+
+    With ``spread``, a number of each row, strata where it varies more get more rows (rows times
+    standard deviation). NULL is a stratum of its own. Columns ``rank``, ``stratum_rows`` and ``quota`` are added.
+    """
+    if not 0 < frac <= 1:
+        raise ValueError("frac must be above 0 and at most 1")
+    keyed = samples.withColumn("_stratum", F.to_json(F.struct(*[F.coalesce(F.col(s).cast("string"), F.lit("\x00")).alias(s) for s in strata])))
+    if spread is not None:
+        keyed = keyed.withColumn("_spread", spread.cast("double"))
+    weight = F.count("*").cast("double") if spread is None else F.count("*") * F.coalesce(F.stddev_pop("_spread"), F.lit(0.0))
+    counts = keyed.groupBy("_stratum").agg(F.count("*").alias("rows"), weight.alias("_weight"))
+    quotas = review_quotas(counts, ["_stratum"], frac, "_weight").select("_stratum", "quota")
+    ranked = rank_in_hash_order(keyed, order, ["_stratum"])
+    return ranked.join(quotas, "_stratum").where(F.col("rank") <= F.col("quota")).drop("_stratum", "_spread")

@@ -17,6 +17,7 @@ from tomeworks.operators.sampling import join_counted
 from tomeworks.operators.settle import settle
 
 MAX_CHARS = 3000
+MIN_CONTEXT = 20
 ISSUE = "struct<level:string,code:string,detail:string>"
 
 
@@ -37,9 +38,13 @@ def _joined(values: Column) -> Column:
 
 def validate_samples(
     samples: DataFrame, max_chars: int = MAX_CHARS, cues: Sequence[str] = K.REFUSAL_CUES,
-    conflict_cues: Sequence[str] = K.CONFLICT_CUES,
+    conflict_cues: Sequence[str] = K.CONFLICT_CUES, strict: bool = False, min_context: int = MIN_CONTEXT,
 ) -> DataFrame:
-    """Issues of stage-1 samples as ``id, split, level, code, detail``. One pass, no shuffle."""
+    """Issues of stage-1 samples as ``id, split, level, code, detail``. One pass, no shuffle.
+
+    ``strict`` adds three errors: several-chunk samples of fewer than two contexts, contexts that are blank
+    or shorter than ``min_context`` characters, and blank answers.
+    """
     kind, answer = F.col("type"), text_or_empty(F.col("answer"))
     contexts = F.coalesce("contexts", F.array().cast("array<struct<cid:string,source:string,text:string>>"))
     offered = F.transform(contexts, lambda c: text_or_empty(c["cid"]))
@@ -63,6 +68,13 @@ def validate_samples(
         _issue((kind == "unanswerable") & (F.size(extra) > 0), "warn", "extra_numbers", _joined(extra)),
         _issue(length > max_chars, "warn", "too_long", length),
     ]
+    if strict:
+        short = F.filter(contexts, lambda c: F.length(strip(text_or_empty(c["text"]))) < min_context)
+        found += [
+            _issue((kind == "multi_chunk") & (F.size(contexts) < 2), "error", "few_contexts", F.size(contexts)),
+            _issue(F.size(short) > 0, "error", "short_context", _joined(F.transform(short, lambda c: text_or_empty(c["cid"])))),
+            _issue(strip(answer) == "", "error", "empty_answer"),
+        ]
     return _issues(samples, found, "id", "split")
 
 

@@ -9,6 +9,7 @@ from tomeworks.functions import rendering as R
 from tomeworks.functions import text as X
 from tomeworks.operators import builders as B
 from tomeworks.operators import evaluation as E
+from tomeworks.operators import sampling as P
 from tomeworks.operators import similarity as N
 from tomeworks.operators import validation as V
 from tomeworks.plans import base as b
@@ -62,6 +63,27 @@ def validate_samples(spark, sf_dir):
     return issues1(spark, sf_dir)
 
 
+_STRICT = f"""{b.SAMPLES}, strict_samples AS (
+  SELECT * REPLACE (CASE WHEN length(question) % 5 = 0 THEN '  ' ELSE answer END AS answer,
+                    list_transform(texts, lambda t: CASE WHEN length(t) % 4 = 0 THEN ' ' || substr(t, 1, 15) ELSE t END) AS texts) FROM samples)"""
+_SHORT = f"list_filter(list_transform(texts, lambda t, i: CASE WHEN length({b.sql_strip('t')}) < 20 THEN 'C' || i END), lambda c: c IS NOT NULL)"
+
+
+@query("validate_strict", f"""WITH {_STRICT}
+SELECT id, split, code, detail FROM ({_union([
+    ("type = 'multi_chunk' AND len(texts) < 2", "error", "few_contexts", "CAST(len(texts) AS VARCHAR)"),
+    (f"len({_SHORT}) > 0", "error", "short_context", f"array_to_string(list_sort({_SHORT}), ',')"),
+    (f"{b.sql_strip('answer')} = ''", "error", "empty_answer", "''"),
+], 'strict_samples')})""", headline=False)
+def validate_strict(spark, sf_dir):
+    """The rules that only ``strict`` adds, over samples with blank answers and short contexts."""
+    blank = F.length("question") % 5 == 0
+    cut = F.transform("contexts", lambda c: c.withField("text", F.when(F.length(c["text"]) % 4 == 0, F.concat(F.lit(" "), F.substring(c["text"], 1, 15))).otherwise(c["text"])))
+    made = b.samples(spark, sf_dir).withColumn("answer", F.when(blank, "  ").otherwise(F.col("answer"))).withColumn("contexts", cut)
+    found = V.validate_samples(made, MAX, b.DATA_CUES, b.DATA_CONFLICT_CUES, strict=True)
+    return found.where(F.col("code").isin("few_contexts", "short_context", "empty_answer")).select("id", "split", "code", "detail")
+
+
 _MUSED = b.sql_set("answer", "[[]([0-9]+)[]]", 1)
 _MOFFER = b.sql_set("usr", "(?m)^[[]([0-9]+)[]]", 1)
 _MOUT = f"list_filter({_MUSED}, lambda u: NOT list_contains({_MOFFER}, u))"
@@ -95,6 +117,23 @@ def duplicate_documents(spark, sf_dir):
     return V.duplicate_issues(d, V.message_fingerprint(F.col("text")), "id")
 
 
+@query("review_sample", f"""WITH {b.MESSAGES},
+strata AS (SELECT type, subtype, count(*) AS rows, round(ceil(round(sum(count(*)) OVER () * CAST(0.1 AS DOUBLE), 9)) * (count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)), 9) AS due,
+                  ceil(round(sum(count(*)) OVER () * CAST(0.1 AS DOUBLE), 9)) AS wanted FROM messages GROUP BY type, subtype),
+based AS (SELECT *, least(greatest(floor(due), 1), rows) AS base FROM strata),
+quotas AS (
+  SELECT type, subtype, rows, least(rows, base + CASE WHEN row_number() OVER (ORDER BY CASE WHEN due >= 1 THEN due - floor(due) ELSE 0 END DESC, type, coalesce(subtype, chr(0)))
+         <= wanted - sum(base) OVER () THEN 1 ELSE 0 END) AS quota FROM based)
+SELECT id, m.type, m.subtype, rows, CAST(quota AS BIGINT) AS quota, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY type, subtype ORDER BY {b.sql_rnd(42, 'review', 'id')}) AS rank FROM messages) m
+JOIN quotas q ON q.type = m.type AND q.subtype IS NOT DISTINCT FROM m.subtype WHERE rank <= quota""", headline=False)
+def review_sample(spark, sf_dir):
+    """A tenth of the messages for people to check, every type and subtype among them."""
+    m = b.messages(spark, sf_dir).select("meta.id", "meta.type", "meta.subtype")
+    picked = P.review_sample(P.with_order(m, 42, "review", F.col("id")), "ord")
+    return picked.select("id", "type", "subtype", F.col("stratum_rows").alias("rows"), "quota", "rank")
+
+
 @query("holdout_near_leak", f"""WITH w AS (
   SELECT doc_id AS id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '4' THEN 'holdout' ELSE 'train' END AS split,
          regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents),
