@@ -43,7 +43,7 @@ from tomeworks.llm.tokens import _shown_bytes
 from tomeworks.operators.settle import settle
 
 #: Bytes of texts merged together, and rows of an Arrow batch.
-RUN_BYTES, BATCH_ROWS = 1 << 20, 1000
+RUN_BYTES, BATCH_ROWS = 2 << 20, 1000
 LANE_UNITS = 64
 #: Units whose ids a task keeps in each of two generations, and units in one call of a library.
 KEPT_UNITS, CALL_UNITS = 100_000, 4096
