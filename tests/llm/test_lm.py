@@ -51,9 +51,8 @@ def test_score_equals_the_formula_on_quantised_counts(spark):
     n, v = sum(uni.values()), len(uni)
     total, before = 0.0, "start"
     for t in tokens("the cat sat on a hat"):
-        p = (uni[t] + 1) / (n + v + 1)
-        below = uni[before] if before != "start" else high(context["start"])
-        total += math.log10((low(bi[before, t]) + 5 * p) / (max(below, low(bi[before, t])) + 5))
+        p = (low(uni[t]) + 1) / (n + v + 1)
+        total += math.log10((low(bi[before, t]) + 5 * p) / (max(high(context[before]), low(bi[before, t])) + 5))
         before = t
     assert got[0] == pytest.approx(total, abs=1e-9)
 

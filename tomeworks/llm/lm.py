@@ -228,8 +228,8 @@ def train(
     df: DataFrame, text: str = "text", *, order: int = 2, base: float = 1.5, mu: float = 1000.0, bits_per_entry: int = 12,
     max_filter_bytes: int = 256 << 20, head_words: int = 500_000,
 ) -> Trained:
-    """Learn from ``text`` of all rows. ``head_words`` bounds the exact counts that are broadcast
-    next to the filter; those of other words stay in a table."""
+    """Learn from ``text`` of all rows. Exact counts serve ``base_score`` and ``n_known`` alone: those of at
+    most ``head_words`` words are broadcast, the others stay in a table. The model reads the filter."""
     spark = df.sparkSession
     size = df.agg(F.coalesce(F.sum(F.octet_length(text) + 6), F.lit(0))).first()[0]
     shards = max(8, -(-size // (6 * SHARD_TOKENS)))
@@ -297,23 +297,17 @@ def token_levels(held: LevelFilter, tokens: np.ndarray, ends: np.ndarray, order:
     return np.stack([levels(k) for k in [*keys, *context_keys(keys, ends)]], axis=1).astype(np.uint16)
 
 
-def log_probabilities(m: Model, table: W.HashTable, tokens: np.ndarray, ends: np.ndarray, head: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """log10 P of each token; ``head`` is each token's place among the exact counts or -1, ``found`` the
-    ``token_levels``."""
+def log_probabilities(m: Model, found: np.ndarray) -> np.ndarray:
+    """log10 P of each token from its ``token_levels``."""
     bottoms = bounds(m.base)
     low = np.concatenate([[0], bottoms]).astype(np.float64)
     high = np.concatenate([[0], bottoms[1:] - 1, [bottoms[-1]]]).astype(np.float64)
-    exact = np.where(head >= 0, m.head_counts[head], -1) if len(m.head) else np.full(len(tokens), -1)
-    p = (np.where(exact >= 0, exact, low[found[:, 0]]) + 1.0) / (m.tokens + m.distinct + 1.0)
-    for n, context in zip(range(2, m.order + 1), context_keys(ngram_keys(tokens, ends, m.order), ends)):
+    p = (low[found[:, 0]] + 1.0) / (m.tokens + m.distinct + 1.0)
+    for n in range(2, m.order + 1):
         seen = found[:, m.order + n - 2]
-        below = high[seen]
-        if n == 2 and len(m.head):
-            at = table.find(context)
-            below = np.where(at >= 0, m.head_counts[at], below)
         # an n-gram occurs only where its context does
         joint = np.where(seen > 0, low[found[:, n - 1]], 0.0)
-        p = (joint + m.mu * p) / (np.maximum(below, joint) + m.mu)
+        p = (joint + m.mu * p) / (np.maximum(high[seen], joint) + m.mu)
     return np.log10(p)
 
 
@@ -372,7 +366,7 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
                 n = len(ends)
                 at = table.find(tokens)
                 found = token_levels(held.value, tokens, ends, model.order) if held else _unpacked(packed, start, n, model.order)
-                logs = log_probabilities(model, table, tokens, ends, at, found)
+                logs = log_probabilities(model, found)
                 known = at >= 0
                 base = np.where(known, np.log10((model.head_counts[at] if len(model.head) else np.zeros(len(at))) + 1.0), 0.0)
                 rest, rest_rows = tokens[~known], rows[~known]
