@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
+from tomeworks.llm.columns import sheltered
 from tomeworks.operators.sampling import join_counted
 from tomeworks.operators.settle import settle
 
@@ -137,8 +138,8 @@ def _tester(df: DataFrame, counted: tuple[list[np.ndarray], int]):
 def copy_groups(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` without ``text`` and with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` for
     every row; columns of these names are replaced."""
-    added = ["keep_id", "group_size", "kept", "text_sha256"]
-    others = [c for c in df.columns if c not in {text, key, *added}]
+    df, (text, key), restore = sheltered(df, text, key, replaced=("keep_id", "group_size", "kept", "text_sha256"))
+    others = [c for c in df.columns if c not in (text, key)]
     narrow = settle(df.select(key, *others, digest(text).alias("text_sha256")).withColumn("_row", F.monotonically_increasing_id()))
     marked = settle(narrow.withColumn("_maybe", possibly_repeated(narrow, F.col("text_sha256"))))
     alone = marked.where(~F.col("_maybe")).select(
@@ -147,15 +148,16 @@ def copy_groups(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     groups = rest.groupBy("text_sha256").agg(
         F.min(F.struct(F.col(key).isNull(), F.col(key).alias("id"), F.col("_row").alias("row"))).alias("_first"), F.count("*").alias("group_size"))
     joined = join_counted(rest, groups, "text_sha256", "group_size", F.col("_row"))
-    return alone.unionByName(joined.select(
-        key, *others, F.col("_first.id").alias("keep_id"), "group_size", (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256"))
+    return restore(alone.unionByName(joined.select(
+        key, *others, F.col("_first.id").alias("keep_id"), "group_size", (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256")))
 
 
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with their columns. Rows without a possible copy are not shuffled."""
+    df, (text, key), restore = sheltered(df, text, key)
     hashed = digest(text)
     marked = df.withColumn("_sha", hashed).withColumn("_maybe", possibly_repeated(df, hashed))
     others = [c for c in df.columns if c not in (text, key)]
     order = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(*others) if others else F.lit(0))
     best = marked.where("_maybe").groupBy("_sha").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_best"))
-    return marked.where(~F.col("_maybe")).select(df.columns).unionByName(best.select("_best.*"))
+    return restore(marked.where(~F.col("_maybe")).select(df.columns).unionByName(best.select("_best.*")))

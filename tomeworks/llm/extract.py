@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeworks.llm.columns import sheltered
 from tomeworks.operators.settle import settle
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -323,10 +324,11 @@ def main_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
     vote.__annotations__ = {"column": pa.Array, "return": pa.Array}
     take.__annotations__ = {"column": pa.Array, "paths": pa.Array, "return": pa.Array}
-    kept = [c for c in df.columns if c not in {html, "text", "n_chars"}]
+    df, (html, url), restore = sheltered(df, html, url, replaced=("text", "n_chars"))
+    kept = [c for c in df.columns if c != html]
     votes = df.select(host_of(url).alias("_host"), F.arrow_udf(vote, "path string, weight double")(html).alias("_v")).where("_v.weight > 0")
     votes = votes.groupBy("_host", F.col("_v.path").alias("_path")).agg(F.sum(F.round(100 * F.log1p("_v.weight")).cast("bigint")).alias("_votes"))
     winners = settle(votes.groupBy("_host").agg(F.max_by("_path", F.struct("_votes", "_path")).alias("_path")))
     # written, so its size is known: Spark broadcasts it below its threshold and else joins by host, splitting large ones
     joined = df.withColumn("_host", host_of(url)).join(winners, "_host", "left")
-    return joined.select(*kept, F.arrow_udf(take, "string")(html, "_path").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return restore(joined.select(*kept, F.arrow_udf(take, "string")(html, "_path").alias("text")).withColumn("n_chars", F.length("text").cast("bigint")))

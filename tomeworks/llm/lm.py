@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
+from tomeworks.llm.columns import sheltered
 from tomeworks.operators.settle import settle
 
 U = np.uint64
@@ -341,11 +342,9 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     m, shards = trained.model, trained.shards
     sent = spark.sparkContext.broadcast(m)
-    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = [c for c in df.columns if c not in {text, *added}]
+    df, (text,), restore = sheltered(df, text, replaced=("n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    kept = [c for c in df.columns if c != text]
     uid = "_row"
-    while uid in kept:
-        uid += "_"
     total = float(m.tokens + m.distinct + 1)
     several = len(trained.blocks) > 1
     asked = df.select(*kept, text)
@@ -423,9 +422,9 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("uid").agg(F.sum("known").alias("_more"), F.sum("base").alias("_add")).withColumnRenamed("uid", uid)
     )
     out = passed.drop("_rest").join(answers, uid, "left")
-    return out.select(
+    return restore(out.select(
         *kept, F.col("_n").alias("n_tokens"), (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(m.tokens).cast("bigint").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_add", F.lit(0.0)) - F.col("_n") * F.log10(F.lit(total))).alias("base_score"),
         F.col("_score").alias("score"),
-    )
+    ))

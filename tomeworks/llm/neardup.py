@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
+from tomeworks.llm.columns import sheltered
 from tomeworks.llm.decontam import gram_hashes, whole
 from tomeworks.llm.exact import member_filter, member_test
 from tomeworks.llm.graph import components
@@ -366,8 +367,8 @@ def classes(
 
     A class is a connected component of the links of at least ``similarity``.
     """
-    added = ["class_id", "class_size", "kept"]
-    others = [c for c in df.columns if c not in {text, key, *added}]
+    df, (text, key), restore = sheltered(df, text, key, replaced=("class_id", "class_size", "kept"))
+    others = [c for c in df.columns if c not in (text, key)]
     rows = settle(df.select(key, *others, _features(bands, per_band)(text).alias("_f")).select(
         key, *others, F.col("_f.h1").alias("_h1"), F.col("_f.h2").alias("_h2"), F.col("_f.bands").alias("_bands"),
         F.monotonically_increasing_id().alias("_row")), TEXT_BATCH)
@@ -389,8 +390,8 @@ def classes(
     member = member.select(key, *others, "_row", "_class").unionByName(
         rows.where(F.size("_bands") == 0).select(key, *others, "_row", F.col("_row").alias("_class")))
     found = member.groupBy("_class").agg(F.min(least).alias("_first"), F.count("*").alias("class_size"))
-    return join_counted(member, found, "_class", "class_size", F.col("_row")).select(
-        key, *others, F.col("_first.id").alias("class_id"), "class_size", (F.col("_first.row") == F.col("_row")).alias("kept"))
+    return restore(join_counted(member, found, "_class", "class_size", F.col("_row")).select(
+        key, *others, F.col("_first.id").alias("class_id"), "class_size", (F.col("_first.row") == F.col("_row")).alias("kept")))
 
 
 def _members(worded: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -417,6 +418,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows that stay, with their columns. Only rows that may have to go are shuffled."""
+    df, (text, key), restore = sheltered(df, text, key)
     made = df.withColumn("_same", F.xxhash64(*df.columns))
     decided = classes(made.select(key, text, "_same"), text, key, **options).groupBy(F.col(key).alias("_id"), "_same").agg(
         F.bool_or("kept").alias("_stays"), F.bool_and("kept").alias("_all"))
@@ -427,4 +429,4 @@ def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", **o
     match = rest[key].eqNullSafe(listed["_id"]) & (rest["_same"] == listed["_same"])
     untouched = rest.join(listed, match, "left_anti")
     once = rest.join(listed.where("_stays"), match, "left_semi").dropDuplicates([key, "_same"])
-    return marked.where("NOT _maybe").select(df.columns).unionByName(untouched.select(df.columns)).unionByName(once.select(df.columns))
+    return restore(marked.where("NOT _maybe").select(df.columns).unionByName(untouched.select(df.columns)).unionByName(once.select(df.columns)))

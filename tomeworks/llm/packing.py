@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeworks.llm import words as W
+from tomeworks.llm.columns import sheltered
 from tomeworks.llm.tokens import Encoder, grouped
 from tomeworks.operators.settle import settle
 
@@ -234,13 +235,14 @@ def assignment(plan: list[tuple[tuple[int, ...], int]], histogram: np.ndarray) -
 
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. Sequences of one full piece have negative numbers."""
+    cut, (size,), restore = sheltered(cut, "length", replaced=("sequence_id", "offset"))
     names = cut.columns
-    rows = settle(cut.withColumn("_row", F.monotonically_increasing_id()), TEXT_BATCH)
+    rows = settle(cut.withColumns({"length": F.col(size), "_row": F.monotonically_increasing_id()}), TEXT_BATCH)
     short = rows.where(F.col("length") < capacity)
     total = short.count()
     full = rows.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     if not total:
-        return full
+        return restore(full)
     buckets = -(-total // BUCKET_ROWS)
     dealt = short.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     counts = settle(dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")))
@@ -262,4 +264,4 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     place.__annotations__ = {"length": pa.Array, "rank": pa.Array, "return": pa.Array}
     udf = F.arrow_udf(place, "sequence_id bigint, offset bigint")
     placed = ranked.select(*names, udf("length", "_rank").alias("_at")).select(*names, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
-    return full.unionByName(placed)
+    return restore(full.unionByName(placed))
