@@ -38,14 +38,18 @@ def task_progress(events: DataFrame, pdf_tasks: DataFrame | None = None) -> Data
     counts. Percent counts done nodes and half of a running one over 7 steps (8 for PDF tasks) and
     shows 95 until the task is completed. A task has few nodes: they are its steps.
     """
-    nodes = node_states(events).groupBy("task_id").agg(
+    states = events.where(F.col("phase") == "status").groupBy("task_id")
+    return progress_of(node_states(events), states.agg(F.max_by("status", F.struct("ts", "status")).alias("status")), pdf_tasks)
+
+
+def progress_of(nodes: DataFrame, status: DataFrame, pdf_tasks: DataFrame | None = None) -> DataFrame:
+    """``task_progress`` from the states of nodes and one ``status`` per task."""
+    nodes = nodes.groupBy("task_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("since").isNotNull(), F.struct("since", "node")))).alias("_running"),
         F.array_sort(F.collect_list(F.when(F.col("first_end").isNotNull(), F.struct("first_end", "node")))).alias("_done"),
         F.array_sort(F.collect_list(F.when(F.col("seconds").isNotNull(), F.struct("node", "seconds")))).alias("_each"),
         F.round(F.sum("seconds"), 2).alias("seconds"),
     ).withColumn("node_seconds", F.map_from_entries("_each")).drop("_each")
-    states = events.where(F.col("phase") == "status").groupBy("task_id")
-    status = states.agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
     joined = nodes.join(status, "task_id", "full")
     if pdf_tasks is not None:
         joined = joined.join(pdf_tasks.select("task_id", F.lit(PDF_NODES).alias("_steps")), "task_id", "left")

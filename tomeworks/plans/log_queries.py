@@ -13,6 +13,7 @@ from tomeworks.operators.settle import shared_folder
 from tomeworks.plans import base as b
 from tomeworks.plans.base import query
 from tomeworks.sources.versioned import KeyedTable
+from tomeworks.streaming.progress import current_progress, overdue_nodes, progress_updates, run_available, write_progress
 
 
 def chat(spark, sf_dir):
@@ -87,7 +88,7 @@ def task_events(spark, sf_dir):
         F.col("value").alias("seconds"), "ts")
 
 
-@query("task_progress", """WITH ev AS (
+TASK_PROGRESS = """WITH ev AS (
   SELECT user_id || '/' || strftime(ts, '%d') AS task_id, 'node' || (CAST(regexp_extract(props, '[0-9]+') AS INT) % 4) AS node,
          CASE WHEN event_type = 'purchase' THEN 'status' WHEN event_type IN ('view', 'click') THEN 'start' ELSE 'end' END AS phase,
          CASE WHEN value > 5 THEN 'processing' ELSE 'completed' END AS status, value AS seconds, ts FROM events),
@@ -105,14 +106,55 @@ j AS (SELECT coalesce(t.task_id, st.task_id) AS task_id, coalesce(status, '') AS
              100.0::DOUBLE * (coalesce(d, 0) + CASE WHEN running IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / 7 AS percent
       FROM t FULL JOIN st ON t.task_id = st.task_id)
 SELECT task_id, status, running, done, seconds, node_cents,
-       round(CASE WHEN status = 'completed' THEN 100 WHEN percent >= 100 THEN 95 ELSE percent END, 6) AS percent FROM j""")
-def task_progress(spark, sf_dir):
-    done = P.task_progress(task_events(spark, sf_dir))
+       round(CASE WHEN status = 'completed' THEN 100 WHEN percent >= 100 THEN 95 ELSE percent END, 6) AS percent FROM j"""
+
+
+def _readable(done):
     cents = F.transform(F.map_entries("node_seconds"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string")))
     return done.withColumn("node_cents", F.coalesce(F.array_join(cents, ","), F.lit(""))).drop("node_seconds").withColumns({
         "running": F.array_join("running", ","), "done": F.array_join("done", ","), "percent": F.round("percent", 6)})
 
 
+@query("task_progress", TASK_PROGRESS)
+def task_progress(spark, sf_dir):
+    return _readable(P.task_progress(task_events(spark, sf_dir)))
+
+
+#: Event time after which a running node is reported, and the watermark's delay.
+NODE_LIMIT, DELAY = 3600, 600
+
+
+def streamed_progress(spark, sf_dir):
+    """The folder with the updates of all events, which arrive in two loads: a run for the first half of
+    the time and, from its checkpoint, another for the rest."""
+    folder = f"{shared_folder(spark).rstrip('/')}/progress-{uuid.uuid4().hex}"
+    events = task_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    micros = F.unix_micros("ts")
+    half = events.agg(((F.min(micros) + F.max(micros)) / 2).cast("bigint").alias("half")).first().half or 0
+    for load in (micros < half, micros >= half):
+        events.where(load).write.mode("append").parquet(f"{folder}/events")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        run_available(write_progress(progress_updates(arrived, NODE_LIMIT, f"{DELAY} seconds"), f"{folder}/updates", f"{folder}/state"))
+    return f"{folder}/updates"
+
+
+@query("task_progress_stream", TASK_PROGRESS, headline=False)
+def task_progress_stream(spark, sf_dir):
+    return _readable(current_progress(spark, streamed_progress(spark, sf_dir)))
+
+
+@query("overdue_nodes", f"""WITH ev AS (
+  SELECT user_id || '/' || strftime(ts, '%d') AS task_id, 'node' || (CAST(regexp_extract(props, '[0-9]+') AS INT) % 4) AS node,
+         CASE WHEN event_type = 'purchase' THEN 'status' WHEN event_type IN ('view', 'click') THEN 'start' ELSE 'end' END AS phase, ts FROM events),
+le AS (SELECT task_id, node, max(ts) AS le FROM ev WHERE phase = 'end' GROUP BY task_id, node),
+n AS (SELECT task_id, node, min(ts) AS since FROM ev LEFT JOIN le USING (task_id, node) WHERE phase = 'start' AND (le IS NULL OR ts > le) GROUP BY task_id, node)
+SELECT task_id, node, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since FROM n
+WHERE epoch_us(since) + {NODE_LIMIT * 1_000_000} <= (SELECT epoch_ms(max(ts)) - {DELAY * 1000} FROM events) * 1000""", headline=False)
+def overdue_running(spark, sf_dir):
+    late = overdue_nodes(spark, streamed_progress(spark, sf_dir))
+    return late.withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query("intent_buckets", f"""WITH {b.TRACES}, r AS (
   SELECT substr(ts, 1, 10) AS day, unnest(['no_citation', 'long_prompt']) AS bucket,
          unnest([used_citations = '', prompt_chars >= 8000]) AS hit FROM traces)
