@@ -69,8 +69,14 @@ def frequent_values(values: DataFrame, sketches: DataFrame, share: float, window
 
 
 def load_sketches(df: DataFrame, load: Column, columns: list[str], log_entries: int = 12) -> DataFrame:
-    """``load, rows`` and a sketch of the distinct values of each column, under its name."""
-    return df.groupBy(load.alias("load")).agg(F.count("*").alias("rows"), *[F.theta_sketch_agg(F.col(c), log_entries).alias(c) for c in columns])
+    """``load, rows`` and a sketch of the distinct values of each column, of any type, under its name.
+
+    Sketches get 64-bit hashes: they would leave out the empty text.
+    """
+    def sketch(c: str) -> Column:
+        return F.theta_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), log_entries).alias(c)
+
+    return df.groupBy(load.alias("load")).agg(F.count("*").alias("rows"), *[sketch(c) for c in columns])
 
 
 def distinct_of_all(sketches: DataFrame, columns: list[str], log_entries: int = 12) -> DataFrame:
