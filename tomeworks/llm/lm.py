@@ -126,8 +126,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> I
             if size >= SUM_TOKENS:
                 yield from send()
                 held, size = [], 0
+                W.release()
     if held:
         yield from send()
+    held = []
+    W.release()  # a worker lives on for later stages
 
 
 class LevelFilter:
@@ -378,6 +381,8 @@ def score(trained: Trained, df: DataFrame, text: str = "text") -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.StructArray.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds)], names=names)
+            del out, columns
+            W.release()
 
     parts.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     levels = F.col("_levels") if several else F.lit(None).cast("binary")
