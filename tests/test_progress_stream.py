@@ -76,3 +76,19 @@ def test_a_reported_node_that_ends_is_taken_back(spark):
 
 def test_no_events(spark):
     assert current_progress(spark, run(spark, [[]])).count() == 0
+
+
+def test_nodes_share_buckets_and_only_changed_ones_are_written(spark):
+    rows = [(f"t{i}", "parse", "start", None, None, f"2024-01-01 10:00:{i % 60:02d}") for i in range(300)]
+    second = [("t7", "parse", "end", None, 1.5, "2024-01-01 10:09:00"), ("t8", "parse", "status", "x", None, "2024-01-01 10:09:00")]
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    for load in (rows, second):
+        events = spark.createDataFrame(load, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+        events.write.mode("append").parquet(f"{folder}/events")
+        updates = progress_updates(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), 3600, "10 minutes", buckets=2)
+        run_available(write_progress(updates, f"{folder}/updates", f"{folder}/state"))
+    # two buckets of state hold 301 nodes; the second load writes its two only
+    assert spark.read.format("statestore").load(f"{folder}/state").count() == 2
+    assert spark.read.parquet(f"{folder}/updates").count() == 302
+    whole = spark.createDataFrame(rows + second, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(current_progress(spark, f"{folder}/updates").collect()) == sorted(task_progress(whole).collect())

@@ -1,9 +1,11 @@
 """Task progress on a stream of node events.
 
-One piece of state per (task, node), so a busy task is spread over tasks of the job. State holds the
-first and last end and the starts after the last end. An end later than the watermark can still come;
+Nodes are dealt by the hash of task and node to ``buckets`` groups, each one piece of state, since a call of
+Python for every single node costs milliseconds; a busy task is still spread over tasks of the job. A node's
+state holds the first and last end and the starts after the last end. An end later than the watermark can still come;
 of the starts up to the watermark it would undo all or none, so only the first of these is kept and
-state is bounded by the starts within the watermark's delay.
+state is bounded by the starts within the watermark's delay. A batch rewrites the buckets that it touches, so
+``buckets`` should grow with the number of nodes; a stream keeps the number with which its checkpoint began.
 
 Every change is written as one row with a version; ``current_progress`` reads the last version of
 each node and computes the same columns as ``task_progress`` does on the whole table. A node
@@ -14,10 +16,11 @@ than start, end and status.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -25,11 +28,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tomeworks.operators.progress import progress_of
 
-STATE = ("first_end bigint, last_end bigint, seconds double, starts array<bigint>, status_at bigint, status string, "
-         "version bigint, overdue boolean")
+#: What is kept of one node.
+NODE = pa.schema([("first_end", pa.int64()), ("last_end", pa.int64()), ("seconds", pa.float64()), ("starts", pa.list_(pa.int64())), ("status_at", pa.int64()),
+                  ("status", pa.string()), ("version", pa.int64()), ("overdue", pa.bool_())])
+#: The state of a bucket: its nodes as an Arrow table.
+STATE = "nodes binary"
+BUCKET = pa.schema([("task_id", pa.string()), ("node", pa.string()), *NODE])
 UPDATE = ("task_id string, node string, first_end bigint, last_end bigint, since bigint, seconds double, status_at bigint, status string, "
           "version bigint, overdue boolean")
-FIELDS = [f.split()[0] for f in STATE.split(", ")]
+FIELDS = NODE.names
 #: The node of a task's own status rows.
 TASK = ""
 
@@ -41,59 +48,101 @@ def _later(old: tuple[int, Any] | None, at: int, value: Any) -> tuple[int, Any]:
     return (at, value) if at == old[0] and value is not None and value > old[1] else old
 
 
-def advance(state: dict[str, Any], frames: Iterator[pd.DataFrame], watermark: int) -> dict[str, Any]:
+def _events(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """``phase, at, seconds, status`` of each row, missing values as None."""
+    for frame in frames:
+        plain = frame[["seconds", "status"]].astype(object).where(frame[["seconds", "status"]].notna(), None)
+        yield from zip(frame["phase"].tolist(), frame["at"].tolist(), plain["seconds"].tolist(), plain["status"].tolist())
+
+
+def _after(state: dict[str, Any], events: Iterable[tuple], watermark: int) -> dict[str, Any]:
     """The state of one node after more events in any order; times are microseconds."""
     first, starts = state["first_end"], set(state["starts"])
     end = None if state["last_end"] is None else (state["last_end"], state["seconds"])
     status = None if state["status_at"] is None else (state["status_at"], state["status"])
-    for frame in frames:
-        for phase, at, seconds, said in zip(frame["phase"], frame["at"], frame["seconds"], frame["status"]):
-            if phase == "start":
-                starts.add(int(at))
-            elif phase == "end":
-                first = int(at) if first is None else min(first, int(at))
-                end = _later(end, int(at), None if pd.isna(seconds) else float(seconds))
-            else:
-                status = _later(status, int(at), None if pd.isna(said) else said)
-        kept = sorted(s for s in starts if end is None or s > end[0])
-        settled = [s for s in kept if s <= watermark]
-        starts = set(settled[:1] + kept[len(settled) :])
+    for phase, at, seconds, said in events:
+        if phase == "start":
+            starts.add(at)
+        elif phase == "end":
+            first = at if first is None else min(first, at)
+            end = _later(end, at, seconds)
+        else:
+            status = _later(status, at, said)
+    kept = sorted(s for s in starts if end is None or s > end[0])
+    settled = [s for s in kept if s <= watermark]
     last_end, seconds = end or (None, None)
     status_at, said = status or (None, None)
-    return {**state, "first_end": first, "last_end": last_end, "seconds": seconds, "starts": sorted(starts), "status_at": status_at, "status": said}
+    return {**state, "first_end": first, "last_end": last_end, "seconds": seconds, "starts": settled[:1] + kept[len(settled) :], "status_at": status_at,
+            "status": said}
+
+
+def advance(state: dict[str, Any], frames: Iterator[pd.DataFrame], watermark: int) -> dict[str, Any]:
+    """The state of one node after frames of its events."""
+    for frame in frames:
+        state = _after(state, _events(iter([frame])), watermark)
+    return state
+
+
+def _pack(nodes: dict[tuple, dict[str, Any]]) -> bytes:
+    columns = [[key[0] for key in nodes], [key[1] for key in nodes], *([state[f] for state in nodes.values()] for f in FIELDS)]
+    table = pa.table([pa.array(values, field.type) for values, field in zip(columns, BUCKET)], schema=BUCKET)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, BUCKET) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> dict[tuple, dict[str, Any]]:
+    rows = zip(*(column.to_pylist() for column in pa.ipc.open_stream(packed).read_all().columns))
+    return {row[:2]: dict(zip(FIELDS, row[2:])) for row in rows}
 
 
-def _progress_of_node(limit: int):
-    """The update rows of one (task, node), for ``applyInPandasWithState``; ``limit`` in microseconds."""
+def _progress_of_bucket(limit: int):
+    """The update rows of one bucket of nodes, for ``applyInPandasWithState``; ``limit`` in microseconds."""
     kinds = {"bigint": "Int64", "double": "float64", "boolean": "bool", "string": "object"}
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         watermark = kept.getCurrentWatermarkMs() * 1000
-        state = dict(zip(FIELDS, kept.get)) if kept.exists else {**dict.fromkeys(FIELDS), "starts": [], "version": 0, "overdue": False}
-        if not kept.hasTimedOut:
-            state = advance(state, frames, watermark)
-        since = min(state["starts"], default=None)
-        state["overdue"] = since is not None and since + limit <= watermark
-        state["version"] += 1
-        kept.update(tuple(state[f] for f in FIELDS))
-        if since is not None and not state["overdue"]:
+        nodes = _unpack(bytes(kept.get[0])) if kept.exists else {}
+        changed = set()
+        for frame in [] if kept.hasTimedOut else frames:
+            arrived: dict[tuple, list] = {}
+            for node, event in zip(zip(frame["task_id"].tolist(), frame["node"].tolist()), _events(iter([frame]))):
+                arrived.setdefault(node, []).append(event)
+            for node, events in arrived.items():
+                old = nodes.get(node) or {**dict.fromkeys(FIELDS), "starts": [], "version": 0, "overdue": False}
+                nodes[node] = _after(old, events, watermark)
+            changed.update(arrived)
+        waiting = None
+        for node, state in nodes.items():
+            since = state["starts"][0] if state["starts"] else None
+            overdue = since is not None and since + limit <= watermark
+            if node in changed or overdue != state["overdue"]:
+                changed.add(node)
+                state["overdue"] = overdue
+                state["version"] += 1
+            if since is not None and not overdue:
+                waiting = since if waiting is None else min(waiting, since)
+        kept.update((_pack(nodes),))
+        if waiting is not None:
             # whole milliseconds, and always ahead of the watermark
-            kept.setTimeoutTimestamp(max(-(-(since + limit) // 1000), watermark // 1000 + 1))
-        row = {"task_id": key[0], "node": key[1], **{f: state[f] for f in FIELDS if f != "starts"}, "since": since}
-        yield pd.DataFrame({name: pd.Series([row[name]], dtype=kinds[kind]) for name, kind in (f.split() for f in UPDATE.split(", "))})
+            kept.setTimeoutTimestamp(max(-(-(waiting + limit) // 1000), watermark // 1000 + 1))
+        rows = [{"task_id": node[0], "node": node[1], "since": min(nodes[node]["starts"], default=None), **nodes[node]} for node in changed]
+        yield pd.DataFrame({name: pd.Series([row[name] for row in rows], dtype=kinds[kind]) for name, kind in (f.split() for f in UPDATE.split(", "))})
 
     return run
 
 
-def progress_updates(events: DataFrame, limit_seconds: float, delay: str = "10 minutes") -> DataFrame:
+def progress_updates(events: DataFrame, limit_seconds: float, delay: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """One row for every change of a node on a stream of ``task_id, node, phase, status, seconds, ts``."""
     node = F.when(F.col("phase") == "status", TASK).otherwise(F.col("node"))
     timed = events.where(F.col("phase").isin("start", "end", "status")).select(
         F.col("task_id").cast("string").alias("task_id"), node.alias("node"), "phase", "status", F.col("seconds").cast("double").alias("seconds"),
         F.col("ts").cast("timestamp").alias("ts")).where("task_id IS NOT NULL AND node IS NOT NULL AND ts IS NOT NULL")
     timed = timed.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
-    run = _progress_of_node(int(limit_seconds * 1_000_000))
-    return timed.groupBy("task_id", "node").applyInPandasWithState(run, UPDATE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    timed = timed.withColumn("bucket", F.pmod(F.xxhash64("task_id", "node"), F.lit(buckets)).cast("int"))
+    run = _progress_of_bucket(int(limit_seconds * 1_000_000))
+    return timed.groupBy("bucket").applyInPandasWithState(run, UPDATE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_progress(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
