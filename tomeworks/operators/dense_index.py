@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tomeworks.operators.retrieval import BLOCK_BYTES, ranked_blocks
 from tomeworks.operators.sampling import take_in_hash_order, with_order
-from tomeworks.operators.scoring import DenseScorer
+from tomeworks.operators.scoring import CELLS, DenseScorer
 
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 65_536
@@ -103,11 +103,13 @@ def _nearest(centroids: np.ndarray, n: int, vector: Column) -> Column:
     n = min(n, len(centroids))
 
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = max(1, CELLS // len(centroids))
         for batch in batches:
-            rows = _unit(np.stack(batch.to_numpy(zero_copy_only=False)).astype(np.float64)) if len(batch) else np.zeros((0, centroids.shape[1]))
-            like = np.round(rows @ centroids.T, 9)
-            best = np.argsort(-like, axis=1, kind="stable")[:, :n].astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n), pa.array(best.ravel()))
+            for lo in range(0, len(batch), step):
+                part = batch[lo:lo + step]
+                like = np.round(_unit(np.stack(part.to_numpy(zero_copy_only=False)).astype(np.float64)) @ centroids.T, 9)
+                best = np.argsort(-like, axis=1, kind="stable")[:, :n].astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n), pa.array(best.ravel()))
 
     nearest.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(nearest, "array<int>")(vector)
@@ -151,14 +153,18 @@ class ProbedScorer:
     def usable(frame: pd.DataFrame) -> pd.DataFrame:
         return frame
 
-    def score(self, frame: pd.DataFrame) -> np.ndarray:
-        out = np.full((len(frame), len(self.ids)), -np.inf)
-        numbers = frame["list"].to_numpy()
+    def encode(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return frame["list"].to_numpy(), self.exact.encode(frame)
+
+    def score(self, encoded: tuple[np.ndarray, np.ndarray], some: slice) -> np.ndarray:
+        numbers, vectors = encoded
+        out = np.full((len(numbers), some.stop - some.start), -np.inf)
         for number in np.unique(numbers):
             asked = self.probing.get(int(number))
             if asked is not None:
+                asked = asked[slice(*np.searchsorted(asked, [some.start, some.stop]))]
                 rows = np.flatnonzero(numbers == number)
-                out[np.ix_(rows, asked)] = self.exact.score(frame.iloc[rows], asked)
+                out[np.ix_(rows, asked - some.start)] = self.exact.score(vectors[rows], asked)
         return out
 
 
