@@ -116,3 +116,12 @@ def test_progress(spark):
     assert round(t["percent"], 4) == round(100 * 1.5 / 7, 4) and got["done"]["percent"] == 100.0
     pdf = spark.createDataFrame([("t",)], "task_id string")
     assert {r["task_id"]: r["percent"] for r in P.task_progress(df, pdf).collect()}["t"] == 100 * 1.5 / 8
+
+
+def test_sheets_of_one_file_are_spread_over_all_cores(spark):
+    from tests.conftest import SF_DIR
+    from tomeworks.plans.document_queries import table_sentences
+
+    found = table_sentences(spark, SF_DIR).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(found) >= spark.sparkContext.defaultParallelism
+    assert max(r.n for r in found) * 4 <= sum(r.n for r in found)

@@ -152,8 +152,10 @@ def chunk_coverage(spark, sf_dir):
 
 
 def spec_sheets(spark, sf_dir):
-    """Parts as documents: a key-value table, a spanned HTML table, a Markdown table."""
-    p = b.table(spark, sf_dir, "part")
+    """Parts as documents: a key-value table, a spanned HTML table, a Markdown table. The rows are dealt to all cores
+    while they are narrow: a small file of them is one task, and makes many times its size of text."""
+    p = b.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").repartition(
+        4 * spark.sparkContext.defaultParallelism)
     size, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     rows = F.concat(
         F.lit("Intro\n<table><tr><td>brand</td><td>"), "p_brand", F.lit("</td></tr><tr><td></td><td>"), "p_type",
