@@ -57,6 +57,15 @@ def test_empty_index_and_no_queries(spark):
         assert got == want == []
 
 
+def test_weights_that_are_null_and_chunks_without_id(spark):
+    """A weight that is null is no posting; as in the full search of other chunks, nothing else changes."""
+    chunks = spark.createDataFrame([(1, {1: None, 2: 1.0}), (2, {1: 2.0}), (3, {1: None}), (3, {2: 4.0})], ROWS.format("chunk_id"))
+    blocks = {b["token"]: (b["chunk_ids"], b["weights"]) for b in S.build_sparse_index(chunks.where("chunk_id <> 2").unionByName(
+        spark.createDataFrame([(None, {1: 2.0})], chunks.schema))).groupBy("token").agg(
+        F.flatten(F.collect_list("chunk_ids")).alias("chunk_ids"), F.flatten(F.collect_list("weights")).alias("weights")).collect()}
+    assert blocks[1] == ([None], [2.0]) and sorted(zip(*blocks[2])) == [(1, 1.0), (3, 4.0)]
+
+
 def test_blocks_are_no_longer_than_ranges(spark):
     """A token in every chunk has one block a range."""
     chunks = spark.createDataFrame([(i, {1: 1.0, 100 + i: 1.0}) for i in range(500)], ROWS.format("chunk_id"))
@@ -64,6 +73,20 @@ def test_blocks_are_no_longer_than_ranges(spark):
     assert sum(b["postings"] for b in blocks) == 500 and max(b["postings"] for b in blocks) <= 100 and len(blocks) == 10
 
 
+def test_build_and_search_move_no_single_postings(spark, monkeypatch):
+    """Vectors go whole to their range; a search moves only blocks of its tokens in ranges that it scores."""
+    chunks = spark.createDataFrame([(i, {t: 1.0 for t in range(i, i + 50)}) for i in range(400)], ROWS.format("chunk_id"))
+    index = S.build_sparse_index(chunks, range_rows=50)
+    plan = index._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "hashpartitioning(level" in plan and "token#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    hits = S.search_sparse_index(chunks.limit(3).withColumnRenamed("chunk_id", "query_id"), index, 4).hits
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+    # ranges hold no more postings than one call should
+    monkeypatch.setattr(S, "RANGE_POSTINGS", 1000)
+    ranges = S.build_sparse_index(chunks).groupBy(*S.RANGE).agg(F.sum("postings").alias("n")).collect()
+    assert sum(r["n"] for r in ranges) == 20_000 and max(r["n"] for r in ranges) <= 2000
+
+
 def clusters(n, seed=3):
     """Vectors around a few centres, one of which holds a third of them."""
     draw = np.random.default_rng(seed)
