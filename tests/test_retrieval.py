@@ -52,6 +52,36 @@ def test_search_equals_brute_force(tables, kind, limits):
         assert got.get(one[0], []) == want
 
 
+@pytest.mark.parametrize("first_rows", [1, 2, 9, 60, 500])
+def test_overlap_search_equals_brute_force_however_many_chunks_come_first(spark, first_rows):
+    """Ids of chunks and queries that repeat, chunks without an id, and texts without characters."""
+    r = random.Random(first_rows)
+    text = lambda: "".join(r.choice("abcdefghij的了") for _ in range(r.choice([0, 3, 8, 30])))
+    chunks = [(None if n == 17 else r.randrange(150), text()) for n in range(200)]
+    queries = [(r.randrange(40), text()) for _ in range(50)]
+    found = R.search_overlap(spark.createDataFrame(queries, "query_id bigint, query string"),
+                             spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(3), 3, first_rows=first_rows)
+    got = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((-row["score"], row["chunk_id"]))
+    for one in {i for i, _ in queries}:
+        scored = [(-float(len(set(q) & set(t))), c) for i, q in queries if i == one for c, t in chunks]
+        named = sorted(p for p in scored if p[1] is not None)
+        assert [p for p in got[one] if p[1] is not None] == named[:sum(p[1] is not None for p in got[one])]
+        assert len(got[one]) == 3
+
+
+def test_queries_that_are_done_do_not_meet_the_other_chunks(spark, monkeypatch):
+    met = []
+    blocks = R.ranked_blocks
+    monkeypatch.setattr(R, "ranked_blocks", lambda queries, *rest: met.extend(queries.collect()) or blocks(queries, *rest))
+    chunks = spark.createDataFrame([(i, "abcdef") for i in range(30)] + [(40, "xyz")], "chunk_id bigint, content string")
+    queries = spark.createDataFrame([(i, "abc") for i in range(20)] + [(50, "ax")], "query_id bigint, query string")
+    got = R.search_overlap(queries, chunks, 2, first_rows=5).where("query_id >= 19").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], r["score"]) for r in got] == [(19, 0, 3.0), (19, 1, 3.0), (50, 0, 1.0), (50, 1, 1.0)]
+    assert {r["query_id"] for r in met} == {50}
+
+
 def test_no_cross_join(tables):
     _, _, queries, chunks = tables
     for limits in ({}, {"block_bytes": 300}):
@@ -99,3 +129,15 @@ def test_item_decision(spark, scores, action, options):
 def test_recalled(spark):
     df = spark.createDataFrame([(["a", "b"], ["b"]), (["a"], ["b"]), (None, ["b"])], "r array<string>, s array<string>")
     assert [r[0] for r in df.select(R.recalled(F.col("r"), F.col("s"))).collect()] == [True, False, False]
+
+
+def test_contexts_of_hits_are_read_alone_and_hot_ones_are_dealt(spark, monkeypatch):
+    hits = spark.createDataFrame([(q, c, n + 1) for q in range(50) for n, c in enumerate([7, q % 3, None])], "query_id bigint, chunk_id bigint, rank int")
+    contexts = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(2, "again")], "chunk_id bigint, ctx string")
+    kept, settled = [], R.settle
+    monkeypatch.setattr(R, "settle", lambda df: kept.append(settled(df)) or kept[-1])
+    for per_task in (2000, 4):
+        got = {r["query_id"]: r["contexts"] for r in R.retrieved_contexts(hits, contexts, per_task).collect()}
+        assert got == {q: ["t7"] + {0: ["t0"], 1: ["t1"], 2: ["again", "t2"]}[q % 3] for q in range(50)}
+    read = [sorted(r["ctx"] for r in df.collect()) for df in kept if "ctx" in df.columns]
+    assert read == [["again", "t0", "t1", "t2", "t7"]] * 2

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tomeworks.operators.retrieval import BLOCK_BYTES, ranked_blocks
 from tomeworks.operators.sampling import take_in_hash_order, with_order
-from tomeworks.operators.scoring import CELLS, DenseScorer
+from tomeworks.operators.scoring import CELLS, DenseScorer, Scorer
 
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 65_536
@@ -132,7 +132,7 @@ def read_dense_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 @dataclass
-class ProbedScorer:
+class ProbedScorer(Scorer):
     """Scores of chunks for the queries that probe their list; minus infinity for the others."""
 
     exact: DenseScorer
