@@ -112,3 +112,10 @@ def test_one_place_equals_python(spark):
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
     wrong = [(r["x"], r["v"]) for r in df.select("x", X.one_place(F.col("x")).alias("v")).collect() if r["v"] != f"{r['x']:.1f}"]
     assert wrong == []
+
+
+def test_clean_content_of_texts_with_and_without_markup(spark):
+    pairs = [("  plain text\n\nhttx:// ![ ", "plain text\n\nhttx:// !["), ("a\n\n![x](y)\n\nb", "a\n\nb"), ("a\t \n\n\n\n b", "a\n\nb"),
+             ("see https://x.y/z now", "see  now"), ("HTTP://x", "HTTP://x"), ("\u3000a\n \n", "a"), ("", ""), (None, "")]
+    df = spark.createDataFrame(pairs, "text string, want string").select(X.clean_content(F.col("text")).alias("got"), "want")
+    assert [r for r in df.collect() if r["got"] != r["want"]] == []
