@@ -136,7 +136,7 @@ def test_contexts_of_hits_are_read_alone_and_hot_ones_are_dealt(spark, monkeypat
     contexts = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(2, "again")], "chunk_id bigint, ctx string")
     kept, settled = [], R.settle
     monkeypatch.setattr(R, "settle", lambda df: kept.append(settled(df)) or kept[-1])
-    for per_task in (2000, 4):
+    for per_task in (500, 4):
         got = {r["query_id"]: r["contexts"] for r in R.retrieved_contexts(hits, contexts, per_task).collect()}
         assert got == {q: ["t7"] + {0: ["t0"], 1: ["t1"], 2: ["again", "t2"]}[q % 3] for q in range(50)}
     once, often = [sorted(r["ctx"] for r in df.collect()) for df in kept if "ctx" in df.columns]
